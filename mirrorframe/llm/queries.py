@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from mirrorframe.llm.byte_bpe import op2_byte_bpe
 from mirrorframe.llm.fingerprints import op10_fingerprints
+from mirrorframe.llm.languages import op7_language
+from mirrorframe.llm.media import op1_media
 from mirrorframe.llm.mixing import op3_mix
+from mirrorframe.llm.token_files import op4_token_files
+from mirrorframe.llm.toxicity import op5_toxicity
 
-QUERIES = {"op3_mix": op3_mix, "op10_fingerprints": op10_fingerprints}
+QUERIES = {
+    "op1_media": op1_media,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_mix": op3_mix,
+    "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
+    "op7_language": op7_language,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLES: dict[str, str] = {}
