@@ -27,6 +27,7 @@ from mirrorframe.llm.common import column_or_null, stage, table
 
 NGRAMS = (3, 4, 5)
 BITS = 18
+MIN_Z = 3.0
 #: Odd multipliers of the n-gram hash.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -58,7 +59,7 @@ class Model:
 
 
 def log_count_ratios(rows: DataFrame, bits: int) -> np.ndarray:
-    """rows: text, label. Log ratio of the share of each class's texts that have a feature, add-one smoothed."""
+    """rows: text, label. Log ratio of the share of each class's texts that have a feature, smoothed by one text of either class in proportion; 0 where that is chance."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +80,14 @@ def log_count_ratios(rows: DataFrame, bits: int) -> np.ndarray:
     counts = np.zeros((2, size))
     some = totals[totals.place >= 0]
     counts[0, some.place], counts[1, some.place] = some.clean, some.toxic
-    share = (counts + 1) / (np.array([[n.clean.iloc[0]], [n.toxic.iloc[0]]], float) + 2)
-    return np.log(share[1] / share[0])
+    texts = np.array([[n.clean.iloc[0]], [n.toxic.iloc[0]]], float)
+    share = (counts + texts / texts.sum()) / (texts + 1)
+    ratios = np.log(share[1] / share[0])
+    error = np.sqrt((1 / (counts + 0.5)).sum(axis=0))
+    return np.where(np.abs(ratios) >= MIN_Z * error, ratios, 0)
 
 
-def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: float = 2e-4, rounds: int = 120) -> Model:
+def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: float = 2e-4, rounds: int = 200) -> Model:
     """rows: id, text, label (0 or 1). See the module for what is counted and what is sampled."""
     rows = rows.filter("label in (0, 1)")
     ratios = log_count_ratios(rows.select("text", "label"), bits)
