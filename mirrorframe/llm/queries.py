@@ -8,6 +8,7 @@ from mirrorframe.llm.languages import op7_language
 from mirrorframe.llm.media import op1_media
 from mirrorframe.llm.mixing import op3_mix
 from mirrorframe.llm.near_dedup import op8_near_dedup
+from mirrorframe.llm.repeats import op6_repeats
 from mirrorframe.llm.token_files import op4_token_files
 from mirrorframe.llm.toxicity import op5_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
     "op7_language": op7_language,
     "op8_near_dedup": op8_near_dedup,
     "op10_fingerprints": op10_fingerprints,
