@@ -5,6 +5,8 @@ from __future__ import annotations
 from mirrorframe.llm.byte_bpe import op2_byte_bpe
 from mirrorframe.llm.fingerprints import op10_fingerprints
 from mirrorframe.llm.languages import op7_language
+from mirrorframe.llm.licenses import ORACLE as LICENSES_SQL
+from mirrorframe.llm.licenses import op9_licenses
 from mirrorframe.llm.media import op1_media
 from mirrorframe.llm.mixing import op3_mix
 from mirrorframe.llm.near_dedup import op8_near_dedup
@@ -21,6 +23,7 @@ QUERIES = {
     "op6_repeats": op6_repeats,
     "op7_language": op7_language,
     "op8_near_dedup": op8_near_dedup,
+    "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_licenses": LICENSES_SQL}
