@@ -24,6 +24,8 @@ from mirrorframe.llm.common import column_or_null, stage, table
 
 #: Production parameter: the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 24
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
 def samples(terms: DataFrame, keys: list[str], k: int = SAMPLES) -> DataFrame:
@@ -56,7 +58,7 @@ def following(docs: DataFrame) -> DataFrame:
     ids = stage(ids.withColumn("part", F.spark_partition_id()), "ids")
     firsts = ids.groupBy("part").agg(F.min(F.struct("id")).alias("first"))
     firsts = firsts.select("part", F.lead("first").over(W.orderBy("part")).alias("later"), F.min("first").over(W.partitionBy()).alias("least"))
-    own = F.lead(F.struct("id")).over(W.partitionBy("part").orderBy(F.col("id").asc_nulls_first()))
+    own = F.lead(F.struct("id")).over(W.partitionBy("part").orderBy(F.col("id")))
     nexts = ids.withColumn("own", own).join(firsts, "part")
     return nexts.select("id", "n_chars", F.coalesce("own", "later", "least")["id"].alias("next_id"))
 
@@ -66,14 +68,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next document.
     """
-    texts = docs.select(column_or_null(docs, id_col, "long").alias("id"), F.coalesce(column_or_null(docs, text_col, "string"), F.lit("")).alias("text"))
+    # One plain key: null-safe joins would hide the partitioning by id from what follows
+    texts = docs.select(F.coalesce(column_or_null(docs, id_col, "long"), F.lit(NO_ID)).alias("id"), F.coalesce(column_or_null(docs, text_col, "string"), F.lit("")).alias("text"))
     if texts.groupBy("id").count().filter("count > 1").limit(1).count():
         texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     nexts = stage(following(texts), "next")
     dealt = texts.repartition("id")
     asked = nexts.select(F.col("id").alias("for_id"), F.col("next_id").alias("asked_id"), F.expr("n_chars div 2").alias("half"))
-    heads = dealt.join(asked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("asked_id"))).select("for_id", "half", F.expr("substring(text, 1, cast(half as int))").alias("head"))
-    both = dealt.join(heads.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("for_id")))
+    heads = dealt.join(asked.hint("shuffle_hash"), F.col("id") == F.col("asked_id")).select("for_id", "half", F.expr("substring(text, 1, cast(half as int))").alias("head"))
+    both = dealt.join(heads.hint("shuffle_hash"), F.col("id") == F.col("for_id"))
     both = both.select("id", "text", F.concat(F.expr("substring(text, 1, char_length(text) - cast(half as int))"), "head").alias("edited"))
 
     words = both.select("id", F.posexplode(F.array("text", "edited")).alias("version", "text"))
@@ -83,15 +86,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     packed = F.concat(*[F.lpad(F.lower(F.hex(F.hash(f"s{i}").cast("long").bitwiseAND((1 << 32) - 1))), 8, "0") for i in range(k)])
     sets = sets.select("id", "version", packed.alias("s")).groupBy("id").agg(*[F.max(F.when(F.col("version") == v, F.col("s"))).alias(x) for v, x in ((0, "a"), (1, "b"))])
     per_id = both.select("id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"))
-    joined = per_id.join(sets.withColumnRenamed("id", "of").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")), "left")
+    joined = per_id.join(sets.withColumnRenamed("id", "of").hint("shuffle_hash"), F.col("id") == F.col("of"), "left")
     joined = joined.select("id", "n_chars", "edited_sha256", *[F.coalesce(x, F.lit("-" * 8 * k)).alias(x) for x in "ab"])
     cut = lambda x, i: F.substring(F.col(x), 8 * i + 1, 8)
     near = lambda x, y: likeness([cut(x, i) for i in range(k)], [cut(y, i) for i in range(k)])
     prints = stage(joined.select("id", "n_chars", "edited_sha256", F.col("a").alias("fingerprint"), F.col("b").alias("edited_fingerprint"), near("a", "b").alias("near_edited")), "prints")
 
-    asks = prints.join(nexts.select(F.col("id").alias("of"), "next_id"), F.col("id").eqNullSafe(F.col("of"))).drop("of")
+    asks = prints.join(nexts.select(F.col("id").alias("of"), "next_id"), F.col("id") == F.col("of")).drop("of")
     other = prints.select(F.col("id").alias("other_id"), F.col("fingerprint").alias("other"))
-    return asks.join(other, F.col("next_id").eqNullSafe(F.col("other_id"))).select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near("fingerprint", "other").alias("near_next"))
+    return asks.join(other, F.col("next_id") == F.col("other_id")).select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near("fingerprint", "other").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
