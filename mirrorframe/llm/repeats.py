@@ -37,7 +37,7 @@ WINDOWS = MATCH - GRAM + 1
 #: Different runs of one anchor beyond which they go by single windows.
 HOT = 2000
 #: Bytes of text worked on at once, and aimed at for a group of runs.
-SLICE, GROUP = 2 << 20, 12 << 20
+SLICE, GROUP = 1 << 20, 8 << 20
 NO_ID = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(77003))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
