@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mirrorframe import __version__
 from mirrorframe.functions import pii
-from mirrorframe.functions.text import TextPolicy
+from mirrorframe.functions.rng import row_identity
+from mirrorframe.functions.text import TextPolicy, apply_policy
 from mirrorframe.operators.constraints import parse_constraint, precheck, thin_support_warning, where_table
 from mirrorframe.operators.hierarchy import HierarchySynthesizer
 from mirrorframe.operators.pipeline import generate
@@ -81,6 +82,7 @@ def gen(a: argparse.Namespace) -> int:
             made = model.sample_where(spark, rows, where_table(a.where, {n: t.data.columns for n, t in data.tables.items()}), a.where, most=a.max_oversample)
         else:
             made = model.sample(spark, rows)
+        made = {n: apply_policy(d, data.tables[n].columns, a.text_policy, seed=a.seed, salt=a.salt, key=row_identity(d), source=data.tables[n].data) for n, d in made.items()}
         suffixes = {n: Path(s["value"]).suffix or ".csv" for n, s in schema.sources.items()}
         write_dataset(made, a.out, suffixes, one_file=a.one_file)
         print(json.dumps({n: d.count() for n, d in made.items()}))

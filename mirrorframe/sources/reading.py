@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mirrorframe.plans.stages import ship
 from mirrorframe.sources.arrow_files import ArrowSource
 from mirrorframe.sources.duckdb_tables import DuckDbSource
 from mirrorframe.sources.normalize import normalise, promote
@@ -23,6 +24,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
         return promote(_in_file_order(spark, path, spark.read.option("multiLine", True).json(path), False))
     if kind in (".ndjson", ".jsonl"):
         return promote(_in_file_order(spark, path, spark.read.json(path), True))
+    ship(spark)
     spark.dataSource.register(ArrowSource)
     return spark.read.format("arrow_file").load(path)
 
@@ -46,6 +48,7 @@ def read_database(spark: SparkSession, spec: DatabaseUri, *, fit_rows: int | Non
     """A table or query: its size is asked first, and a sample is taken inside the database."""
     base, size = base_query(spec), count_sql(spec.scheme, spec.table, spec.query)
     if spec.scheme == "duckdb":
+        ship(spark)
         spark.dataSource.register(DuckDbSource)
         path = spec.uri.split("://", 1)[1]
         read = lambda sql, paged=False: spark.read.format("duckdb").option("database", path).option("query", sql).option("paged", str(paged).lower()).load()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorframe.plans.model import is_datetime
+from mirrorframe.plans.stages import ship
 from mirrorframe.sources.uri import DuckDbSink, FilePath, SinkError, suffix
 
 
@@ -41,6 +42,7 @@ def _write_arrow(df: DataFrame, path: str) -> None:
     """One IPC file, written batch by batch as partitions arrive on the driver, so the driver holds one partition at a time."""
     import pyarrow as pa
 
+    ship(df.sparkSession)
     batches = df.mapInArrow(_serialised, "batch binary").toLocalIterator()
     first = None
     with pa.OSFile(path, "wb") as out:
@@ -96,6 +98,7 @@ def write_duckdb(df: DataFrame, sink: DuckDbSink) -> None:
     import duckdb
     import pyarrow as pa
 
+    ship(df.sparkSession)
     with duckdb.connect(sink.path) as c:
         name = '"' + sink.table.replace('"', '""') + '"'
         made = False
