@@ -33,12 +33,15 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur earlier; documents that lose everything go. A cut inside a character drops its other bytes."""
+    """Cuts passages that occur earlier; documents that lose everything go. A cut inside a character drops its other bytes. Texts move once, as what is left of them."""
     ship(spark)
-    cut = remove_repeats(docs).select(F.col("id").alias("_id"), F.make_valid_utf8("kept").alias("_kept"), "n_removed")
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace("_kept", "�", ""))
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"]).withColumn("text", text).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = F.make_valid_utf8("kept")
+    left = F.when(F.col("n_removed") == 0, kept).otherwise(F.regexp_replace(kept, "\ufffd", ""))
+    cut = remove_repeats(docs).select(F.col("id").alias("_id"), left.alias("text"), "n_removed")
+    others = docs.withColumn("_null", F.col("text").isNull()).drop("text", "n_chars")
+    joined = others.join(cut, others["doc_id"] == cut["_id"]).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    joined = joined.withColumn("text", F.when(~F.col("_null"), F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
