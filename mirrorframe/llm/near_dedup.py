@@ -9,7 +9,8 @@ expected 1 or more children, dissimilar ones die out, and independent trees repe
 What a node does at the start depth and below:
 1. every member is compared to the node's smallest id (links that hold join components);
 2. a node whose members are all in one component is done, however large: copies are never expanded into pairs;
-3. else a small node compares its members across components exhaustively, and a large one branches deeper.
+3. else a small node compares its members across components exhaustively, and so does a large one whose members outside its largest component are
+   few (at most `FEW`, so the work is linear in its members); any other branches deeper.
 A comparison takes the full sets of both. No cap drops a candidate: what is left of large nodes at `MAX_DEPTH` is compared in blocks.
 
 Plan: the text is read once for the sets' summaries and once more, for candidate documents only, for the full sets. Everything
@@ -42,6 +43,7 @@ TREES = 20
 START_DEPTH = 3
 MAX_DEPTH = 24
 SMALL = 24
+FEW = 32
 _rng = np.random.Generator(np.random.PCG64(20240611))
 #: From a rule: random odd multipliers and byte values of the hashes.
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -204,13 +206,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Adds c, the component of each id so far (its own id where it has no link)."""
-    return nodes.join(comps, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
-
-
-def _sizes(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+def _open_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, id, c, main, members, outside) of nodes that hold more than one component: c is the component of each id so far, main the node's largest one."""
+    labelled = nodes.join(comps, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
+    per = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"))
+    sizes = per.groupBy("node").agg(F.sum("k").alias("members"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("main")).filter("members > most")
+    return labelled.join(sizes.select("node", "members", "main", (F.col("members") - F.col("most")).alias("outside")), "node")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, start_depth: int = START_DEPTH) -> DataFrame:
@@ -241,15 +242,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         new = stage(confirmed(pairs, sets), "near-links")
         links = new if links is None else links.union(new)
         comps = components(links)
-        labelled = _labelled(nodes, comps)
-        open_nodes = stage(_sizes(labelled), "near-open")
-        labelled = labelled.join(open_nodes.select("node", "members"), "node")
-        small = labelled.filter(F.col("members") <= SMALL).select("node", "id", "c")
-        other = small.select("node", F.col("id").alias("id2"), F.col("c").alias("c2"))
-        across = small.join(other, "node").filter("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        open_nodes = stage(_open_nodes(nodes, comps), "near-open")
+        done = (F.col("members") <= SMALL) | (F.col("outside") <= FEW)
+        now = open_nodes.filter(done)
+        outside = now.filter("c <> main").select("node", F.col("id").alias("id2"), F.col("c").alias("c2"))
+        across = now.join(outside, "node").filter("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         new = stage(confirmed(stage(across, "near-across"), sets), "near-links")
         links = links.union(new)
-        large = labelled.filter(F.col("members") > SMALL).select("node", "id")
+        large = open_nodes.filter(~done).select("node", "id")
         if not large.limit(1).count():
             break
         if depth >= MAX_DEPTH:
