@@ -1,7 +1,7 @@
 """Token-ID binary output: shards of separately compressed documents under one shared zstandard dictionary.
 
-The dictionary is trained on serialized id arrays of a sample of documents (at most `sample_docs`, the first in the order of a
-hash; it only affects compression). A shard is one row of a Parquet table: its range of ids, the SHA-256 of its dictionary, an offset index and the
+The dictionary is trained on serialized id arrays of a sample of documents (about `sample_docs` and at most twice as many, by a hash
+of the id; it only affects compression). A shard is one row of a Parquet table: its range of ids, the SHA-256 of its dictionary, an offset index and the
 concatenated frames. Ids are unsigned 16-bit where the vocabulary allows, 32-bit otherwise. A reader finds a document in the
 index, checks the dictionary's hash and decompresses that document alone. Parquet's statistics on the ids of a
 shard let a look-up skip all other shards.
@@ -36,7 +36,7 @@ from mirrorframe.llm.common import column_or_null, new_path, stage, table
 SHARD_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
 #: Chunks whose ids a worker process remembers at most.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
 
@@ -102,7 +102,8 @@ def _splits_at_blanks(path: str) -> bool:
 
 def train_dictionary(docs: DataFrame, name: str, end_id: int, sample_docs: int) -> bytes:
     """A zstandard dictionary from the id arrays of the sample; empty where the sample is too small for one."""
-    picked = docs.orderBy(F.xxhash64("id", F.length("text")), "id").limit(sample_docs)
+    share = sample_docs / max(1, docs.count())
+    picked = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(name)
