@@ -11,7 +11,9 @@ What a node does at the start depth and below:
 2. a node whose members are all in one component is done, however large: copies are never expanded into pairs;
 3. else a small node compares its members across components exhaustively, and so does a large one whose members outside its largest component are
    few (at most `FEW`, so the work is linear in its members); any other branches deeper.
-A comparison takes the full sets of both. No cap drops a candidate: what is left of large nodes at `MAX_DEPTH` is compared in blocks.
+A comparison takes the full sets of both. Before the sets are fetched, a pair must pass a sketch: one bit of each minwise
+token (joined to the rows of shared nodes only). Bits agree with probability (1 + J) / 2, so at the threshold 16 of 128 differ on average, and more than `MAX_BITS` with a probability
+of one in a million a tree-independent pair. No cap drops a candidate: what is left of large nodes at `MAX_DEPTH` is compared in blocks.
 
 Plan: the text is read once for the sets' summaries and once more, for candidate documents only, for the full sets. Everything
 that moves is keyed by node or by document; the skew of a hot node is left to partial aggregation (its smallest id and size) and
@@ -43,7 +45,8 @@ TREES = 20
 START_DEPTH = 3
 MAX_DEPTH = 24
 SMALL = 24
-FEW = 32
+FEW = 512
+MAX_BITS = 34
 _rng = np.random.Generator(np.random.PCG64(20240611))
 #: From a rule: random odd multipliers and byte values of the hashes.
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -106,7 +109,7 @@ def children(signatures: np.ndarray, owners: np.ndarray, paths: np.ndarray, rate
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """docs: id, text. id, n (set size), two hashes that name the set, and its minwise tokens (binary)."""
+    """docs: id, text. id, n (set size), two hashes that name the set, its minwise tokens (binary) and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +117,22 @@ def summaries(docs: DataFrame) -> DataFrame:
                 part = batch.slice(start, 512)
                 sets = [shingle_set(x) for x in part.column("text").to_pylist()]
                 names = np.array([[(x * PLACE[2]).sum(), mix(x + PLACE[3]).sum()] if len(x) else [0, 0] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                tokens = [signature(x).tobytes() if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(tokens, pa.binary())], names=["id", "n", "name", "name2", "tokens"])
+                tokens = np.stack([signature(x) for x in sets]) if sets else np.zeros((0, COORDINATES), np.uint32)
+                bits = sketch(tokens)
+                columns = [part.column("id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c.copy()) for c in (names[:, 0], names[:, 1])), pa.array([t.tobytes() for t in tokens], pa.binary()), *(pa.array(c.copy()) for c in (bits[:, 0], bits[:, 1]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "name", "name2", "tokens", "s1", "s2"])
 
-    return docs.mapInArrow(run, "id long, n long, name long, name2 long, tokens binary")
+    return docs.mapInArrow(run, "id long, n long, name long, name2 long, tokens binary, s1 long, s2 long")
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit of each token: two longs a row."""
+    return np.packbits((tokens & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def close(a1, a2, b1, b2):
+    """Whether two sketches may belong to a link."""
+    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2)) <= MAX_BITS
 
 
 def start_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -167,7 +182,9 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a < b. Those whose full sets are linked."""
+    """pairs (a written table): a < b. Those whose full sets are linked."""
+    if not pairs.limit(1).count():
+        return pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +223,22 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("id", "component")
 
 
+def _with_leaders(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Nodes of two documents or more, with sketches and the smallest id and its sketch."""
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).filter("members > 1")
+    of_leader = sketches.select(F.col("id").alias("leader"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    return nodes.join(shared.select("node", "leader"), "node").join(sketches, "id").join(of_leader, "leader").select("node", "id", "s1", "s2", "leader", "l1", "l2")
+
+
+def _star(nodes: DataFrame) -> DataFrame:
+    """Pairs of each node's smallest id with its other members."""
+    near = close(F.col("s1"), F.col("s2"), F.col("l1"), F.col("l2"))
+    return nodes.filter((F.col("id") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def _open_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """(node, id, c, main, members, outside) of nodes that hold more than one component: c is the component of each id so far, main the node's largest one."""
-    labelled = nodes.join(comps, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
+    """Nodes that hold more than one component, with c (the component of each id so far), main (the node's largest one), members and outside (those not in main)."""
+    labelled = nodes.join(comps, "id", "left").select("node", "id", "s1", "s2", F.coalesce("component", "id").alias("c"))
     per = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"))
     sizes = per.groupBy("node").agg(F.sum("k").alias("members"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("main")).filter("members > most")
     return labelled.join(sizes.select("node", "members", "main", (F.col("members") - F.col("most")).alias("outside")), "node")
@@ -223,44 +253,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         every = stage(summaries(source), "near-summaries")
     # Documents of one set: the smallest id stands for all
     folds = every.filter("n > 0").groupBy("name", "name2", "n").agg(F.min("id").alias("rep"))
-    reps = stage(every.join(folds.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "tokens"), "near-reps")
-    nodes = start_nodes(reps, trees, start_depth)
+    reps = stage(every.join(folds.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "tokens", "s1", "s2"), "near-reps")
+    sketches = reps.select("id", "s1", "s2")
     # Nodes of one document have nothing to compare
-    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).filter("members > 1")
-    nodes = stage(nodes.join(shared, "node"), "near-nodes")
-    links, sets = None, None
-    known = reps.select("id").limit(0)
+    nodes = stage(_with_leaders(start_nodes(reps, trees, start_depth), sketches), "near-nodes")
+    sets = stage(full_sets(source, stage(nodes.select("id").distinct(), "near-candidates")), "near-sets")
+    links = None
     depth = start_depth
-    pairs = nodes.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    nodes = nodes.select("node", "id")
-    comps = None
     while True:
-        pairs = stage(pairs, "near-pairs")
-        if sets is None:
-            wanted = stage(nodes.select("id").distinct(), "near-candidates")
-            sets = stage(full_sets(source, wanted), "near-sets")
-        new = stage(confirmed(pairs, sets), "near-links")
+        new = stage(confirmed(stage(_star(nodes), "near-pairs"), sets), "near-links")
         links = new if links is None else links.union(new)
         comps = components(links)
         open_nodes = stage(_open_nodes(nodes, comps), "near-open")
         done = (F.col("members") <= SMALL) | (F.col("outside") <= FEW)
         now = open_nodes.filter(done)
-        outside = now.filter("c <> main").select("node", F.col("id").alias("id2"), F.col("c").alias("c2"))
-        across = now.join(outside, "node").filter("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        outside = now.filter("c <> main").select(F.col("node").alias("node2"), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+        near = close(F.col("s1"), F.col("s2"), F.col("t1"), F.col("t2"))
+        across = now.join(outside, (F.col("node") == F.col("node2")) & (F.col("c") != F.col("c2")) & near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         new = stage(confirmed(stage(across, "near-across"), sets), "near-links")
         links = links.union(new)
         large = open_nodes.filter(~done).select("node", "id")
         if not large.limit(1).count():
             break
         if depth >= MAX_DEPTH:
-            links = links.union(stage(confirmed(_blocks(large), sets), "near-links"))
+            links = links.union(stage(confirmed(stage(_blocks(large), "near-blocks"), sets), "near-links"))
             break
         depth += 1
-        below = branch(large.join(reps, "id"))
-        shared = below.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).filter("members > 1")
-        below = stage(below.join(shared, "node"), "near-nodes")
-        pairs = below.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        nodes = below.select("node", "id")
+        nodes = stage(_with_leaders(branch(large.join(reps.select("id", "tokens"), "id")), sketches), "near-nodes")
     comps = components(links)
     of_rep = folds.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("name", "name2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("id", "n", "name", "name2").join(of_rep, ["name", "name2", "n"], "left")
