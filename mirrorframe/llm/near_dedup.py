@@ -6,14 +6,14 @@ that holds everything; a node chooses coordinates by a hash of its path, each wi
 document goes to one child for every chosen coordinate, named by its minwise token there. Similar pairs stay together in an
 expected 1 or more children, dissimilar ones die out, and independent trees repeat this to the target recall.
 
-What a node does at the start depth and below:
+What a node does at the start depth:
 1. every member is compared to the node's smallest id (links that hold join components);
 2. a node whose members are all in one component is done, however large: copies are never expanded into pairs;
-3. else a small node compares its members across components exhaustively, and so does a large one whose members outside its largest component are
-   few (at most `FEW`, so the work is linear in its members); any other branches deeper.
+3. else its members are compared across components exhaustively, in pairs of blocks (`FEW` members each) that are keys of their own. No node branches
+   deeper: a pair at the threshold is parted at every level with some probability, and a fixed number of trees would miss it more and more often.
 A comparison takes the full sets of both. Before the sets are fetched, a pair must pass a sketch: one bit of each minwise
 token (joined to the rows of shared nodes only). Bits agree with probability (1 + J) / 2, so at the threshold 16 of 128 differ on average, and more than `MAX_BITS` with a probability
-of one in a million a tree-independent pair. No cap drops a candidate: what is left of large nodes at `MAX_DEPTH` is compared in blocks.
+of one in a million a tree-independent pair. No cap drops a candidate. The work of a node is its members times those outside its largest component.
 
 Plan: the text is read once for the sets' summaries and once more, for candidate documents only, for the full sets. Everything
 that moves is keyed by node or by document; the skew of a hot node is left to partial aggregation (its smallest id and size) and
@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mirrorframe.llm.common import column_or_null, stage, table
 
@@ -43,7 +42,9 @@ COORDINATES = 128
 #: At the threshold a pair survives START_DEPTH levels of one tree with probability 0.37; 20 trees miss 1 in 10,000.
 TREES = 20
 START_DEPTH = 3
+#: Without effect since no node branches below START_DEPTH; tests set it.
 MAX_DEPTH = 24
+#: Members of a block of a large node: FEW, SMALL at least.
 SMALL = 24
 FEW = 512
 MAX_BITS = 34
@@ -154,21 +155,6 @@ def start_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
     return reps.select("id", "tokens").mapInArrow(run, "node long, id long")
 
 
-def branch(members: DataFrame) -> DataFrame:
-    """members: node, id, tokens. (node, id) one level down."""
-    rate = 100.0 / PERCENT / COORDINATES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                owners, paths = children(tokens, np.arange(len(tokens)), part.column("node").to_numpy().view(np.uint64), rate)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(part.column("id").to_numpy()[owners])], names=["node", "id"])
-
-    return members.select("node", "id", "tokens").mapInArrow(run, "node long, id long")
-
-
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, grams) of the documents in ids: the sorted shingle hashes, binary."""
 
@@ -258,28 +244,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Nodes of one document have nothing to compare
     nodes = stage(_with_leaders(start_nodes(reps, trees, start_depth), sketches), "near-nodes")
     sets = stage(full_sets(source, stage(nodes.select("id").distinct(), "near-candidates")), "near-sets")
-    links = None
-    depth = start_depth
-    while True:
-        new = stage(confirmed(stage(_star(nodes), "near-pairs"), sets), "near-links")
-        links = new if links is None else links.union(new)
-        comps = components(links)
-        open_nodes = stage(_open_nodes(nodes, comps), "near-open")
-        done = (F.col("members") <= SMALL) | (F.col("outside") <= FEW)
-        now = open_nodes.filter(done)
-        outside = now.filter("c <> main").select(F.col("node").alias("node2"), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-        near = close(F.col("s1"), F.col("s2"), F.col("t1"), F.col("t2"))
-        across = now.join(outside, (F.col("node") == F.col("node2")) & (F.col("c") != F.col("c2")) & near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        new = stage(confirmed(stage(across, "near-across"), sets), "near-links")
-        links = links.union(new)
-        large = open_nodes.filter(~done).select("node", "id")
-        if not large.limit(1).count():
-            break
-        if depth >= MAX_DEPTH:
-            links = links.union(stage(confirmed(stage(_blocks(large), "near-blocks"), sets), "near-links"))
-            break
-        depth += 1
-        nodes = stage(_with_leaders(branch(large.join(reps.select("id", "tokens"), "id")), sketches), "near-nodes")
+    links = stage(confirmed(stage(_star(nodes), "near-pairs"), sets), "near-links")
+    open_nodes = stage(_open_nodes(nodes, components(links)), "near-open")
+    links = links.union(stage(confirmed(stage(_across(open_nodes), "near-across"), sets), "near-links"))
     comps = components(links)
     of_rep = folds.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("name", "name2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("id", "n", "name", "name2").join(of_rep, ["name", "name2", "n"], "left")
@@ -287,14 +254,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """All pairs inside what is left of large nodes, in blocks of members, each pair of blocks a key of its own."""
-    sized = large.withColumn("block", F.floor(F.row_number().over(W.partitionBy("node").orderBy("id")) / SMALL))
-    top = sized.groupBy("node").agg(F.max("block").alias("top"))
-    sized = sized.join(top, "node")
-    left = sized.withColumn("with", F.explode(F.expr("sequence(block, top)"))).select("node", "id", "block", "with")
-    right = sized.withColumn("from", F.explode(F.expr("sequence(0L, block)"))).select("node", F.col("id").alias("id2"), F.col("from").alias("block"), F.col("block").alias("with"))
-    return left.join(right, ["node", "block", "with"]).filter("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+def _across(open_nodes: DataFrame) -> DataFrame:
+    """Pairs of members of a node in different components, each pair of blocks a key of its own. One of a pair is outside the largest component."""
+    block = max(FEW, SMALL)
+    blocks = lambda n: F.ceil(F.col(n) / block)
+    place = lambda n: F.pmod(F.xxhash64("id"), blocks(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    left = open_nodes.select("node", "id", "c", "main", "s1", "s2", place("members").alias("block"), each("outside").alias("with"))
+    right = open_nodes.filter("c <> main").select("node", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), place("outside").alias("with"), each("members").alias("block"))
+    near = close(F.col("s1"), F.col("s2"), F.col("t1"), F.col("t2"))
+    once = (F.col("c") == F.col("main")) | (F.col("id") < F.col("id2"))
+    return left.join(right.hint("merge"), ["node", "block", "with"]).filter((F.col("c") != F.col("c2")) & once & near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,16 @@ def test_near_duplicates_branch_deeper(spark, corpus, monkeypatch):
     assert got == classes(corpus)
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """600 texts share a template (likeness 0.67); each is linked to one other (0.77) only."""
+    monkeypatch.setattr(N, "SMALL", 24)
+    monkeypatch.setattr(N, "FEW", 24)
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    docs = [(i, " ".join([words("t", 96), words(f"p{i // 2}", 8), words(f"d{i}", 15)])) for i in range(600)]
+    got = {r.id: r.component_id for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(600)}
+
+
 def test_near_duplicates_odd_tables(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z")]
