@@ -25,14 +25,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> Table:
 def cart_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many synthetic orders as there are real ones."""
     source = _orders(spark, sf_dir)
-    return generate(source, source.data.count(), seed=42, strip_pii=False).data.drop("row_id")
+    return generate(source, source.data.count(), seed=42, fit_rows=0, strip_pii=False).data.drop("row_id")
 
 
 @query()
 def cart_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean marginal of synthetic events against the real ones."""
     source = infer_table("events", table(spark, sf_dir, "events"))
-    made = generate(source, source.data.count(), seed=42, strip_pii=False)
+    made = generate(source, source.data.count(), seed=42, fit_rows=0, strip_pii=False)
     return average_marginal(marginals(source.data, made.data, source.columns))
 
 
@@ -41,7 +41,7 @@ def reject_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic orders under constraints, half as many as the real table has of them."""
     source = _orders(spark, sf_dir)
     n = source.data.filter("o_totalprice <= 200000 and o_orderstatus = 'F'").count() // 4
-    made = generate(source, max(n, 1), seed=7, constraints=[Range("o_totalprice", 0, 200000), Where("o_orderstatus == 'F'")], max_oversample=60.0, strip_pii=False)
+    made = generate(source, max(n, 1), seed=7, fit_rows=0, constraints=[Range("o_totalprice", 0, 200000), Where("o_orderstatus == 'F'")], max_oversample=60.0, strip_pii=False)
     return made.data.drop("row_id")
 
 
@@ -51,7 +51,7 @@ def multi_table_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = infer_table("customer", table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"))
     orders = infer_table("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
     data = Dataset({"customer": Table("customer", customer.columns, "c_custkey", customer.data), "orders": Table("orders", orders.columns, "o_orderkey", orders.data)}, [ForeignKey("orders", "o_custkey", "customer", "c_custkey")])
-    made = HierarchySynthesizer(42).fit(data).sample(spark, {"customer": customer.data.count()})
+    made = HierarchySynthesizer(42).fit(data, fit_rows=0).sample(spark, {"customer": customer.data.count()})
     return made["orders"].join(made["customer"], F.col("o_custkey") == F.col("c_custkey"))
 
 

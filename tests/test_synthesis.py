@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from mirrorframe.operators.quality import average_marginal, marginals
 from mirrorframe.operators.trees import TreeSynthesizer, fit_row_cap
 from mirrorframe.plans.infer import infer_table
 from mirrorframe.plans.model import Dataset, ForeignKey
+from mirrorframe.queries import QUERIES
 from mirrorframe.sources import artifact
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def mixed(spark):
@@ -73,5 +77,22 @@ def test_hierarchy(spark):
     assert some["orders"].join(some["users"], "user_id", "left_anti").count() == 0
 
 
+@pytest.mark.parametrize("name", ["cart_generate", "cart_fidelity", "reject_resample", "multi_table_generate"])
+def test_queries_fit_all_rows(spark, monkeypatch, name):
+    if not Path(SF).exists():
+        pytest.skip("no test data")
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, table, *, fit_rows=None):
+        raise Seen(fit_rows)
+
+    monkeypatch.setattr(TreeSynthesizer, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, SF)
+    assert seen.value.args == (0,)
+
+
 def test_fit_row_cap():
     assert fit_row_cap(10, 50_000) is None and fit_row_cap(10, 200_000) == 50 and fit_row_cap(10**6, 200_000) == 100_000
