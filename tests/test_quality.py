@@ -1,5 +1,6 @@
 import json
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from mirrorframe.operators import quality as Q
 from mirrorframe.operators.report import Gates, breaches, to_html, to_json, to_text, verdict
 from mirrorframe.plans.model import Column, ColumnType
+from mirrorframe.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 NUM, CAT, TEXT = ColumnType.NUMERIC, ColumnType.CATEGORICAL, ColumnType.TEXT
 
 
@@ -50,6 +53,29 @@ def test_dcr(spark):
     assert math.isnan(Q.dcr_summary(Q.distances(real.filter("x < 0"), real, columns)).first().dcr_p50)
 
 
+def test_dcr_of_all_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "DCR_ROWS", 7)
+    real = spark.range(60).select((F.col("id") * F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("c"))
+    synth = spark.range(45).select((F.col("id") * 2.3).alias("x"), (F.col("id") % 2).cast("string").alias("c"))
+    got = sorted(r.distance for r in Q.distances(real, synth, [Column("x", NUM), Column("c", CAT)], rows=0).collect())
+    a, b = real.collect(), synth.collect()
+    low, high = min(r.x for r in a), max(r.x for r in a)
+    scaled = lambda x: min(1.0, max(0.0, (x - low) / (high - low)))
+    want = sorted(min(math.sqrt((scaled(s.x) - scaled(r.x)) ** 2 + 2 * (s.c != r.c)) for r in a) for s in b)
+    assert got == pytest.approx(want)
+
+
+def test_dcr_query_takes_all_rows(spark, monkeypatch):
+    if not Path(SF).exists():
+        pytest.skip("no test data")
+
+    def sampled(*_):
+        raise AssertionError("sampled")
+
+    monkeypatch.setattr(Q, "exact_sample", sampled)
+    assert QUERIES["dcr_percentiles"](spark, SF).count() == 1
+
+
 def test_report_of_odd_tables(spark):
     real = spark.createDataFrame([(1, "a", "t1", None), (2, "b", "t2", None), (3, "b", "t3", None)], "num_a long, b string, t string, n double")
     synth = spark.createDataFrame([(1.0, "a", "t1", "x")], "num_a double, b string, t string, c string")
