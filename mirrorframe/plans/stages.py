@@ -11,30 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder for a local master, and an error for a cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def stages_dir(spark: SparkSession) -> str:
+    """Where this application keeps its stage tables."""
+    return f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path among the stage tables that nothing else uses."""
+    return f"{stages_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df from a written table: cuts lineage and survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this application. Results that still read them can't be computed afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stages_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application: for sources and sinks, whose code runs there by name."""
+    """Send this package to the Python workers, once an application: for code that runs there by name."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
-        to = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}-core.zip"
+        to = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}.zip"
         with zipfile.ZipFile(to, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
