@@ -1,33 +1,18 @@
-"""What several operators share: reading tables, stage tables in the shared folder, and word patterns."""
+"""What several operators share: reading tables, stage tables in the shared folder, row keys and word patterns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: a word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-_SHIPPED: set[str] = set()
+from mirrorframe.plans.stages import new_path, ship, staged
 
+__all__ = ["WORD", "column_or_null", "free_name", "keyed", "new_path", "ship", "stage", "table"]
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        package = Path(__file__).resolve().parent.parent
-        to = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(to))
-        _SHIPPED.add(app)
+#: Fixed value: a word is a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+#: Write to the shared folder and read back.
+stage = staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,32 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unit(h: Column) -> Column:
-    """A 64-bit hash as a double in [0, 1)."""
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-
-
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column, or a typed null where the table has none of that name."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one with underscores in front that the table has no column of (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str, key: str, *, nulls_first: bool = False) -> tuple[DataFrame, bool]:
+    """docs with a column `key` (long) that no two rows share and that ascends with the ids, and whether the ids themselves serve as keys.
+
+    They do where they are unique and not null. Else rows are range-sorted by id (nulls last by default; rows of one
+    id in the order of a hash of the row without its maps), numbered and written, so that the numbers stay.
+    """
+    ids = docs.select(column_or_null(docs, id_col, "long").alias("id"))
+    if not ids.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():
+        return docs.withColumn(key, column_or_null(docs, id_col, "long")), True
+    own, tie = free_name(docs, "_own"), free_name(docs, "_tie")
+    row = docs.withColumns({own: column_or_null(docs, id_col, "long"), tie: F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])})
+    order = [F.col(own).asc_nulls_first() if nulls_first else F.col(own).asc_nulls_last(), F.col(tie)]
+    dealt = row.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(dealt.withColumn(key, F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in docs.columns], key), "keyed"), False

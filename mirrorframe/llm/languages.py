@@ -6,11 +6,12 @@ n-grams; a language's prototype bundles those of all documents it is learnt from
 whose prototype has the largest cosine with it.
 
 Bundling is linear, so prototypes come from n-gram counts by language: each task counts its own, Spark adds the counts up, and each
-task bundles its part of them. What reaches the driver is one vector per language and task. Documents are
-worked on in small blocks: counts of the block's n-grams times their vectors, one matrix product.
+task bundles its part of them; the parts of a language are added up in one group, of one vector a task. What reaches the driver is one vector per
+language. Documents are worked on in blocks of bounded size: counts of the block's n-grams times their vectors, one matrix product.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language that sorts first; without any learnt
-language every document is `und`; repeated rows get equal results; an empty table gives an empty result.
+language every document is `und`; repeated rows get equal results; very long texts are blocks of their own; an empty table gives an empty result; held_out is
+null for a null doc_id, which is never learnt from; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, table
+from mirrorframe.llm.common import column_or_null, free_name, table
 
-#: Production parameters: length of the vectors, letters in an n-gram, documents in a block.
+#: Production parameters: length of the vectors, letters in an n-gram, documents and characters in a block.
 SIZE = 1024
 N = 3
 BLOCK = 64
+BLOCK_CHARS = 1 << 19
 #: Rows of the table of n-gram vectors that a worker process keeps at most.
 REMEMBERED = 60_000
 _LETTER: np.ndarray | None = None
@@ -141,38 +143,63 @@ def learn(rows: DataFrame, *, size: int = SIZE) -> dict[str, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], names=["lang", "part"])
 
-    out: dict[str, np.ndarray] = {}
-    for row in counts.mapInArrow(bundle, "lang string, part binary").collect():
-        out[row.lang] = out.get(row.lang, 0) + np.frombuffer(bytes(row.part), "<f8")
+    def add(t: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(x, "<f8") for x in t.column("part").to_pylist())
+        return pa.table({"lang": t.column("lang").slice(0, 1), "whole": pa.array([whole.tobytes()], pa.binary())})
+
+    wholes = counts.mapInArrow(bundle, "lang string, part binary").groupBy("lang").applyInArrow(add, "lang string, whole binary")
+    out = {row.lang: np.frombuffer(bytes(row.whole), "<f8") for row in wholes.collect()}
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v))}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with lang_pred and score, the cosine cut to 0 to 1."""
+def blocks(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of at most BLOCK texts and, unless one alone is longer, BLOCK_CHARS characters."""
+    start = chars = 0
+    for i, x in enumerate(texts):
+        n = len(x or "")
+        if i > start and (i - start == BLOCK or chars + n > BLOCK_CHARS):
+            yield slice(start, i)
+            start, chars = i, 0
+        chars += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def language_of(spark: SparkSession, text: Column, prototypes: dict[str, np.ndarray]) -> Column:
+    """struct(lang, score) of a text column; score is the cosine cut to 0 to 1. Only the text moves to Python, and only the result back."""
     names = list(prototypes)
-    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, SIZE), np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    shared = spark.sparkContext.broadcast(np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, SIZE), np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, against = space(shared.value.shape[1]), shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                found = [grams(x) for x in part.column("_text").to_pylist()]
+            texts = batch.to_pylist()
+            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            for part in blocks(texts) if names else ():
+                found = [grams(x) for x in texts[part]]
                 vectors = own.bundle(found)
-                norms = np.linalg.norm(vectors, axis=1)
-                langs, scores = ["und"] * len(found), [0.0] * len(found)
-                if len(names):
-                    cosines = vectors @ against.T / np.maximum(norms, 1e-9)[:, None]
-                    best = cosines.argmax(axis=1)
-                    for i, b in enumerate(best.tolist()):
-                        if len(found[i]):
-                            langs[i], scores[i] = names[b], float(np.clip(cosines[i, b], 0, 1))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                cosines = vectors @ against.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+                for i, b in enumerate(cosines.argmax(axis=1).tolist()):
+                    if len(found[i]):
+                        langs[part.start + i], scores[part.start + i] = names[b], float(np.clip(cosines[i, b], 0, 1))
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+    return run(text)
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with the predicted language and its score; columns of those names are replaced."""
+    found = language_of(docs.sparkSession, column_or_null(docs, text_col, "string"), prototypes)
+    keep = [c for c in docs.columns if c.lower() not in (lang_col.lower(), score_col.lower())]
+    held = free_name(docs, "found")
+    both = docs.select(*[F.col(f"`{c}`") for c in keep], found.alias(held))
+    return both.select(*[F.col(f"`{c}`") for c in keep], F.col(f"{held}.lang").alias(lang_col), F.col(f"{held}.score").alias(score_col))
+
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for c in keep for f in docs.schema.fields if f.name == c)
-    return docs.select(*keep, column_or_null(docs, text_col, "string").alias("_text")).mapInArrow(run, f"{kept}lang_pred string, score double")
+def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language (is not `und`), with the columns of docs."""
+    return docs.filter(language_of(docs.sparkSession, column_or_null(docs, text_col, "string"), prototypes)["lang"] != "und")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -183,6 +210,6 @@ def learnable(docs: DataFrame) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents."""
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, learn(learnable(docs)), keep=["doc_id"])
+    found = identify(docs.select("doc_id", "text"), learn(learnable(docs)))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -13,7 +13,8 @@ of equal width in virtual time in the same way; equal widths hold nearly equal n
 source proceeds at a constant rate.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last
-in order; identical rows each get a row; an empty table gives an empty result; other columns are ignored.
+in order; identical rows each get a row and are taken alike; documents of equal hash go by id and size; very long texts
+are single documents like others; an empty table gives an empty result; other columns are ignored by the plan and kept by the mix.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mirrorframe.llm.common import WORD, column_or_null, stage, table, unit
+from mirrorframe.llm.common import WORD, column_or_null, free_name, keyed, stage, table
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: int) -> DataFrame:
@@ -70,7 +71,9 @@ def weighted_mix(
     budget, bucket_rows = math.floor(total * share), max(256, math.isqrt(n))
 
     docs_t = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.id", "d.source", "d.size", "t.rank", "t.source_size", "t.n", "t.target")
-    docs_t = docs_t.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")).withColumn("b", F.floor(unit(F.col("h")) * F.ceil(F.col("n") / bucket_rows)))
+    # 60 bits of MD5, which SQL engines share
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "size")
+    docs_t = docs_t.withColumn("h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).withColumn("b", F.floor(F.col("h") / float(1 << 60) * F.ceil(F.col("n") / bucket_rows)))
     docs_t = stage(_prefix(docs_t, ["rank"], "b", ["h", "id", "size"], "size", "served").drop("b", "n"), "mix-served")
 
     finish = F.when(F.col("target") > 0, (F.col("served") + F.col("epoch") * F.col("source_size")) / F.col("target")).otherwise(0.0)
@@ -103,18 +106,35 @@ def weighted_mix(
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of the mix with the columns of docs, each as often as the mix takes it, range-sorted by virtual finish time.
-
-    id_col identifies the documents; of rows that share an id, each is repeated as often as the one taken most.
-    """
-    plan = weighted_mix(docs, id_col=id_col, **how).filter("copies > 0").groupBy("id").agg(F.max("copies").alias("_copies"), F.min("first_finish").alias("_finish"), F.try_divide(F.max("target"), F.max("source_size")).alias("_rate"))
-    out = docs.join(plan, docs[id_col].eqNullSafe(plan["id"])).drop("id")
-    out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    at = F.col("_finish") + F.coalesce(F.try_divide(F.col("_epoch"), F.col("_rate")), F.lit(0.0))
-    return out.withColumn("_at", at).repartitionByRange("_at", F.col(id_col)).sortWithinPartitions("_at", id_col).select(*docs.columns)
+    """The rows of the mix with the columns of docs, each as often as the mix takes it, range-sorted by virtual finish time. Rows that repeat an id are documents of their own."""
+    key = free_name(docs, "_row")
+    rows, _ = keyed(docs, id_col, key)
+    plan = weighted_mix(rows, id_col=key, **how).filter("copies > 0")
+    rate = F.try_divide("target", "source_size")
+    plan = plan.select("id", F.struct("copies", "first_finish", rate.alias("rate")).alias("plan"))
+    held, epoch, at = (free_name(docs, x) for x in ("_plan", "_epoch", "_at"))
+    out = rows.join(plan.select(F.col("id").alias(key), F.col("plan").alias(held)), key)
+    out = out.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(held)["copies"] - 1)))
+    out = out.withColumn(at, F.col(held)["first_finish"] + F.coalesce(F.try_divide(F.col(epoch), F.col(held)["rate"]), F.lit(0.0)))
+    return out.repartitionByRange(at, key).sortWithinPartitions(at, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the mix of all documents at weights 3, 1, 2 and 150% of all words."""
     mix = weighted_mix(table(spark, sf_dir, "documents"))
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: The whole queue in SQL: one global order, without buckets.
+ORACLE = rf"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s GROUP BY source),
+weighed AS (SELECT *, list_extract([3.0::DOUBLE, 1.0, 2.0], ((rank - 1) % 3 + 1)::INT) AS w, source_size * 2.0::DOUBLE AS most, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM per),
+levels AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+targets AS (SELECT source, rank, source_size, budget, least(most, w * max(level) OVER ()) AS target FROM levels),
+placed AS (SELECT doc_id, size, rank, source_size, target, budget, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 15))::BIGINT AS h FROM s JOIN targets ON s.source IS NOT DISTINCT FROM targets.source),
+served AS (SELECT *, (sum(size) OVER (PARTITION BY rank ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS served FROM placed),
+copies AS (SELECT *, CASE WHEN target > 0 THEN (served + epoch * source_size)::DOUBLE / target ELSE 0 END AS finish FROM served, (VALUES (0), (1)) e(epoch)),
+queued AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, epoch, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM copies)
+SELECT doc_id, size, source_size, target, (count(*) FILTER (WHERE upto <= floor(budget)) * size)::BIGINT AS taken FROM queued GROUP BY doc_id, size, source_size, target
+"""

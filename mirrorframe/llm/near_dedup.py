@@ -1,27 +1,31 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set holds the hashes of its distinct word shingles. Documents of one set are folded first and represented
-by their smallest id. Each representative has `COORDINATES` minwise tokens. A tree starts at a node
+by their smallest key. Each representative has `COORDINATES` minwise tokens. A tree starts at a node
 that holds everything; a node chooses coordinates by a hash of its path, each with probability 1 / (threshold * COORDINATES), and a
 document goes to one child for every chosen coordinate, named by its minwise token there. Similar pairs stay together in an
 expected 1 or more children, dissimilar ones die out, and independent trees repeat this to the target recall.
 
 What a node does at the start depth:
-1. every member is compared to the node's smallest id (links that hold join components);
+1. every member is compared to the node's smallest key (links that hold join components);
 2. a node whose members are all in one component is done, however large: copies are never expanded into pairs;
-3. else its members are compared across components exhaustively, in pairs of blocks (`FEW` members each) that are keys of their own. No node branches
-   deeper: a pair at the threshold is parted at every level with some probability, and a fixed number of trees would miss it more and more often.
-A comparison takes the full sets of both. Before the sets are fetched, a pair must pass a sketch: one bit of each minwise
-token (joined to the rows of shared nodes only). Bits agree with probability (1 + J) / 2, so at the threshold 16 of 128 differ on average, and more than `MAX_BITS` with a probability
-of one in a million a tree-independent pair. No cap drops a candidate. The work of a node is its members times those outside its largest component.
+3. else members of different components are compared exhaustively. Nodes of up to `SMALL` members do so pair by pair. Larger ones are met again and again by
+   much the same documents, in many trees; those with one main component (the largest among their members) are therefore merged, and every document outside
+   it is compared to every member once, in pairs of blocks of bounded count and bytes that are keys of their own. A block pair has the full sets of both sides
+   and returns one link for each two components. No node branches deeper: a pair at the threshold is parted at every level with some
+   probability, and a fixed number of trees would miss it more and more often.
+A comparison takes the full sets of both. Single pairs must pass two lossless or nearly lossless tests before their sets are fetched: the sizes of the sets allow the
+threshold, and a sketch of one bit of each minwise token agrees. Bits agree with probability (1 + J) / 2, so at the threshold 16 of 128 differ on average, and more than
+`MAX_BITS` with a probability of one in a million. No cap drops a candidate. The work of a large node is its members times those outside its largest component.
 
 Plan: the text is read once for the sets' summaries and once more, for candidate documents only, for the full sets. Everything
-that moves is keyed by node or by document; the skew of a hot node is left to partial aggregation (its smallest id and size) and
-to skewed-join splitting. Components come from distributed min-label propagation over links.
+that moves is keyed by node, by document or by a pair of blocks; the skew of a hot node is left to partial aggregation (its smallest key and size) and
+to skewed-join splitting. Components come from distributed min-label propagation over links, then over links between those components.
 
 Defined results: a text with fewer words than a shingle is one shingle of all of them; null and empty texts have the empty set, link with
-nothing and are kept; rows that repeat an id count as one document, with the set of the least text; a null id is dropped from the result;
-an empty table gives an empty result; other columns are ignored.
+nothing and are kept; rows that repeat an id, and rows of null id, are documents of their own, of which those with an id come first
+(a component has the smallest id among its rows, null where none has one); very long texts have large sets and blocks of their own; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, stage, table
+from mirrorframe.llm.common import column_or_null, free_name, keyed, stage, table
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -42,11 +46,10 @@ COORDINATES = 128
 #: At the threshold a pair survives START_DEPTH levels of one tree with probability 0.37; 20 trees miss 1 in 10,000.
 TREES = 20
 START_DEPTH = 3
-#: Without effect since no node branches below START_DEPTH; tests set it.
-MAX_DEPTH = 24
-#: Members of a block of a large node: FEW, SMALL at least.
-SMALL = 24
-FEW = 512
+#: Members of a node that compares pair by pair; documents and bytes of sets in a block of larger nodes.
+SMALL = 32
+BLOCK = 512
+BLOCK_BYTES = 8 << 20
 MAX_BITS = 34
 _rng = np.random.Generator(np.random.PCG64(20240611))
 #: From a rule: random odd multipliers and byte values of the hashes.
@@ -131,9 +134,11 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((tokens & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
-def close(a1, a2, b1, b2):
-    """Whether two sketches may belong to a link."""
-    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2)) <= MAX_BITS
+def close(a: str, b: str) -> Column:
+    """Whether set sizes and sketches of two structs (n, s1, s2) allow a link."""
+    x, y = F.col(a), F.col(b)
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * PERCENT
+    return sizes & (F.bit_count(x["s1"].bitwiseXOR(y["s1"])) + F.bit_count(x["s2"].bitwiseXOR(y["s2"])) <= MAX_BITS)
 
 
 def start_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -168,27 +173,68 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a written table): a < b. Those whose full sets are linked."""
-    if not pairs.limit(1).count():
+    """pairs (a written table): a, b, and what else. Those whose full sets are linked."""
+    if pairs.isEmpty():
         return pairs
+    kept = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= PERCENT * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(kept).filter(pa.array(keep, pa.bool_()))
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+    return both.select(*kept, "grams_a", "grams_b").mapInArrow(run, pairs.schema)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every left with every right set: products of 0/1 matrices over the values that both sides have, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(common):
+        return out
+    entries = []
+    for sets, values in zip((left, right), flat, strict=True):
+        who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, values)
+        at[at == len(common)] = 0
+        held = common[at] == values
+        who, at = who[held], at[held]
+        order = np.argsort(at, kind="stable")
+        entries.append((who[order], at[order]))
+    step = 2048
+    for start in range(0, len(common), step):
+        sides = []
+        for (who, at), sets in zip(entries, (left, right), strict=True):
+            a, b = np.searchsorted(at, [start, start + step])
+            m = np.zeros((len(sets), min(step, len(common) - start)), np.float32)
+            m[who[a:b], at[a:b] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    """Of one pair of blocks: two components for each link between different ones."""
+    outside = np.array(t.column("outside").to_pylist(), bool)
+    comps = t.column("c").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    found = np.zeros((0, 2), np.int64)
+    if len(left) and len(right):
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        same = overlaps([sets[i] for i in left], [sets[i] for i in right])
+        linked = (100 * same >= PERCENT * (n[left][:, None] + n[right][None, :] - same)) & (comps[left][:, None] != comps[right][None, :])
+        i, j = np.nonzero(linked)
+        found = np.unique(np.sort(np.stack([comps[left[i]], comps[right[j]]], axis=1), axis=1), axis=0)
+    return pa.table({"a": pa.array(found[:, 0].copy(), pa.int64()), "b": pa.array(found[:, 1].copy(), pa.int64())})
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -197,74 +243,103 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     Each round gives every id the smallest label among itself and its neighbours and then that label's own label, until none
     changes; the rounds grow with the logarithm of the longest chain.
     """
-    edges = stage(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("a", "b"), f"{name}-edges")
-    labels = stage(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name)
+    pairs = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
+    edges = stage(pairs.select("e.a", "e.b").distinct(), f"{name}-edges")
+    labels = stage(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component"), name)
     while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "m").alias("now"))
+        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("now"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"))
         hop = labels.select(F.col("id").alias("now"), F.col("component").alias("next"))
-        new = stage(lower.join(hop, "now", "left").select("id", "was", F.least("now", F.coalesce("next", "now")).alias("component")), name)
-        if not new.filter("component < was").limit(1).count():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
+        seen = Observation()
+        new = near.join(hop, "now").select(F.col("a").alias("id"), F.least("now", "next").alias("component"), "was")
+        labels = stage(new.observe(seen, F.count_if(F.col("component") < F.col("was")).alias("changed")).drop("was"), name)
+        if not seen.get["changed"]:
+            return labels
 
 
-def _with_leaders(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Nodes of two documents or more, with sketches and the smallest id and its sketch."""
+def _shared_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes of two documents or more, with their size and smallest id."""
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).filter("members > 1")
-    of_leader = sketches.select(F.col("id").alias("leader"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
-    return nodes.join(shared.select("node", "leader"), "node").join(sketches, "id").join(of_leader, "leader").select("node", "id", "s1", "s2", "leader", "l1", "l2")
+    return nodes.join(shared, "node").select("node", "id", "members", "leader")
 
 
-def _star(nodes: DataFrame) -> DataFrame:
-    """Pairs of each node's smallest id with its other members."""
-    near = close(F.col("s1"), F.col("s2"), F.col("l1"), F.col("l2"))
-    return nodes.filter((F.col("id") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs: a, b, and what else. Those that set sizes and sketches allow."""
+    of = lambda x: sketches.select(F.col("id").alias(x), F.struct("n", "s1", "s2").alias(f"of_{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(close("of_a", "of_b")).select(*pairs.columns)
 
 
 def _open_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Nodes that hold more than one component, with c (the component of each id so far), main (the node's largest one), members and outside (those not in main)."""
-    labelled = nodes.join(comps, "id", "left").select("node", "id", "s1", "s2", F.coalesce("component", "id").alias("c"))
+    """Nodes that hold more than one component, with c (the component of each id so far), main (the node's largest one) and members."""
+    labelled = nodes.join(comps, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
     per = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"))
-    sizes = per.groupBy("node").agg(F.sum("k").alias("members"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("main")).filter("members > most")
-    return labelled.join(sizes.select("node", "members", "main", (F.col("members") - F.col("most")).alias("outside")), "node")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, start_depth: int = START_DEPTH) -> DataFrame:
-    """One row per id: id, n_shingles, component_id, kept."""
-    source = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text")).filter("id is not null")
+    sizes = per.groupBy("node").agg(F.sum("k").alias("members"), F.max("k").alias("most"), F.max_by("c", F.struct("k", -F.col("c"))).alias("main")).filter("members > most")
+    return labelled.join(sizes.select("node", "members", "main"), "node")
+
+
+def _pairs_of_small(open_nodes: DataFrame) -> DataFrame:
+    """Pairs of members of a small node in different components: a, b and their components. One of a pair at least is outside the largest component."""
+    small = open_nodes.filter(F.col("members") <= SMALL)
+    right = small.filter("c <> main").select("node", F.col("id").alias("id2"), F.col("c").alias("c2"))
+    pairs = small.join(right, "node").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("id2"))))
+    ordered = F.when(F.col("id") < F.col("id2"), F.struct(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb"))).otherwise(F.struct(F.col("id2").alias("a"), F.col("id").alias("b"), F.col("c2").alias("ca"), F.col("c").alias("cb")))
+    return pairs.select(ordered.alias("p")).select("p.*").distinct()
+
+
+def _links_of_large(open_nodes: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b: components) found by comparing, for each main component of large nodes, those outside it with all of their members."""
+    members = stage(open_nodes.filter(F.col("members") > SMALL).select("main", "id", "c").distinct().join(sketches.select("id", "n"), "id"), "near-large")
+    count = lambda of: F.ceil(F.greatest(F.count(F.when(of, 1)) / BLOCK, F.sum(F.when(of, F.col("n") * 8)) / BLOCK_BYTES))
+    sizes = members.groupBy("main").agg(count(F.lit(True)).alias("rights"), count(F.col("c") != F.col("main")).alias("lefts"))
+    dealt = members.join(sizes, "main")
+    place = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    left = dealt.filter("c <> main").select("main", "id", "c", F.lit(True).alias("outside"), place("lefts").alias("l"), every("rights").alias("r"))
+    right = dealt.select("main", "id", "c", F.lit(False).alias("outside"), every("lefts").alias("l"), place("rights").alias("r"))
+    return left.unionByName(right).join(sets, "id").groupBy("main", "l", "r").applyInArrow(_compare, "a long, b long").distinct()
+
+
+def classes(source: DataFrame, *, trees: int = TREES, start_depth: int = START_DEPTH) -> DataFrame:
+    """source: id (unique), text. id, n_shingles and component (the smallest id reachable)."""
     every = stage(summaries(source), "near-summaries")
-    if every.groupBy("id").count().filter("count > 1").limit(1).count():
-        source = source.groupBy("id").agg(F.min("text").alias("text"))
-        every = stage(summaries(source), "near-summaries")
     # Documents of one set: the smallest id stands for all
     folds = every.filter("n > 0").groupBy("name", "name2", "n").agg(F.min("id").alias("rep"))
-    reps = stage(every.join(folds.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "tokens", "s1", "s2"), "near-reps")
-    sketches = reps.select("id", "s1", "s2")
+    reps = stage(every.join(folds.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "n", "tokens", "s1", "s2"), "near-reps")
+    sketches = reps.select("id", "n", "s1", "s2")
     # Nodes of one document have nothing to compare
-    nodes = stage(_with_leaders(start_nodes(reps, trees, start_depth), sketches), "near-nodes")
-    sets = stage(full_sets(source, stage(nodes.select("id").distinct(), "near-candidates")), "near-sets")
-    links = stage(confirmed(stage(_star(nodes), "near-pairs"), sets), "near-links")
-    open_nodes = stage(_open_nodes(nodes, components(links)), "near-open")
-    links = links.union(stage(confirmed(stage(_across(open_nodes), "near-across"), sets), "near-links"))
-    comps = components(links)
-    of_rep = folds.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("name", "name2", "n", F.coalesce("component", "rep").alias("component_id"))
+    nodes = stage(_shared_nodes(start_nodes(reps, trees, start_depth)), "near-nodes")
+    sets = stage(full_sets(source, nodes.select("id").distinct()), "near-sets")
+    star = nodes.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    compared = stage(_screened(star, sketches), "near-pairs")
+    comps = components(confirmed(compared, sets))
+    open_nodes = stage(_open_nodes(nodes, comps), "near-open")
+    few = stage(_screened(_pairs_of_small(open_nodes).join(compared, ["a", "b"], "left_anti"), sketches), "near-across")
+    more = confirmed(few, sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).union(_links_of_large(open_nodes, sketches, sets))
+    merged = components(more, "merged").select(F.col("id").alias("c1"), F.col("component").alias("c2"))
+    of_rep = folds.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("name", "name2", "n", F.coalesce("component", "rep").alias("c1"))
+    of_rep = of_rep.join(merged, "c1", "left").select("name", "name2", "n", F.coalesce("c2", "c1").alias("component"))
     out = every.select("id", "n", "name", "name2").join(of_rep, ["name", "name2", "n"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def _across(open_nodes: DataFrame) -> DataFrame:
-    """Pairs of members of a node in different components, each pair of blocks a key of its own. One of a pair is outside the largest component."""
-    block = max(FEW, SMALL)
-    blocks = lambda n: F.ceil(F.col(n) / block)
-    place = lambda n: F.pmod(F.xxhash64("id"), blocks(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
-    left = open_nodes.select("node", "id", "c", "main", "s1", "s2", place("members").alias("block"), each("outside").alias("with"))
-    right = open_nodes.filter("c <> main").select("node", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), place("outside").alias("with"), each("members").alias("block"))
-    near = close(F.col("s1"), F.col("s2"), F.col("t1"), F.col("t2"))
-    once = (F.col("c") == F.col("main")) | (F.col("id") < F.col("id2"))
-    return left.join(right.hint("merge"), ["node", "block", "with"]).filter((F.col("c") != F.col("c2")) & once & near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept (one row of each component)."""
+    source, plain = keyed(docs.select(column_or_null(docs, id_col, "long").alias("own"), column_or_null(docs, text_col, "string").alias("text")), "own", "id")
+    found = classes(source.select("id", "text"), **how)
+    kept = (F.col("id") == F.col("component")).alias("kept")
+    if plain:
+        return found.select("id", "n_shingles", F.col("component").alias("component_id"), kept)
+    names = source.select(F.col("id").alias("key"), "own")
+    found = found.select("*", kept).join(names, F.col("id") == F.col("key")).select(F.col("own").alias("id"), "n_shingles", "component", "kept")
+    return found.join(names, F.col("component") == F.col("key")).select("id", "n_shingles", F.col("own").alias("component_id"), "kept")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs."""
+    key = free_name(docs, "_row")
+    rows, _ = keyed(docs, id_col, key)
+    found = classes(rows.select(F.col(key).alias("id"), column_or_null(docs, text_col, "string").alias("text")), **how)
+    kept = found.filter("id = component").select(F.col("id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

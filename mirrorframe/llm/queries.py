@@ -8,6 +8,7 @@ from mirrorframe.llm.languages import op7_language
 from mirrorframe.llm.licenses import ORACLE as LICENSES_SQL
 from mirrorframe.llm.licenses import op9_licenses
 from mirrorframe.llm.media import op1_media
+from mirrorframe.llm.mixing import ORACLE as MIX_SQL
 from mirrorframe.llm.mixing import op3_mix
 from mirrorframe.llm.near_dedup import op8_near_dedup
 from mirrorframe.llm.repeats import op6_repeats
@@ -26,4 +27,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {"op9_licenses": LICENSES_SQL}
+ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op9_licenses": LICENSES_SQL}

@@ -15,8 +15,8 @@ bytes, so the corpus is first cut down to the places that can match.
 Plan: one exchange of packed runs, two of compressed texts (fetch and cut), small ones of spans. A task folds equal runs before they leave
 it, so groups of copies shrink to one run a task.
 
-Defined results: null and empty texts are kept as empty, with no spans; rows that repeat an id count as one document, with the
-least text; a null id counts as the smallest; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts are kept as empty, with no spans; rows that repeat an id, and rows of null id (the smallest), are documents of
+their own, rows of one id in the order of a hash of id and text; very long texts are worked on in slices; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, stage, table
+from mirrorframe.llm.common import column_or_null, free_name, keyed, stage, table
 
 MATCH = 100
 GRAM = 40
@@ -38,7 +38,6 @@ WINDOWS = MATCH - GRAM + 1
 HOT = 2000
 #: Bytes of text worked on at once, and aimed at for a group of runs.
 SLICE, GROUP = 1 << 20, 8 << 20
-NO_ID = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(77003))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 ODD = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -327,11 +326,8 @@ def _union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: id, n_bytes, n_removed, removed (maximal removed byte ranges), kept (the remaining bytes, binary)."""
-    source = docs.select(F.coalesce(column_or_null(docs, id_col, "long"), F.lit(NO_ID)).alias("id"), column_or_null(docs, text_col, "string").alias("text"))
-    if source.groupBy("id").count().filter("count > 1").limit(1).count():
-        source = source.groupBy("id").agg(F.min("text").alias("text"))
+def cut_repeats(source: DataFrame) -> DataFrame:
+    """source: id (unique, in the order that decides which copy is first), text. id, n_bytes, n_removed, removed, kept."""
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(8, -(-size // GROUP))
     found = stage(find_runs(source, groups), "repeat-runs")
@@ -357,13 +353,37 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "removed", "kept"])
 
     joined = zipped(source).join(spans, "id", "left").select("id", "body", "spans")
-    out = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, removed array<struct<start: bigint, end: bigint>>, kept binary")
-    return out.withColumn("id", F.nullif("id", F.lit(NO_ID)))
+    return joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, removed array<struct<start: bigint, end: bigint>>, kept binary")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, removed (maximal removed byte ranges), kept (the remaining bytes, binary)."""
+    source, plain = keyed(docs.select(column_or_null(docs, id_col, "long").alias("own"), column_or_null(docs, text_col, "string").alias("text")), "own", "id", nulls_first=True)
+    out = cut_repeats(source.select("id", "text"))
+    if plain:
+        return out
+    return out.join(source.select(F.col("id").alias("key"), "own"), F.col("id") == F.col("key")).select(F.col("own").alias("id"), "n_bytes", "n_removed", "removed", "kept")
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with their texts cut (and their lengths set anew, where there is such a column); documents that lose everything go.
+
+    A cut inside a character drops its other bytes. Texts move once, as what is left of them.
+    """
+    key, cut, null = (free_name(docs, x) for x in ("_row", "_cut", "_null"))
+    rows, _ = keyed(docs, id_col, key, nulls_first=True)
+    kept = F.make_valid_utf8("kept")
+    left = F.when(F.col("n_removed") == 0, kept).otherwise(F.regexp_replace(kept, "\ufffd", ""))
+    pieces = cut_repeats(rows.select(F.col(key).alias("id"), column_or_null(docs, text_col, "string").alias("text"))).select(F.col("id").alias(key), F.struct("n_removed", left.alias("text")).alias(cut))
+    others = rows.withColumn(null, F.col(f"`{text_col}`").isNull()).drop(text_col)
+    joined = others.join(pieces, key).filter((F.col(cut)["n_removed"] == 0) | (F.length(F.col(cut)["text"]) > 0))
+    joined = joined.withColumn(text_col, F.when(~F.col(null), F.col(cut)["text"]))
+    if length_col in docs.columns:
+        joined = joined.withColumn(length_col, F.length(f"`{text_col}`").cast(docs.schema[length_col].dataType))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all documents without their repeats of 100 bytes and more."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-

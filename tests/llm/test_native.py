@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from mirrorframe.llm import fingerprints, licenses, mixing
+from mirrorframe.llm.common import stage
 from mirrorframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -149,9 +150,47 @@ def test_pipeline(spark):
     for name, step in corpus_pipeline.STAGES[:-1]:
         out = step(spark, docs, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
-        from mirrorframe.llm.common import stage
-
         docs = stage(out, name)
         counts.append(docs.count())
     assert counts[1] == counts[0] and counts[2] < counts[1] and 0 < counts[3] <= counts[2]
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == counts[4]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == counts[4]
+    assert corpus_pipeline.run(spark, SF).orderBy(*last.columns).collect() == last.orderBy(*last.columns).collect()
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null ids, one id with two texts, columns that could clash: every stage against plain Python."""
+    import corpus_pipeline
+    from test_pairs import classes, removed
+
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage = say(40)
+    texts = [say(30) for _ in range(8)] + [say(20) + " " + passage, passage + " " + say(25), say(30) + " é" + passage, None, "", "12 34", "é" * 200]
+    ids = [None, None, 3, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]
+    rows = [(i, t, "en", "s" if k % 2 else None, len(t or ""), k / 10, f"x{k}", k, k, k, k, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [(20, texts[2], "en", "s", 1, 9.0, "copy", 0, 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, id long, n_removed long, _row long, _at long, _id long").repartition(3)
+    steps = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted(map(str, map(tuple, df.collect())))
+    run = lambda name, df: stage(steps[name](spark, df, SF), name)
+    first = run("language", docs)
+    assert plain(first) == sorted(str(r) for r in rows if any(c.isalpha() for c in r[1] or ""))
+    second = run("near_dedup", first)
+    left = [tuple(r) for r in first.collect()]
+    found = classes([(k, r[1]) for k, r in enumerate(sorted(left, key=lambda r: (r[0] is None, r[0] or 0)))])
+    assert second.count() == sum(x[2] for x in found.values()) == len(left) - 1 and set(plain(second)) <= set(map(str, left))
+    third = run("repeats", second)
+    ordered = sorted([tuple(r) for r in second.collect()], key=lambda r: (r[0] is not None, r[0] or 0))
+    assert {r[6]: r[1] for r in ordered if r[0] == 3} == {r.lang_pred: r.text for r in third.collect() if r.doc_id == 3}  # two texts of one id stay
+    total = sum(x[0] - x[1] for x in removed([(k, r[1]) for k, r in enumerate(ordered)]).values())
+    after = third.collect()
+    assert abs(sum(len(r.text.encode()) for r in after) - total) <= 4 and all(r.n_chars == len(r.text) for r in after)
+    others = lambda rows_: {r[6]: (r[0], *r[2:4], *r[5:]) for r in rows_}
+    assert others(map(tuple, after)) == others(ordered)
+    fourth = run("mix", third)
+    took, sizes = Counter(tuple(r) for r in fourth.collect()), sum(len(r.text.split()) for r in after)
+    assert set(took) <= {tuple(r) for r in after} and max(took.values()) <= 2 and sum(n * len(r[1].split()) for r, n in took.items()) <= 1.5 * sizes
+    assert corpus_pipeline.STAGES[-1][1](spark, fourth, SF).count() == fourth.count()
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.limit(0), SF).count() == 0

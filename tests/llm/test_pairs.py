@@ -84,10 +84,9 @@ def test_near_duplicates(spark, corpus):
     assert got == classes(corpus)
 
 
-def test_near_duplicates_branch_deeper(spark, corpus, monkeypatch):
+def test_near_duplicates_of_large_nodes(spark, corpus, monkeypatch):
     monkeypatch.setattr(N, "SMALL", 2)
-    monkeypatch.setattr(N, "FEW", 0)
-    monkeypatch.setattr(N, "MAX_DEPTH", 5)
+    monkeypatch.setattr(N, "BLOCK", 7)
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df).collect()}
     assert got == classes(corpus)
@@ -95,19 +94,32 @@ def test_near_duplicates_branch_deeper(spark, corpus, monkeypatch):
 
 def test_near_duplicates_of_one_template(spark, monkeypatch):
     """600 texts share a template (likeness 0.67); each is linked to one other (0.77) only."""
-    monkeypatch.setattr(N, "SMALL", 24)
-    monkeypatch.setattr(N, "FEW", 24)
     words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
     docs = [(i, " ".join([words("t", 96), words(f"p{i // 2}", 8), words(f"d{i}", 15)])) for i in range(600)]
-    got = {r.id: r.component_id for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
-    assert got == {i: i // 2 * 2 for i in range(600)}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for small, block in ((N.SMALL, N.BLOCK), (1000, N.BLOCK), (16, 100)):
+        monkeypatch.setattr(N, "SMALL", small)
+        monkeypatch.setattr(N, "BLOCK", block)
+        got = {r.id: r.component_id for r in N.near_duplicates(df).collect()}
+        assert got == {i: i // 2 * 2 for i in range(600)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=8), st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=8))
+def test_overlaps(left, right):
+    arrays = lambda sets: [np.array(sorted(x), np.uint64) for x in sets]
+    assert N.overlaps(arrays(left), arrays(right)).tolist() == [[len(a & b) for b in right] for a in left]
 
 
 def test_near_duplicates_odd_tables(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z")]
-    got = sorted(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == [(1, 2, 1, True), (2, 2, 1, False)]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q"), (2, "a b c d e f"), (None, "z"), (None, "z"), (None, "q"), (4, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, N.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, False), (2, 2, 1, False), (1, 1, 1, True), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, False), (4, 0, 4, True), (None, 0, None, True)]))
+    wide = df.selectExpr("doc_id", "text", "'x' AS component_id", "1.5 AS id", "2 AS _row", "3 AS _own")
+    kept = N.without_near_duplicates(wide)
+    assert kept.columns == wide.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, "a b c d e f"), (1, "q"), (None, "z"), (4, None), (None, None)]))
     assert N.near_duplicates(spark.createDataFrame([(1,)], "doc_id long")).first().n_shingles == 0
 
 
@@ -141,9 +153,9 @@ def test_runs_cover_every_window(corpus):
 
 def test_remove_repeats_odd_tables(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    rows = [(2, "y" * 150), (None, "y" * 150), (2, "y" * 150), (3, None)]
-    got = {r.id: (r.n_bytes, r.n_removed) for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {None: (150, 149), 2: (150, 150), 3: (0, 0)}
+    rows = [(2, "y" * 150), (None, "y" * 150), (2, "y" * 150), (3, None), (3, None)]
+    got = sorted(str((r.id, r.n_bytes, r.n_removed)) for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(map(str, [(None, 150, 149), (2, 150, 150), (2, 150, 150), (3, 0, 0), (3, 0, 0)]))
 
 
 @settings(max_examples=40, deadline=None)
