@@ -2,46 +2,41 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run() writes every
 stage as Parquet in the shared folder and reads it back as the next one's docs.
+
+Defined results: every row is a document of its own, also where ids repeat or are null; names of further columns don't matter, and their values
+stay as they are. Null texts and texts without a letter go in the first stage. Of repeated rows one is left after the second. An empty
+table passes through. Where no language can be learnt (no row has one), no text has a language and all go.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mirrorframe.llm.byte_bpe import token_digest
 from mirrorframe.llm.common import ship, stage, table
-from mirrorframe.llm.languages import identify, learn, learnable
+from mirrorframe.llm.languages import learn, learnable, with_language
 from mirrorframe.llm.mixing import mixed_documents
-from mirrorframe.llm.near_dedup import near_duplicates
-from mirrorframe.llm.repeats import remove_repeats
+from mirrorframe.llm.near_dedup import without_near_duplicates
+from mirrorframe.llm.repeats import without_repeats
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is found; texts without a letter go."""
     ship(spark)
-    found = identify(docs, learn(learnable(docs)))
-    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+    return with_language(docs, learn(learnable(docs)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class."""
     ship(spark)
-    kept = near_duplicates(docs).filter("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return without_near_duplicates(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur earlier; documents that lose everything go. A cut inside a character drops its other bytes. Texts move once, as what is left of them."""
+    """Cuts passages that occur earlier; documents that lose everything go."""
     ship(spark)
-    kept = F.make_valid_utf8("kept")
-    left = F.when(F.col("n_removed") == 0, kept).otherwise(F.regexp_replace(kept, "\ufffd", ""))
-    cut = remove_repeats(docs).select(F.col("id").alias("_id"), left.alias("text"), "n_removed")
-    others = docs.withColumn("_null", F.col("text").isNull()).drop("text", "n_chars")
-    joined = others.join(cut, others["doc_id"] == cut["_id"]).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
-    joined = joined.withColumn("text", F.when(~F.col("_null"), F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*docs.columns)
+    return without_repeats(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
