@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -128,6 +129,52 @@ def test_token_files_trained_dictionary_and_damage(spark, tmp_path):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_token_files_look_up(spark, tmp_path, monkeypatch):
+    """A look-up decompresses the frames of the wanted documents and no others."""
+    rows = [(i, f"text number {i} " * 3) for i in range(50)] + [(None, "none"), (7, "seven again"), (8, None)]
+    path = f"file://{tmp_path}/tokens"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    token_files.write_tokens(df, path, tokenizer_path=WORDS, end_id=1)
+    whole = token_files.read_tokens(spark, path).collect()
+    wanted = [7, None, 31, 999]
+    got = token_files.read_documents(spark, path, wanted).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in whole if r.id in (7, None, 31)) and len(got) == 4
+    assert token_files.read_documents(spark, path, []).count() == 0 and token_files.read_documents(spark, path, [None]).count() == 1
+    # Damage every frame but the wanted document's: its look-up still works, reading all doesn't
+    shards = spark.read.parquet(f"{path}/shards").collect()
+    hurt = []
+    for r in shards:
+        index, frames = np.frombuffer(bytes(r["index"]), "<i8").reshape(-1, 4), bytearray(r.frames)
+        ends = [*index[1:, 2].tolist(), len(frames)]
+        for (i, _, a, _), b in zip(index.tolist(), ends, strict=True):
+            if i != 31:
+                frames[a:b] = b"\0" * (b - a)
+        hurt.append((*[r[c] for c in r.__fields__ if c != "frames"], frames))
+    names = [c for c in shards[0].__fields__ if c != "frames"] + ["frames"]
+    schema = spark.read.parquet(f"{path}/shards").select(*names).schema
+    other = f"file://{tmp_path}/hurt"
+    spark.createDataFrame(hurt, schema).write.parquet(f"{other}/shards")
+    spark.read.parquet(f"{path}/dictionary").write.parquet(f"{other}/dictionary")
+    assert [r.ids for r in token_files.read_documents(spark, other, [31]).collect()] == [r.ids for r in whole if r.id == 31]
+    with pytest.raises(Exception):
+        token_files.read_tokens(spark, other).collect()
+
+
+@pytest.fixture(scope="module")
+def chunked():
+    from tokenizers import Tokenizer
+
+    return token_files.ChunkEncoder(WORDS), Tokenizer.from_file(WORDS)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("abH.,' \n\u0331\u0301Éé<|>ΣİK")), max_size=60))
+def test_chunks_any_text(chunked, text):
+    own, library = chunked
+    for t in (text, text + "<|EndOfText|>. A", "<|endoftext|>" + text):
+        assert np.frombuffer(own.encode(pa.array([t]), 1)[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids + [1]
+
+
 def test_languages(spark):
     rng = random.Random(5)
     parts = {"aa": ["lo", "mi", "ta", "re"], "bb": ["sch", "über", "cht", "ung"], "cc": ["ção", "que", "inho", "ar"]}
