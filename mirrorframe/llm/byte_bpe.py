@@ -27,13 +27,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, table
+from mirrorframe.llm.common import column_or_null, released, table
 
 NONE = np.int64(1 << 40)
 #: Pieces of up to this many bytes are encoded together.
 SHORT = 64
 #: Pieces that a worker process remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Letters and numbers of Latin-1, for a faster form of the pattern where a text has no other characters.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tokenizers
     """id and ids: the text's token ids as little-endian unsigned 32-bit integers, binary."""
     name = _send(docs.sparkSession, ranks_path)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(name, pattern)
         for batch in batches:
@@ -254,6 +255,7 @@ def decode(df: DataFrame, *, ranks_path: str, pattern: str = public_tokenizers.P
     name = _send(df.sparkSession, ranks_path)
     keep = [c for c in df.columns if c != "decoded"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(name, pattern)
         for batch in batches:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorframe.plans.stages import new_path, ship, staged
 
-__all__ = ["WORD", "column_or_null", "free_name", "keyed", "new_path", "ship", "stage", "table"]
+__all__ = ["WORD", "column_or_null", "free_name", "give_back", "keyed", "new_path", "released", "ship", "stage", "table"]
 
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +20,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 stage = staged
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks and stages, and an executor pays for what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives memory back when its task is done."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a scale factor folder."""
     ship(spark)

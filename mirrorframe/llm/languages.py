@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, free_name, table
+from mirrorframe.llm.common import column_or_null, free_name, released, table
 
 #: Production parameters: length of the vectors, letters in an n-gram, documents and characters in a block.
 SIZE = 1024
@@ -117,6 +117,7 @@ def space(size: int) -> Space:
 def learn(rows: DataFrame, *, size: int = SIZE) -> dict[str, np.ndarray]:
     """rows: text, lang. Unit prototype of each language."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -130,6 +131,7 @@ def learn(rows: DataFrame, *, size: int = SIZE) -> dict[str, np.ndarray]:
 
     counts = rows.filter("text is not null and lang is not null").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
+    @released
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(size), {}
         for batch in batches:
@@ -171,6 +173,7 @@ def language_of(spark: SparkSession, text: Column, prototypes: dict[str, np.ndar
     shared = spark.sparkContext.broadcast(np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, SIZE), np.float32))
 
     @F.arrow_udf("struct<lang: string, score: double>")
+    @released
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, against = space(shared.value.shape[1]), shared.value
         for batch in batches:

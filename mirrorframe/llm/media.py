@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, table
+from mirrorframe.llm.common import column_or_null, released, table
 
 #: Samples are stored in frames of this many bytes.
 FRAME = 576
@@ -228,6 +228,7 @@ def samples_of(wav: bytes) -> bytes:
 
 
 def _per_row(df: DataFrame, out: str, work: Callable[[dict[str, list]], dict[str, list]], types: dict[str, pa.DataType], keep: list[str]) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):

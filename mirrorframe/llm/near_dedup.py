@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, free_name, keyed, stage, table
+from mirrorframe.llm.common import column_or_null, free_name, keyed, released, stage, table
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -115,6 +115,7 @@ def children(signatures: np.ndarray, owners: np.ndarray, paths: np.ndarray, rate
 def summaries(docs: DataFrame) -> DataFrame:
     """docs: id, text. id, n (set size), two hashes that name the set, its minwise tokens (binary) and their sketch."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -145,6 +146,7 @@ def start_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
     """reps: id, tokens. (node, id) at the start depth of every tree; nodes depend on a document's own tokens alone."""
     rate = 100.0 / PERCENT / COORDINATES
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * STEP)
         for batch in batches:
@@ -163,6 +165,7 @@ def start_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, grams) of the documents in ids: the sorted shingle hashes, binary."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -178,6 +181,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pairs
     kept = pairs.columns
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, free_name, keyed, stage, table
+from mirrorframe.llm.common import column_or_null, free_name, keyed, released, stage, table
 
 MATCH = 100
 GRAM = 40
@@ -153,6 +153,7 @@ FOUND = "kind int, id long, start long, n long, anchor long"
 def find_runs(docs: DataFrame, groups: int) -> DataFrame:
     """docs: id, text. Runs of all documents, met by anchor: FOUND."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, ids, offsets, size = [], [], [], 0
 
@@ -244,6 +245,7 @@ def longest_previous_factor(data: np.ndarray, positions: np.ndarray, cap: int =
 def zipped(docs: DataFrame) -> DataFrame:
     """docs: id, text. id and the text's UTF-8 bytes, compressed to move."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -258,6 +260,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, groups: int) -> tuple[DataFrame, D
     """Texts of the wanted runs. (group, id, start, n, body) for suffix arrays; packed single windows for hot anchors."""
     asked = wanted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "anchor", "kind"))).alias("asked"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -335,6 +338,7 @@ def cut_repeats(source: DataFrame) -> DataFrame:
     matched = stage(fetch(source, wanted, groups).groupBy("group").applyInArrow(_match, FOUND), "repeat-matches")
     spans = found.filter(F.col("kind") == SPANS).unionByName(matched).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mirrorframe.llm.common import column_or_null, new_path, stage, table
+from mirrorframe.llm.common import column_or_null, new_path, released, stage, table
 
 #: Bytes of frames after which a shard is closed.
 SHARD_BYTES = 4 << 20
@@ -147,6 +147,7 @@ def train_dictionary(docs: DataFrame, name: str, end_id: int, sample_docs: int)
     share = sample_docs / max(1, docs.count())
     picked = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_docs)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(name)
         for batch in batches:
@@ -172,6 +173,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     sha = hashlib.sha256(shared).hexdigest()
     spark.createDataFrame([(sha, bytearray(shared))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
+    @released
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(name)
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdCompressor(level=3)
@@ -184,6 +186,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
 
     frames = stage(source.mapInArrow(compress, "id long, n long, frame binary"), "token-frames")
 
+    @released
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, int, bytes]] = []
         size = number = 0
@@ -235,6 +238,7 @@ def _unpacked(shards: DataFrame, path: str, wide: bool, wanted: list[int | None]
     kind = np.dtype("<u4" if wide else "<u2")
     some = None if wanted is None else (np.array(sorted({x for x in wanted if x is not None}), np.int64), None in wanted)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdDecompressor()
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, stage, table
+from mirrorframe.llm.common import column_or_null, released, stage, table
 
 NGRAMS = (3, 4, 5)
 BITS = 18
@@ -62,6 +62,7 @@ def log_count_ratios(rows: DataFrame, bits: int) -> np.ndarray:
     """rows: text, label. Log ratio of the share of each class's texts that have a feature, smoothed by one text of either class in proportion; 0 where that is chance."""
     size = 1 << bits
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mark = np.zeros((2, size), np.int64), np.zeros(size, bool)
         n = [0, 0]
@@ -101,6 +102,7 @@ def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: floa
         picked = some if picked is None else picked.unionByName(some)
     shared = spark.sparkContext.broadcast(ratios.astype(np.float32))
 
+    @released
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, ids, labels = np.zeros(1 << bits, bool), [], []
         for batch in batches:
@@ -135,6 +137,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """id and score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         mark = np.zeros(len(own.weights), bool)
