@@ -10,7 +10,7 @@ row by row.
 
 Defined results: null and empty texts have no features and score by the intercept alone; unlabelled rows are scored like others;
 a document with several labels counts once for each; without labels of both classes every score is 0; repeated rows get equal
-scores; an empty table gives an empty result.
+scores; very long texts are scored whole; held_out is null for a null doc_id, which is never learnt from; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,11 +55,13 @@ class Model:
     intercept: float
 
     def score(self, ids: np.ndarray) -> float:
+        if np.isneginf(self.intercept):
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.weights[ids].sum() + self.intercept, -40, 40))))
 
 
-def log_count_ratios(rows: DataFrame, bits: int) -> np.ndarray:
-    """rows: text, label. Log ratio of the share of each class's texts that have a feature, smoothed by one text of either class in proportion; 0 where that is chance."""
+def log_count_ratios(rows: DataFrame, bits: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """rows: text, label. Texts of each class, and for each place the log ratio of the share of each class's texts that have a feature, smoothed by one text of either class in proportion; 0 where that is chance."""
     size = 1 << bits
 
     @released
@@ -77,7 +79,7 @@ def log_count_ratios(rows: DataFrame, bits: int) -> np.ndarray:
     totals = rows.mapInArrow(count, "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 2 ** bits rows at most
     n = totals[totals.place < 0]
     if not len(n) or not int(n.clean.iloc[0]) or not int(n.toxic.iloc[0]):
-        return np.zeros(0)
+        return np.zeros(0), (0, 0)
     counts = np.zeros((2, size))
     some = totals[totals.place >= 0]
     counts[0, some.place], counts[1, some.place] = some.clean, some.toxic
@@ -85,21 +87,30 @@ def log_count_ratios(rows: DataFrame, bits: int) -> np.ndarray:
     share = (counts + texts / texts.sum()) / (texts + 1)
     ratios = np.log(share[1] / share[0])
     error = np.sqrt((1 / (counts + 0.5)).sum(axis=0))
-    return np.where(np.abs(ratios) >= MIN_Z * error, ratios, 0)
+    return np.where(np.abs(ratios) >= MIN_Z * error, ratios, 0), (int(n.clean.iloc[0]), int(n.toxic.iloc[0]))
+
+
+def first_by_hash(rows: DataFrame, label: int, n: int, most: int) -> DataFrame:
+    """The `most` rows of a class that come first by the hash of their id, of n in all.
+
+    A bound on the hash, just above what their share needs, keeps tasks from sending more than they have to; where it is too low by chance it is dropped.
+    """
+    own, order = rows.filter(F.col("label") == label), F.xxhash64("id")
+    if n > most:
+        share = (most + 6 * most**0.5 + 10) / n
+        below = own.filter(order < -(1 << 63) + int(share * (1 << 64))) if share < 1 else own
+        own = below if below.count() >= most else own
+    return own.orderBy(order, "id").limit(most)
 
 
 def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: float = 2e-4, rounds: int = 200) -> Model:
     """rows: id, text, label (0 or 1). See the module for what is counted and what is sampled."""
     rows = rows.filter("label in (0, 1)")
-    ratios = log_count_ratios(rows.select("text", "label"), bits)
+    ratios, n = log_count_ratios(rows.select("text", "label"), bits)
     if not len(ratios):
         return Model(np.zeros(1 << bits), -np.inf)
     spark = rows.sparkSession
-    order = F.xxhash64("id")
-    picked = None
-    for label in (0, 1):
-        some = rows.filter(F.col("label") == label).orderBy(order, "id").limit(max_fit_rows)
-        picked = some if picked is None else picked.unionByName(some)
+    picked = first_by_hash(rows, 0, n[0], max_fit_rows).unionByName(first_by_hash(rows, 1, n[1], max_fit_rows))
     shared = spark.sparkContext.broadcast(ratios.astype(np.float32))
 
     @released

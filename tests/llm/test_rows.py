@@ -16,6 +16,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mirrorframe.llm import byte_bpe, languages, media, token_files, toxicity
 
@@ -205,4 +206,27 @@ def test_toxicity(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
     assert len({r.score for r in toxicity.score(odd, model).collect()}) == 1
     none = toxicity.fit(df.filter("label = 0").withColumnRenamed("doc_id", "id"), bits=16)
-    assert {r.score for r in toxicity.score(odd, none).collect()} <= {0.0} or max(r.score for r in toxicity.score(odd, none).collect()) < 1e-9
+    assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_toxicity_ratios(spark):
+    """Log-count ratios against a count in plain Python, repeated labels and clashing columns included."""
+    rng = random.Random(9)
+    rows = [(i % 180, " ".join(rng.choice(["abc", "xyz", "mno"] if i % 3 else ["abc", "qqq"]) for _ in range(6)), int(i % 3 == 0), 0.5) for i in range(200)] + [(500, None, 0, 0.5), (501, "", 1, 0.5)]
+    df = spark.createDataFrame(rows, "id long, text string, label int, score double").repartition(3)
+    got, n = toxicity.log_count_ratios(df.select("text", "label"), 12)
+    mark, counts = np.zeros(1 << 12, bool), np.zeros((2, 1 << 12))
+    texts = [sum(r[2] == 0 for r in rows), sum(r[2] == 1 for r in rows)]
+    for _, text, label, _ in rows:
+        counts[label][toxicity.feature_ids(text, mark)] += 1
+    share = [(counts[k] + texts[k] / sum(texts)) / (texts[k] + 1) for k in (0, 1)]
+    want = np.log(share[1] / share[0])
+    want[np.abs(want) < toxicity.MIN_Z * np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))] = 0
+    assert list(n) == texts and np.allclose(got, want) and (got > 0).any() and (got < 0).any()
+    for most in (10, 60, 500):
+        for label in (0, 1):
+            some = toxicity.first_by_hash(df, label, texts[label], most)
+            whole = df.filter(f"label = {label}").orderBy(F.xxhash64("id"), "id").limit(most)
+            assert sorted(r.id for r in some.collect()) == sorted(r.id for r in whole.collect())
+    assert toxicity.fit(df, bits=12).weights.any()
