@@ -75,8 +75,7 @@ def gen(a: argparse.Namespace) -> int:
     if a.schema and S.is_multi(tomllib.loads(Path(a.schema).read_text(encoding="utf-8"))):
         schema = S.load_multi(a.schema)
         data = S.to_dataset(spark, schema, str(Path(a.schema).parent))
-        children = {k.child_table for k in data.foreign_keys}
-        rows = rows_by_table(a.rows, [t for t in data.tables if t not in children])
+        rows = rows_by_table(a.rows, [name for name, t in data.tables.items() if not t.references])
         model = HierarchySynthesizer(a.seed).fit(data)
         if a.where:
             made = model.sample_where(spark, rows, where_table(a.where, {n: t.data.columns for n, t in data.tables.items()}), a.where, most=a.max_oversample)

@@ -24,10 +24,16 @@ def below(seed: int, stream: str, key: Column, n: Column | int) -> Column:
 def exact_sample(df: DataFrame, n: int, seed: int, key: Column | str) -> DataFrame:
     """Exactly n rows (all if there are fewer) without replacement, by the order of a hash of key.
 
-    A top-n in each task precedes the global one; n is the caller's cap, not the size of the data.
+    n is the caller's cap, not the size of the data. A bound on the hash, a little above the share that n needs of the rows counted, keeps
+    tasks from sending more rows than that to the one that orders them; where it is too low by chance it is dropped.
     """
     key = F.col(key) if isinstance(key, str) else key
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), key).limit(n)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    share = (n + 6 * n**0.5 + 10) / max(df.count(), 1)
+    if share < 1:
+        some = df.filter(h < f"{int(share * (1 << 48)):012x}")
+        df = some if some.count() >= n else df
+    return df.orderBy(h, key).limit(n)
 
 
 def row_identity(df: DataFrame) -> Column:

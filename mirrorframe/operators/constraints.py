@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions.expressions import compile_boolean, derive, referenced
+from mirrorframe.operators.resample import positions
+from mirrorframe.plans.stages import staged
 
 _OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 FIRST_FACTOR = 1.5
@@ -159,6 +161,11 @@ def factors(most: float = DEFAULT_MAX_FACTOR) -> list[float]:
     return out
 
 
+def first_by_id(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of least row_id, numbered range by range: no task holds all of them."""
+    return positions(rows, ["row_id"]).filter(F.col("pos") < n).drop("pos")
+
+
 def reject_resample(generate: Callable[[int, int], DataFrame], n: int, constraints: list[Constraint], *, most: float = DEFAULT_MAX_FACTOR) -> tuple[DataFrame, ConstraintReport]:
     """n rows that satisfy the constraints. generate(first_row_id, rows) gives rows with a row_id from disjoint ranges.
 
@@ -170,7 +177,7 @@ def reject_resample(generate: Callable[[int, int], DataFrame], n: int, constrain
     for factor in factors(most):
         attempt += 1
         size = max(int((n - have) * factor), 1)
-        batch = derive(generate(next_id, size), derived)
+        batch = staged(derive(generate(next_id, size), derived), "attempt")  # counted and filtered: the trees run once
         next_id += size
         row = batch.agg(F.count_if(~violations(batch, checks)).alias("good"), *[F.count_if(c.violated(batch.schema)).alias(f"v{i}") for i, c in enumerate(checks)]).first()
         for i, c in enumerate(checks):
@@ -179,7 +186,7 @@ def reject_resample(generate: Callable[[int, int], DataFrame], n: int, constrain
         kept = good if kept is None else kept.unionByName(good)
         have += row["good"]
         if have >= n:
-            return kept.orderBy("row_id").limit(n), ConstraintReport(n, n, attempt, seen)
+            return first_by_id(kept, n), ConstraintReport(n, n, attempt, seen)
     raise ExhaustedError(f"only {have} of {n} rows satisfy the constraints after {attempt} attempts; violations: {seen}")
 
 

@@ -26,32 +26,31 @@ class HierarchySynthesizer:
     def fit(self, dataset: Dataset, *, fit_rows: int | None = FIT_ROWS) -> HierarchySynthesizer:
         self.dataset = dataset
         for name in dataset.topological_order():
-            table, parents = dataset.tables[name], dataset.parents_of(name)
-            if len(parents) > 1:
+            table = dataset.tables[name]
+            if len(table.references) > 1:
                 raise NotImplementedError(f"table {name} has more than one parent")
-            own = {k.child_column for k in parents}
+            own = {r.column for r in table.references}
             columns = [Column(c.name, ColumnType.KEY) if c.name == table.primary_key else c for c in table.columns if c.name not in own]
             self.models[name] = TreeSynthesizer(self.seed).fit(Table(name, columns, table.primary_key, table.data.drop(*own)), fit_rows=fit_rows)
-            for k in parents:
-                parent = dataset.tables[k.parent_table]
-                self.counts[name] = staged(child_counts(parent.data, k.parent_column, table.data, k.child_column).select("n"), "child-counts")
+            for r in table.references:
+                self.counts[name] = staged(child_counts(dataset.tables[r.table].data, r.key, table.data, r.column).select("n"), "child-counts")
         return self
 
     def sample(self, spark, rows: dict[str, int], *, attempt: int = 0) -> dict[str, DataFrame]:
         """Tables by name. rows: of tables without parents."""
         out: dict[str, DataFrame] = {}
         for name in self.dataset.topological_order():
-            parents, table = self.dataset.parents_of(name), self.dataset.tables[name]
+            table = self.dataset.tables[name]
             stream = f"sample{attempt or ''}/{name}"
-            if not parents:
+            if not table.references:
                 made = self.models[name].sample(spark, rows[name], stream=stream)
             else:
-                k = parents[0]
-                above = out[k.parent_table].select(F.col(k.parent_column).alias("_parent"))
+                r = table.references[0]
+                above = out[r.table].select(F.col(r.key).alias("_parent"))
                 drawn = draw_counts(above, self.counts[name], self.seed, f"{stream}/children", "_parent")
                 ids = positions(expand(drawn, "n").select("_parent", "child_no"), ["_parent", "child_no"])
-                kind = table.data.schema[k.child_column].dataType
-                ids = staged(ids.select(F.col("pos").alias("row_id"), F.col("_parent").cast(kind).alias(k.child_column)), "children")
+                kind = table.data.schema[r.column].dataType
+                ids = staged(ids.select(F.col("pos").alias("row_id"), F.col("_parent").cast(kind).alias(r.column)), "children")
                 made = self.models[name].sample(spark, 0, stream=stream, ids=ids)
             out[name] = staged(made.select(*[c.name for c in table.columns]), f"sample-{name}")
         return out
@@ -65,6 +64,6 @@ class HierarchySynthesizer:
                 return prune(self.dataset, made)
             if made[table].count() >= rows[table]:
                 key = self.dataset.tables[table].primary_key or made[table].columns[0]
-                made[table] = made[table].orderBy(key).limit(rows[table])
+                made[table] = positions(made[table], [key]).filter(F.col("pos") < rows[table]).drop("pos")
                 return prune(self.dataset, made)
         raise ExhaustedError(f"too few rows of {table} satisfy {expression!r}")

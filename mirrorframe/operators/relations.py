@@ -52,21 +52,19 @@ def expand(parents: DataFrame, n: str) -> DataFrame:
 
 
 def draw_counts(parents: DataFrame, counts: DataFrame, seed: int, stream: str, key: str) -> DataFrame:
-    """Adds n: a child count drawn per parent from the observed ones, by the distribution of counts (a small table)."""
-    from mirrorframe.operators.resample import value_pool
+    """Adds n: the child count at a drawn place among all observed ones in ascending order. Places are numbered and joined by equality."""
+    from mirrorframe.operators.resample import positions
 
-    pool = value_pool(counts, "n")
-    total = counts.count()
-    place = parents.withColumn("_at", below(seed, stream, F.col(key), total))
-    return place.join(F.broadcast(pool), (F.col("_at") >= F.col("first")) & (F.col("_at") <= F.col("last"))).drop("_at", "first", "last").withColumnRenamed("value", "n")
+    numbered = positions(counts.select("n"), ["n"]).select(F.col("pos").alias("_at"), "n")
+    return parents.withColumn("_at", below(seed, stream, F.col(key), counts.count())).join(numbered, "_at").drop("_at")
 
 
 def prune(dataset: Dataset, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Children whose parent is gone are dropped, table after table; null keys stay."""
     out = dict(tables)
     for name in dataset.topological_order():
-        for k in dataset.parents_of(name):
-            keys = out[k.parent_table].select(F.col(k.parent_column).alias("_pk")).distinct()
-            kept = out[name].filter(F.col(k.child_column).isNotNull()).join(keys, F.col(k.child_column) == F.col("_pk"), "left_semi")
-            out[name] = kept.unionByName(out[name].filter(F.col(k.child_column).isNull()))
+        for r in dataset.tables[name].references:
+            keys = out[r.table].select(F.col(r.key).alias("_pk")).distinct()
+            kept = out[name].filter(F.col(r.column).isNotNull()).join(keys, F.col(r.column) == F.col("_pk"), "left_semi")
+            out[name] = kept.unionByName(out[name].filter(F.col(r.column).isNull()))
     return out

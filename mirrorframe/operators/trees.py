@@ -69,6 +69,7 @@ class TreeSynthesizer:
         self.names: list[str] = []
         self.rows = 0
         self.capped = True
+        self.levels: dict[str, int] = {}
 
     # fit
 
@@ -88,6 +89,7 @@ class TreeSynthesizer:
                 if MISSING in values:
                     raise SentinelError(f"{c.name} holds {MISSING!r}")
                 codes[c.name] = sorted([*values, MISSING])
+                self.levels[c.name] = len(codes[c.name])
         for i, c in enumerate(columns):
             v = F.col(f"`{c.name}`")
             parts, names = [v.alias("v")], []
@@ -112,8 +114,8 @@ class TreeSynthesizer:
         self.names = [c.name for c in table.columns]
         kinds = {f.name: f.dataType for f in df.schema.fields}
         self.keys = [(c, kinds[c.name]) for c in table.columns if c.type is ColumnType.KEY]
-        self.rules = repairs.detect(df, [c for c in table.columns if c.modelled])
-        columns = [c for c in table.columns if c.modelled]
+        columns = table.drawn()
+        self.rules = repairs.detect(df, columns)
         self.capped = bool(fit_rows)
         keyed = df.withColumn("_order", F.md5(row_identity(df)))
         sample = exact_sample(keyed, fit_rows, self.seed, "_order") if fit_rows else keyed
@@ -157,6 +159,8 @@ class TreeSynthesizer:
         if nulls:
             out.null_model = self._null_model(frame, null, predictors)
         label = values.withColumn("_label", e["x"])
+        if c.type is ColumnType.CATEGORICAL:  # without the number of classes MLlib takes 100 at most
+            label = label.withMetadata("_label", {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": self.levels[c.name]}})
         assembled = self._assemble(label, predictors)
         maker = DecisionTreeClassifier if c.type is ColumnType.CATEGORICAL else DecisionTreeRegressor
         tree = maker(featuresCol="_features", labelCol="_label", leafCol="_leaf", maxDepth=self.max_depth, maxBins=self.max_bins, minInstancesPerNode=MIN_LEAF, seed=self.seed, maxMemoryInMB=512)
@@ -204,7 +208,7 @@ class TreeSynthesizer:
             if f.value_model is not None:
                 leaf = f.value_model.transform(self._assemble(out, f.predictors)).select(*have, "_p", "_leaf")
                 if self.capped:
-                    joined = leaf.join(F.broadcast(f.pool), "_leaf")  # fit_rows entries at most
+                    joined = leaf.join(f.pool, "_leaf")  # a small pool is broadcast by Spark's own check of its size
                     entry = F.element_at("pool", (F.floor(u * F.size("pool")) + 1).cast("int"))
                 else:
                     sizes = f.pool.filter("_pos = 0").select("_leaf", "_size")
@@ -215,8 +219,7 @@ class TreeSynthesizer:
                 if not size:
                     joined, entry = out, self._null_entry(f)
                 else:
-                    pool = F.broadcast(f.pool) if self.capped else f.pool
-                    joined, entry = out.withColumn("pos", below(self.seed, f"{name}/value", F.col("row_id"), size)).join(pool, "pos"), F.col("e")
+                    joined, entry = out.withColumn("pos", below(self.seed, f"{name}/value", F.col("row_id"), size)).join(f.pool, "pos"), F.col("e")
             out = joined.withColumn(f"e_{i}", F.when(is_null, self._null_entry(f)).otherwise(entry)).select(*have, f"e_{i}")
             if (i + 1) % LINEAGE == 0 and i + 1 < len(self.fitted):
                 out = staged(out, "sampled")

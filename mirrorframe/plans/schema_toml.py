@@ -13,7 +13,7 @@ from mirrorframe.functions.expressions import compile_boolean, compile_numeric
 from mirrorframe.operators.constraints import Constraint, Derived, Inequality, Range, Where, parse_constraint
 from mirrorframe.operators.relations import check_foreign_key, check_primary_key
 from mirrorframe.plans.infer import infer_table
-from mirrorframe.plans.model import CALENDAR, Column, ColumnType, Dataset, ForeignKey, Table
+from mirrorframe.plans.model import CALENDAR, Column, ColumnType, Dataset, Reference, Table
 from mirrorframe.sources.reading import read
 from mirrorframe.sources.uri import parse_source
 
@@ -29,8 +29,9 @@ def _fields(spec: dict, allowed: set[str], where: str) -> dict:
 
 
 def column_override(name: str, spec: dict) -> dict:
-    """Fields that a column's TOML sets. calendar_features: omitted keeps the default, false disables, a list is the exact set."""
+    """Fields that a column's TOML sets. calendar_features: omitted keeps the default, false disables, a list is the exact set; `ordered` is accepted and has no effect."""
     spec = dict(_fields(spec, {"type", "nullable", "ordered", "categories", "calendar_features"}, f"column {name}"))
+    spec.pop("ordered", None)
     if "type" in spec:
         try:
             spec["type"] = ColumnType(spec["type"])
@@ -143,7 +144,7 @@ class MultiSchema:
 
     sources: dict[str, dict]
     tables: dict[str, TableSchema]
-    foreign_keys: list[ForeignKey]
+    references: dict[str, tuple[Reference, ...]]
 
 
 def is_multi(data: dict) -> bool:
@@ -164,13 +165,15 @@ def parse_multi(data: dict) -> MultiSchema:
             raise SchemaError(f"table {name} needs either a table or a query")
         sources[name] = {"value": file or spec["uri"], "table": spec.get("table"), "query": spec.get("query")}
         tables[name] = TableSchema(name, spec.get("primary_key"), {n: column_override(n, c) for n, c in spec.get("columns", {}).items()})
-    keys = []
+    refers: dict[str, tuple[Reference, ...]] = {}
     for k in data.get("foreign_keys", []):
         _fields(k, {"child_table", "child_column", "parent_table", "parent_column", "inherit_parent_features"}, "foreign key")
         if k.get("inherit_parent_features"):
             raise NotImplementedError("inherit_parent_features isn't supported")
-        keys.append(ForeignKey(k["child_table"], k["child_column"], k["parent_table"], k["parent_column"]))
-    return MultiSchema(sources, tables, keys)
+        refers[k["child_table"]] = (*refers.get(k["child_table"], ()), Reference(k["child_column"], k["parent_table"], k["parent_column"]))
+    if unknown := set(refers) - set(tables):
+        raise SchemaError(f"foreign keys of unknown tables {sorted(unknown)}")
+    return MultiSchema(sources, tables, refers)
 
 
 def load_multi(path: str) -> MultiSchema:
@@ -183,13 +186,13 @@ def to_dataset(spark: SparkSession, schema: MultiSchema, base: str = "") -> Data
     for name, s in schema.sources.items():
         value = s["value"] if "://" in s["value"] or s["value"].startswith("/") or not base else f"{base}/{s['value']}"
         found = infer_table(name, read(spark, parse_source(value, table=s["table"], query=s["query"])))
-        tables[name] = apply_overrides(found, schema.tables[name])
+        tables[name] = replace(apply_overrides(found, schema.tables[name]), references=schema.references.get(name, ()))
         if schema.tables[name].primary_key:
             check_primary_key(name, tables[name].data, schema.tables[name].primary_key)
-    out = Dataset(tables, schema.foreign_keys)
-    out.topological_order()
-    for k in schema.foreign_keys:
-        check_foreign_key(k.child_table, tables[k.child_table].data, k.child_column, tables[k.parent_table].data, k.parent_column)
+    out = Dataset(tables)
+    for name in out.topological_order():
+        for r in tables[name].references:
+            check_foreign_key(name, tables[name].data, r.column, tables[r.table].data, r.key)
     return out
 
 
@@ -200,6 +203,7 @@ def emit_multi(dataset: Dataset, files: dict[str, str]) -> str:
         lines += [f"[tables.{_key(name)}]", f"file = {_value(files[name])}"] + ([f"primary_key = {_value(t.primary_key)}"] if t.primary_key else []) + [""]
         for c in t.columns:
             lines += [f"[tables.{_key(name)}.columns.{_key(c.name)}]", f"type = {_value(str(c.type))}", ""]
-    for k in dataset.foreign_keys:
-        lines += ["[[foreign_keys]]"] + [f"{n} = {_value(v)}" for n, v in vars(k).items()] + [""]
+    for name, t in dataset.tables.items():
+        for r in t.references:
+            lines += ["[[foreign_keys]]", f"child_table = {_value(name)}", f"child_column = {_value(r.column)}", f"parent_table = {_value(r.table)}", f"parent_column = {_value(r.key)}", ""]
     return "\n".join(lines)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mirrorframe.operators.relations import child_counts, draw_counts, expand, key_counts, orphans, prune
 from mirrorframe.plans.infer import infer_table, is_key_name, stats_of
-from mirrorframe.plans.model import Dataset, ForeignKey, Table
+from mirrorframe.plans.model import Dataset, Reference, Table
 from mirrorframe.queries.registry import query, sql_bits, table
 from mirrorframe.sources.normalize import promotions, trim
 
@@ -51,7 +51,7 @@ def infer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS value, list_sort(list(DISTINCT event_type))[1] IS NOT NULL AS listed FROM events GROUP BY event_type")
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of an inferred column."""
-    found = infer_table("events", table(spark, sf_dir, "events")).column("event_type").categories
+    found = infer_table("events", table(spark, sf_dir, "events"))["event_type"].categories
     return spark.createDataFrame([(v, True) for v in found], "value string, listed boolean")
 
 
@@ -120,7 +120,8 @@ SELECT 'customer' AS table_name, count(*) AS n FROM c UNION ALL SELECT 'orders',
 def prune_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left in three tables after the first is filtered."""
     frames = {n: table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
-    data = Dataset({n: Table(n, [], None, d) for n, d in frames.items()}, [ForeignKey("orders", "o_custkey", "customer", "c_custkey"), ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey")])
+    refers = {"customer": (), "orders": (Reference("o_custkey", "customer", "c_custkey"),), "lineitem": (Reference("l_orderkey", "orders", "o_orderkey"),)}
+    data = Dataset({n: Table(n, [], None, d, refers[n]) for n, d in frames.items()})
     left = prune(data, frames | {"customer": frames["customer"].filter("c_acctbal > 5000")})
     parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n, d in left.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

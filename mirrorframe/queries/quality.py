@@ -144,12 +144,16 @@ def dcr_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(Q.dcr_summary(found).select(*[F.round(c, 5).alias(c) for c in ("dcr_min", "dcr_p5", "dcr_p25", "dcr_p50", "dcr_mean")]))
 
 
-@query("SELECT column_name, r AS real_type, s AS synth_type FROM (VALUES ('o_custkey', 'bigint', 'string'), ('o_orderstatus', 'string', '<missing>'), ('extra', '<missing>', 'int')) t(column_name, r, s) WHERE (SELECT count(*) FROM orders) > 0")
+@query("""SELECT 'o_custkey' AS column_name, 'bigint' AS real_type, 'string' AS synth_type, count(o_custkey) AS real_values, count(o_custkey) FILTER (WHERE o_orderkey % 2 = 0) AS synth_values FROM orders
+UNION ALL SELECT 'o_orderstatus', 'string', '<missing>', count(o_orderstatus), 0 FROM orders UNION ALL SELECT 'extra', '<missing>', 'int', 0, count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders""")
 def dtype_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns whose types differ or that one side lacks."""
+    """Columns whose types differ or that one side lacks, with the values that either side has of them."""
     real = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    synth = real.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("extra"))
-    return spark.createDataFrame(Q.dtype_mismatches(real, synth), "column_name string, real_type string, synth_type string")
+    synth = real.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("extra"))
+    found = spark.createDataFrame(Q.dtype_mismatches(real, synth), "column_name string, real_type string, synth_type string")
+    values = lambda df: df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "n")
+    real_n, synth_n = values(real).withColumnRenamed("n", "real_values"), values(synth).withColumnRenamed("n", "synth_values")
+    return found.join(real_n, "column_name", "left").join(synth_n, "column_name", "left").fillna(0, ["real_values", "synth_values"])
 
 
 _COUNTS = "SELECT l_orderkey AS k, count(*) AS n_lines, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned, CASE WHEN l_orderkey % 2 = 0 THEN count(*) ELSE count(*) - l_orderkey % 5 END AS total_seen FROM lineitem GROUP BY l_orderkey"

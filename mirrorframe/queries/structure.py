@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions.rng import exact_sample as sample_n
-from mirrorframe.functions.rng import uniform
 from mirrorframe.operators import repair as R
 from mirrorframe.operators.resample import resample
 from mirrorframe.operators.trees import key_values
@@ -39,12 +38,6 @@ def generate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row_id", *[key_values(n, k, F.col("row_id"), 3).alias(n) for n, k in kinds])
 
 
-@query(f"SELECT c_custkey, {sql_uniform(9, 'null', 'c_custkey')} < 0.3 AS is_null FROM customer")
-def null_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which generated rows are null at an empirical rate."""
-    return table(spark, sf_dir, "customer").select("c_custkey", (uniform(9, "null", F.col("c_custkey")) < 0.3).alias("is_null"))
-
-
 _EVENTS = "SELECT event_id, ts AS started, ts + INTERVAL 10 MINUTE * (event_id % 3) AS ended, ts - INTERVAL 5 MINUTE * (event_id % 7 - 3) AS other FROM events"
 
 

@@ -54,7 +54,7 @@ def _column(c: Column) -> dict:
 
 def _column_of(d: dict) -> Column:
     as_tuple = lambda v: None if v is None else tuple(v)
-    return Column(d["name"], ColumnType(d["type"]), d["nullable"], d["ordered"], as_tuple(d["categories"]), as_tuple(d["calendar_features"]))
+    return Column(d["name"], ColumnType(d["type"]), d["nullable"], as_tuple(d["categories"]), as_tuple(d["calendar_features"]))
 
 
 def save(spark: SparkSession, model: TreeSynthesizer, path: str, schema_toml: str | None = None) -> None:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from mirrorframe.plans.stages import ship
 from mirrorframe.sources.arrow_files import ArrowSource
 from mirrorframe.sources.duckdb_tables import DuckDbSource
-from mirrorframe.sources.normalize import normalise, promote
+from mirrorframe.sources.normalize import normalise
 from mirrorframe.sources.uri import DatabaseUri, FilePath, ProbeError, SourceError, base_query, count_sql, enforce_limit, redact, sample_sql, suffix
 
+#: Lines of a JSON file in which its first object is looked for.
+HEAD = 1000
+
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """A file or folder by its suffix. Text formats are cleaned and typed; Parquet and Arrow are taken as they are."""
@@ -21,20 +24,21 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     if kind == ".parquet":
         return spark.read.parquet(path)
     if kind == ".json":
-        return promote(_in_file_order(spark, path, spark.read.option("multiLine", True).json(path), False))
+        return normalise(_in_file_order(spark, path, spark.read.option("multiLine", True).json(path)))
     if kind in (".ndjson", ".jsonl"):
-        return promote(_in_file_order(spark, path, spark.read.json(path), True))
+        return normalise(_in_file_order(spark, path, spark.read.json(path)))
     ship(spark)
     spark.dataSource.register(ArrowSource)
     return spark.read.format("arrow_file").load(path)
 
 
-def _in_file_order(spark: SparkSession, path: str, df: DataFrame, lines: bool) -> DataFrame:
-    """Columns in the order of the first object, where Spark sorts them; columns of later objects follow."""
-    if not lines:
-        return df
-    first = spark.read.text(path).filter("trim(value) <> ''").first()
-    names = list(json.loads(first[0])) if first else []
+def _in_file_order(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """Columns in the order of the first object, where Spark sorts them; columns of later objects follow. An object of over HEAD lines keeps Spark's order."""
+    head = "\n".join(r[0] for r in spark.read.text(path).limit(HEAD).collect())
+    try:
+        names = list(json.JSONDecoder().raw_decode(head, head.index("{"))[0])
+    except ValueError:
+        names = []
     return df.select(*[c for c in names if c in df.columns], *[c for c in df.columns if c not in names])
 
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from mirrorframe.plans.infer import infer_table, is_count_name, is_key_name
-from mirrorframe.plans.model import ColumnType, Dataset, ForeignKey, Table
+from mirrorframe.plans.model import ColumnType, Dataset, Reference, Table
 from mirrorframe.sources.normalize import normalise, promotions, trim
 
 
@@ -23,8 +23,8 @@ def test_mixed_table(spark):
     t = infer_table("mixed", df)
     kinds = {c.name: c.type for c in t.columns}
     assert kinds == {"user_id": ColumnType.KEY, "age": ColumnType.NUMERIC, "height": ColumnType.NUMERIC, "country": ColumnType.CATEGORICAL, "premium": ColumnType.CATEGORICAL, "created": ColumnType.DATETIME, "flag": ColumnType.CATEGORICAL, "note": ColumnType.TEXT}
-    assert t.primary_key == "user_id" and t.column("age").nullable and not t.column("height").nullable
-    assert t.column("country").categories == ("DK", "NO", "SE") and t.column("premium").categories == (False, True)
+    assert t.primary_key == "user_id" and t["age"].nullable and not t["height"].nullable
+    assert t["country"].categories == ("DK", "NO", "SE") and t["premium"].categories == (False, True)
 
 
 def test_key_edges(spark):
@@ -49,9 +49,10 @@ def test_promotions(spark):
 
 
 def test_topological_order():
-    tables = {n: Table(n, [], None, None) for n in "abc"}
-    assert Dataset(tables, [ForeignKey("a", "x", "c", "x"), ForeignKey("b", "x", "a", "x")]).topological_order() == ["c", "a", "b"]
-    with pytest.raises(ValueError, match="cycle"):
-        Dataset(tables, [ForeignKey("a", "x", "c", "x"), ForeignKey("c", "x", "a", "x")]).topological_order()
+    data = lambda **above: Dataset({n: Table(n, [], None, None, tuple(Reference("x", p, "x") for p in above.get(n, ""))) for n in "abc"})
+    assert data(a="c", b="a").topological_order() == ["c", "a", "b"]
+    for above in ({"a": "c", "c": "a"}, {"b": "b"}):
+        with pytest.raises(ValueError, match="cycle"):
+            data(**above).topological_order()
     with pytest.raises(ValueError, match="unknown"):
-        Dataset(tables, [ForeignKey("a", "x", "z", "x")]).topological_order()
+        data(a="z").topological_order()

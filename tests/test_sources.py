@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import duckdb
 import pytest
@@ -81,7 +82,7 @@ def test_schema_toml(spark, tmp_path):
     path.write_text('[table]\nprimary_key = "ref"\n[columns.s]\ntype = "categorical"\n[[constraints]]\nkind = "derived"\ncolumn = "y"\nexpression = "x * 2"\n[[constraints]]\nkind = "where"\nexpression = "y > 1"\n')
     schema = S.load(str(path))
     table = S.apply_overrides(infer_table("t", df), schema)
-    assert table.column("ref").type is ColumnType.KEY and table.primary_key == "ref" and table.column("s").type is ColumnType.CATEGORICAL
+    assert table["ref"].type is ColumnType.KEY and table.primary_key == "ref" and table["s"].type is ColumnType.CATEGORICAL
     S.validate(infer_table("t", df), schema)
     again = S.parse_table(__import__("tomllib").loads(S.emit(table, schema.constraints)))
     assert again.primary_key == "ref" and again.constraints == schema.constraints
@@ -132,3 +133,13 @@ def test_drift(spark, tmp_path):
     q = watch(df.filter("x < 3"), spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", on_drift=lambda b, rows: seen.extend(rows))
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2 and [r.column for r in seen] == ["x"]
+
+
+def test_json_texts_are_cleaned(spark, tmp_path):
+    rows = [{"z": " x ", "a": "NA", "n": "1"}, {"z": "?", "a": "b", "n": "N/A", "late": 2}]
+    (tmp_path / "t.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "t.ndjson").write_text("\n".join(map(json.dumps, rows)))
+    for name in ("t.json", "t.ndjson"):
+        df = read_file(spark, f"file://{tmp_path}/{name}")
+        assert df.columns == ["z", "a", "n", "late"] and dict(df.dtypes)["n"] == "bigint"
+        assert {tuple(r) for r in df.collect()} == {("x", None, 1, None), (None, "b", None, 2)}

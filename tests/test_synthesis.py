@@ -1,6 +1,8 @@
 import datetime as dt
 from pathlib import Path
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from mirrorframe.operators.pipeline import generate
 from mirrorframe.operators.quality import average_marginal, marginals
 from mirrorframe.operators.trees import TreeSynthesizer, fit_row_cap
 from mirrorframe.plans.infer import infer_table
-from mirrorframe.plans.model import Dataset, ForeignKey
+from mirrorframe.plans.model import Dataset, Reference
 from mirrorframe.queries import QUERIES
 from mirrorframe.sources import artifact
 
@@ -66,7 +68,8 @@ def test_artifact_round_trip(spark, mixed, tmp_path):
 def test_hierarchy(spark):
     users = spark.range(1, 61).select(F.col("id").alias("user_id"), F.element_at(F.array(F.lit("SE"), F.lit("NO")), (F.col("id") % 2 + 1).cast("int")).alias("country"))
     orders = users.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("user_id") % 4).cast("int")))).filter("k > 0").select((F.col("user_id") * 10 + F.col("k")).alias("order_id"), F.col("user_id").cast("int").alias("user_id"), (F.col("k") * 10.0).alias("amount"))
-    data = Dataset({"users": infer_table("users", users), "orders": infer_table("orders", orders)}, [ForeignKey("orders", "user_id", "users", "user_id")])
+    child = replace(infer_table("orders", orders), references=(Reference("user_id", "users", "user_id"),))
+    data = Dataset({"users": infer_table("users", users), "orders": child})
     model = HierarchySynthesizer(4).fit(data)
     made = model.sample(spark, {"users": 100})
     assert made["users"].count() == 100 and made["orders"].dtypes == orders.dtypes
@@ -96,3 +99,13 @@ def test_queries_fit_all_rows(spark, monkeypatch, name):
 
 def test_fit_row_cap():
     assert fit_row_cap(10, 50_000) is None and fit_row_cap(10, 200_000) == 50 and fit_row_cap(10**6, 200_000) == 100_000
+
+
+@pytest.mark.parametrize("levels", [101, 500])
+def test_wide_category(spark, levels):
+    """A category of over 100 levels is fitted, and its values come back."""
+    df = spark.range(levels * 24).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("c"), (F.col("id") % levels).cast("string")).alias("c"))
+    found = infer_table("wide", df)
+    assert len(found["c"].categories) == levels
+    made = TreeSynthesizer(3).fit(found, fit_rows=0).sample(spark, 300)
+    assert made.count() == 300 and made.join(df, "c", "left_anti").count() == 0
