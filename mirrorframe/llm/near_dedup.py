@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, free_name, keyed, released, stage, table
+from mirrorframe.llm.common import WORD, column_or_null, free_name, keyed, released, stage, table
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -349,3 +349,17 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: All pairs that share a shingle, and the smallest id reachable.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + {SHINGLE - 1}], ' ')) AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+near AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT near.doc_id, edges.b FROM near JOIN edges ON near.other = edges.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM near GROUP BY doc_id) USING (doc_id)
+"""

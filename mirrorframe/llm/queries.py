@@ -10,7 +10,9 @@ from mirrorframe.llm.licenses import op9_licenses
 from mirrorframe.llm.media import op1_media
 from mirrorframe.llm.mixing import ORACLE as MIX_SQL
 from mirrorframe.llm.mixing import op3_mix
+from mirrorframe.llm.near_dedup import ORACLE as NEAR_SQL
 from mirrorframe.llm.near_dedup import op8_near_dedup
+from mirrorframe.llm.repeats import ORACLE as REPEATS_SQL
 from mirrorframe.llm.repeats import op6_repeats
 from mirrorframe.llm.token_files import op4_token_files
 from mirrorframe.llm.toxicity import op5_toxicity
@@ -27,4 +29,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op9_licenses": LICENSES_SQL}
+ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL}

@@ -391,3 +391,15 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all documents without their repeats of 100 bytes and more."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of every text by the MD5 of its bytes; a window that isn't the first of its kind covers its bytes.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * MATCH})) AS g FROM (SELECT doc_id, h, unnest(range(n - {MATCH - 1})) AS i FROM d WHERE n >= {MATCH})),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {MATCH} AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CASE WHEN i - lag(i, 1, -{MATCH + 1}) OVER (PARTITION BY doc_id ORDER BY i) > {MATCH} THEN 1 ELSE 0 END AS fresh FROM later)) GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM runs),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
