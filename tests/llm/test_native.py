@@ -114,19 +114,34 @@ def test_fingerprints_odd_tables(spark):
 def test_license_inheritance(spark):
     from pyspark.sql import functions as F
 
+    wrap = lambda text, mark="": "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    L = licenses
     files = [
-        ("1", "p/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"),
+        ("1", "p/LICENSE", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrap(L.MIT_GRANT + L.MIT_REST)),
         ("2", "p/src/a/x.py", "print(1)"),
-        ("3", "p/src/y.py", "# Licensed under the Apache License, Version 2.0"),
+        ("3", "p/src/y.py", "# Licensed under the Apache License, Version 2.0\nimport os\n\nprint(os.name, 'and much more code')"),
         ("4", "p/src/a/z.py", None),
         ("5", "q/x.py", ""),
-        ("6", None, "the and of"),
+        (None, None, "the and of"),
+        ("7", "r/COPYING", "Copyright 2001, A. Person\n\n" + wrap(L.BSD_GRANT) + "\n\n" + wrap(L.BSD_THIRD) + "\n\n" + wrap(L.BSD_REST)),
+        ("8", "r/two/COPYING", "Copyright 2001, A. Person\n\n" + wrap(L.BSD_GRANT) + "\n\n" + wrap(L.BSD_REST)),
+        ("9", "r/two/b/c.c", "int main() { return 0; }"),
+        ("10", "q/g.c", wrap(L.GPL_TERMS.format(3), " * ") + "\n\n" + " ".join(f"int v{i};" for i in range(60))),
+        ("10", "q/h.c", "one id twice"),
+        (None, "s/n.c", "/* Released under the MIT License */\n\nint x = 1; long text of other words follows here"),
+        ("11", "q/long.c", "word " * 5000),
     ]
-    df = spark.createDataFrame(files, "id string, path string, text string")
+    df = spark.createDataFrame(files, "id string, path string, text string").withColumn("row", F.lit(1)).withColumn("licence", F.lit("x"))
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    got = {r.id: (r.own_licence, r.licence, r.from_directory) for r in licenses.scan_licences(df, id_col="id", directory=folder).collect()}
-    assert got["1"] == ("MIT", "MIT", None) and got["3"] == ("Apache-2.0", "Apache-2.0", None)
-    assert got["2"] == got["4"] == (None, "Apache-2.0", "p/src") and got["5"] == got["6"] == (None, None, None)
+    scan = lambda **how: {(r.id, r.directory): (r.own_licence, r.licence, r.from_directory) for r in licenses.scan_licences(df, id_col="id", directory=folder, **how).collect()}
+    for got in (scan(), scan(licence_file=F.col("path").rlike("(LICENSE|COPYING)$"))):
+        assert got["1", "p"] == ("MIT", "MIT", None) and got["3", "p/src"] == ("Apache-2.0", "Apache-2.0", None)
+        assert got["2", "p/src/a"] == got["4", "p/src/a"] == (None, "MIT", "p")  # a header of another file isn't inherited
+        assert got["5", "q"] == got[None, ""] == got["11", "q"] == (None, None, None)
+        assert got["7", "r"] == ("BSD-3-Clause", "BSD-3-Clause", None) and got["8", "r/two"] == ("BSD-2-Clause", "BSD-2-Clause", None) and got["9", "r/two/b"] == (None, "BSD-2-Clause", "r/two")
+        assert got[None, "s"] == ("MIT", "MIT", None)
+    rows = licenses.scan_licences(df, id_col="id", directory=folder).collect()
+    assert len(rows) == len(files) and sorted(str(r.own_licence) for r in rows if r.id == "10") == ["GPL-3.0", "None"]
     assert licenses.scan_licences(df.limit(0), id_col="id", directory=folder).count() == 0
 
 
