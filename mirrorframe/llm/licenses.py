@@ -9,7 +9,7 @@ Licence files speak for their directory: those that the caller names, or else th
 that states one. A file without a licence of its own inherits from the nearest ancestor directory that has one; headers of other files aren't inherited.
 
 Document frequencies of the templates' terms are counted over all texts; a term that no template has weighs like one that no text has. Most candidates can be
-passed over without loss: one that reaches the threshold must hold one of the terms that remain in some template once its lightest terms are
+passed over without loss: one that reaches the threshold must hold one of the terms that remain in some template once the terms that most texts have are
 taken away as long as their norm stays below the threshold.
 
 Plan: one pass counts terms (a row a term leaves each task), one writes ids, directories and the texts that can state a licence. Only those are exploded, keyed by row and candidate; templates are
@@ -113,12 +113,12 @@ def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
     return counts.pop(" ", 0), counts
 
 
-def required_terms(weights: list[dict[str, float]], threshold: float) -> set[str]:
-    """Terms of which a line that reaches the threshold holds one at least."""
+def required_terms(weights: list[dict[str, float]], threshold: float, df: dict[str, int]) -> set[str]:
+    """Terms of which a candidate that reaches the threshold holds one at least: what is left of each template without its terms that most texts have, as far as their norm stays below the threshold."""
     out: set[str] = set()
     for w in weights:
         norm, dropped = sum(x * x for x in w.values()), 0.0
-        for t, x in sorted(w.items(), key=lambda e: (e[1], e[0])):
+        for t, x in sorted(w.items(), key=lambda e: (-df.get(e[0], 0), e[1], e[0])):
             if dropped + x * x >= (0.999 * threshold) ** 2 * norm:
                 out.add(t)
             else:
@@ -134,7 +134,7 @@ class Weights:
         self.idf = {t: math.log((1 + self.n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.vectors = [{t: c * self.idf[t] for t, c in terms_of(text).items()} for _, text in TEMPLATES]
         self.norms = [math.sqrt(sum(x * x for x in v.values())) for v in self.vectors]
-        self.needed = f"(^|[^a-z0-9])({'|'.join(sorted(required_terms(self.vectors, threshold)))})([^a-z0-9]|$)"
+        self.needed = f"(^|[^a-z0-9])({'|'.join(sorted(required_terms(self.vectors, threshold, df)))})([^a-z0-9]|$)"
         self.unknown = math.log(1 + self.n) + 1
 
 
