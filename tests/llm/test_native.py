@@ -103,6 +103,29 @@ def test_fingerprints(spark):
     assert abs(sum(errors) / len(errors)) < 0.03 and max(map(abs, errors)) < 0.35
 
 
+def test_samples_by_brute_force(spark):
+    """The least ln a of every sample, drawn in plain Python from the same hashes."""
+    import struct
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    bags = {k: {rng.getrandbits(62): rng.randint(1, 9) for _ in range(rng.randint(1, 30))} for k in range(12)}
+    terms = spark.createDataFrame([(k, t, w) for k, bag in bags.items() for t, w in bag.items()], "k long, term long, w long").select("k", "term", F.log(F.col("w").cast("double")).alias("ln_w"))
+    got = {r.k: r for r in fingerprints.samples(terms, ["k"], 6).collect()}
+    part = lambda x, at, n: ((x >> at & (1 << n) - 1) + 0.5) / (1 << n)
+    for k, bag in bags.items():
+        for i in range(6):
+            least = math.inf
+            for t, w in bag.items():
+                h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(struct.pack("<q", t), 42))
+                g = xxhash.xxh64_intdigest(struct.pack("<Q", h), 42)
+                r, c, b = -math.log(part(h, 0, 14) * part(h, 14, 14)), -math.log(part(g, 0, 32) * part(g, 32, 32)), part(h, 28, 36)
+                least = min(least, math.log(c) - r * (math.floor(math.log(w) / r + b) - b + 1))
+            assert math.isclose(got[k][f"s{i}"], least, rel_tol=1e-9)
+
+
 def test_fingerprints_odd_tables(spark):
     assert fingerprints.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fingerprints.fingerprints(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()
