@@ -149,6 +149,8 @@ def schema(a: argparse.Namespace) -> int:
         text = S.emit(table)
         Path(a.out).write_text(text, encoding="utf-8") if a.out else print(text)
         return 0
+    if not a.schema:
+        raise ValueError("check needs --schema")
     try:
         S.validate(table, S.load(a.schema))
     except ValueError as e:
@@ -173,6 +175,13 @@ def doctor(a: argparse.Namespace) -> int:
         except ImportError:
             print(f"{name:<10} missing")
             bad |= core
+    try:
+        spark = _session()
+        print(f"java       {spark._jvm.System.getProperty('java.version')}")
+        print(f"spark      {spark.range(1000).count()} rows counted on {spark.sparkContext.master}")
+    except Exception as e:  # whatever keeps Spark from starting is what the user wants to see
+        print(f"spark      doesn't run: {e}")
+        bad = 1
     return int(bad)
 
 
@@ -225,10 +234,14 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(x, type=float)
     for x in ("--json", "--html"):
         p.add_argument(x)
-    p = add("schema", schema, "action", "source")
+    p = add("schema", schema)
+    p.add_argument("action", choices=["infer", "check"])
+    p.add_argument("source")
     source(p)
     p.add_argument("--out")
-    p = add("artifact", artifact_info, "action", "artifact")
+    p = add("artifact", artifact_info)
+    p.add_argument("action", choices=["info"])
+    p.add_argument("artifact")
     add("doctor", doctor)
     return top
 

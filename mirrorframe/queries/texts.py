@@ -56,7 +56,7 @@ _SIMPLE = ["EMAIL_ADDRESS", "URL", "IP_ADDRESS", "US_SSN", "PHONE_NUMBER"]
 @query(" UNION ALL ".join(f"SELECT '{e}' AS entity, round(avg(CASE WHEN regexp_matches(text, '{pii.PATTERNS[e][0]}') THEN {pii.PATTERNS[e][1]} ELSE 0 END), 6) AS score, count(*) FILTER (WHERE regexp_matches(text, '{pii.PATTERNS[e][0]}')) AS hits, count(*) AS \"values\" FROM documents" for e in _SIMPLE))
 def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in whole texts, by pattern."""
-    found = pii.scan(table(spark, sf_dir, "documents"), "text").filter(F.col("entity").isin(_SIMPLE))
+    found = pii.scan(table(spark, sf_dir, "documents"), "text", _SIMPLE)
     return found.select("entity", F.round("score", 6).alias("score"), "hits", "values")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Timer
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,11 +22,24 @@ class RangePartition(InputPartition):
 class DuckDbReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.query, self.paged = options["database"], options["query"], options.get("paged", "false") == "true"
+        self.timeout = float(options.get("timeout", 0))
 
+    @contextmanager
     def _connect(self):
+        """A connection whose queries are interrupted after the timeout, where there is one."""
         import duckdb
 
-        return duckdb.connect(self.path, read_only=True)
+        with duckdb.connect(self.path, read_only=True) as c:
+            timer = Timer(self.timeout, c.interrupt) if self.timeout else None
+            if timer:
+                timer.start()
+            try:
+                yield c
+            except duckdb.InterruptException:
+                raise TimeoutError(f"the query took more than {self.timeout:g} seconds") from None
+            finally:
+                if timer:
+                    timer.cancel()
 
     def partitions(self) -> list[InputPartition]:
         if not self.paged:  # a query without a stable order is read in one pass

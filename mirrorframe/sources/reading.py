@@ -55,7 +55,7 @@ def read_database(spark: SparkSession, spec: DatabaseUri, *, fit_rows: int | Non
         ship(spark)
         spark.dataSource.register(DuckDbSource)
         path = spec.uri.split("://", 1)[1]
-        read = lambda sql, paged=False: spark.read.format("duckdb").option("database", path).option("query", sql).option("paged", str(paged).lower()).load()
+        read = lambda sql, paged=False: spark.read.format("duckdb").option("database", path).option("query", sql).option("paged", str(paged).lower()).option("timeout", spec.timeout or 0).load()
     else:
         read = lambda sql, paged=False: _jdbc(spark, spec, sql)
     try:

@@ -47,6 +47,9 @@ def test_duckdb_round_trip(spark, frame, tmp_path):
         c.execute("CREATE TABLE big AS SELECT range AS i FROM range(1000)")
     spec = U.parse_source(f"duckdb://{path}", query="SELECT * FROM big")
     assert read(spark, spec, fit_rows=50).count() == 50 and read(spark, spec).count() == 1000
+    slow = U.parse_source(f"duckdb://{path}", query="SELECT count(*) AS n FROM range(10000000) a, range(10000000) b WHERE a.range % 7 = b.range % 11", timeout=1)
+    with pytest.raises(U.ProbeError):
+        read(spark, slow)
 
 
 def test_uris(monkeypatch):
@@ -55,6 +58,13 @@ def test_uris(monkeypatch):
     with pytest.raises(U.SourceError):
         U.expand_env("${NO_SUCH_VARIABLE}")
     assert U.redact("postgres://u:secret@h/db") == "postgres://u:***@h/db"
+    assert U.redact("postgres://u:p@s/e:c@h:5/db") == "postgres://u:***@h:5/db" and U.redact("duckdb:///a/b.duckdb") == "duckdb:///a/b.duckdb"
+    with pytest.raises(U.SourceError):
+        U.with_password("postgres://u@h/db", "true")
+    monkeypatch.setattr(U, "PASSWORD_SECONDS", 0.2)
+    with pytest.raises(U.SourceError):
+        U.with_password("postgres://u@h/db", "sleep 5")
+    monkeypatch.undo()
     assert "secret" not in repr(U.parse_source("postgres://u:secret@h/db", table="t"))
     assert U.with_password("postgres://u@h:5/db", "printf 'a b'") == "postgres://u:a%20b@h:5/db"
     for bad in ({"table": "t", "query": "q"}, {}):
@@ -117,6 +127,9 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["sample", f"{tmp_path}/m", "--rows", "20", "--out", f"{tmp_path}/s.parquet"]) == 0 and read_file(spark, f"{tmp_path}/s.parquet").count() == 20
     assert main(["schema", "infer", src, "--out", f"{tmp_path}/a.toml"]) == 0 and main(["schema", "check", src, "--schema", f"{tmp_path}/a.toml"]) == 0
     assert main(["gen", f"{tmp_path}/none.xls", "--rows", "5", "--out", out]) == 1 and main(["doctor"]) == 0
+    assert main(["schema", "check", src]) == 1
+    with pytest.raises(SystemExit):
+        main(["artifact", "drop", f"{tmp_path}/m"])
 
 
 def test_row_counts():
