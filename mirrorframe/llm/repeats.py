@@ -9,11 +9,12 @@ bytes, so the corpus is first cut down to the places that can match.
 2. Runs of equal text (128 bits of hash) fold: all but the first are covered whole. Copies end here and are never expanded.
 3. Where an anchor has several different runs, their texts are fetched, and one suffix array and LPF array over
    those of many anchors finds the windows with an earlier copy. An anchor with more than HOT different runs goes by single windows, of which equal
-   ones fold in the same way, so that it never meets in one suffix array.
+   ones fold in the same way, so that it never meets in one suffix array. Groups read runs as a stream and let go of an anchor once it is hot,
+   with all of its runs to come, so a passage in very many surroundings takes no more memory than a rare one.
 4. Covered windows are collected by document and cut from the texts.
 
-Plan: one exchange of packed runs, two of compressed texts (fetch and cut), small ones of spans. A task folds equal runs before they leave
-it, so groups of copies shrink to one run a task.
+Plan: one exchange of packed runs, two of compressed texts (fetch and cut), small ones of spans. A task folds equal runs, and equal windows of
+hot anchors, before they leave it, so groups of copies shrink to one a task.
 
 Defined results: null and empty texts are kept as empty, with no spans; rows that repeat an id, and rows of null id (the smallest), are documents of
 their own, rows of one id in the order of a hash of id and text; very long texts are worked on in slices; an empty table gives an empty result; other columns are ignored.
@@ -36,6 +37,8 @@ GRAM = 40
 WINDOWS = MATCH - GRAM + 1
 #: Different runs of one anchor beyond which they go by single windows.
 HOT = 2000
+#: Runs or windows that a task gathers before it folds them.
+HELD = 1 << 18
 #: Bytes of text worked on at once, and aimed at for a group of runs.
 SLICE, GROUP = 1 << 20, 8 << 20
 _rng = np.random.Generator(np.random.PCG64(77003))
@@ -137,20 +140,59 @@ def _found(kind: int, runs: np.ndarray) -> pa.Table:
     return pa.table({"kind": np.full(len(runs), kind, np.int32), "id": runs["doc"].astype(np.int64), "start": runs["start"].astype(np.int64), "n": runs["n"].astype(np.int64), "anchor": runs["anchor"].view(np.int64) if runs["anchor"].flags.c_contiguous else runs["anchor"].copy().view(np.int64)})
 
 
-def _resolve(t: pa.Table) -> pa.Table:
-    """Of one group of runs: SPANS that an earlier equal run covers, and RUNS (or HOT_RUNS) whose anchor has other runs."""
-    kinds, blobs = t.column("kind").to_pylist(), t.column("runs").to_pylist()
-    covered = unpack([b for k, b in zip(kinds, blobs, strict=True) if k])
-    first, more = fold(unpack([b for k, b in zip(kinds, blobs, strict=True) if not k]))
-    _, at, n = np.unique(first["anchor"], return_index=True, return_counts=True)
-    several = np.repeat(n, n)
-    return pa.concat_tables([_found(SPANS, covered), _found(SPANS, more), _found(RUNS, first[(several > 1) & (several <= HOT)]), _found(HOT_RUNS, first[several > HOT])])
+class Fold:
+    """Folds runs that come in parts. `held` is the first run of each text so far; `put` and `settle` give those that turn out covered."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.fresh, self.waiting = most, np.zeros(0, RUN), [], 0
+
+    def put(self, runs: np.ndarray) -> bool:
+        """Whether enough wait to settle."""
+        if len(runs):
+            self.fresh.append(runs)
+            self.waiting += len(runs)
+        return self.waiting >= self.most
+
+    def settle(self) -> np.ndarray:
+        self.held, covered = fold(np.concatenate([self.held, *self.fresh]))
+        self.fresh, self.waiting = [], 0
+        return covered
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], hot: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Of one group of runs: SPANS that an earlier equal run covers, and RUNS (or HOT_RUNS) whose anchor has other runs.
+
+    An anchor with over `hot` runs is let go with all of its runs to come: their windows meet later. Only runs of other anchors are held.
+    """
+    cold, let_go = Fold(held), np.zeros(0, np.uint64)
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        nonlocal let_go
+        yield from _found(SPANS, cold.settle()).to_batches()
+        again = np.isin(cold.held["anchor"], let_go)
+        _, n = np.unique(cold.held["anchor"], return_counts=True)
+        over = again | (np.repeat(n, n) > hot)
+        if over.any():
+            yield from _found(HOT_RUNS, cold.held[over]).to_batches()
+            let_go = np.union1d(let_go, cold.held["anchor"][over])
+            cold.held = cold.held[~over]
+
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("runs"), strict=True):
+            runs = unpack([blob.as_py()])
+            if kind:
+                yield from _found(SPANS, runs).to_batches()
+            elif cold.put(runs):
+                yield from settle()
+    yield from settle()
+    _, n = np.unique(cold.held["anchor"], return_counts=True)
+    yield from _found(RUNS, cold.held[np.repeat(n, n) > 1]).to_batches()
 
 
 FOUND = "kind int, id long, start long, n long, anchor long"
 
 
-def find_runs(docs: DataFrame, groups: int) -> DataFrame:
+def find_runs(docs: DataFrame, groups: int, hot: int = HOT, held: int = HELD) -> DataFrame:
     """docs: id, text. Runs of all documents, met by anchor: FOUND."""
 
     @released
@@ -179,7 +221,10 @@ def find_runs(docs: DataFrame, groups: int) -> DataFrame:
                         raw, ids, offsets, size = [], [], [], 0
         yield from flush()
 
-    return docs.mapInArrow(run, "group long, kind int, runs binary").groupBy("group").applyInArrow(_resolve, FOUND)
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _resolve(batches, hot, held)
+
+    return docs.mapInArrow(run, "group long, kind int, runs binary").groupBy("group").applyInArrow(resolve, FOUND)
 
 
 def longest_previous_factor(data: np.ndarray, positions: np.ndarray, cap: int = MATCH) -> np.ndarray:
@@ -256,46 +301,76 @@ def zipped(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, body binary")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
-    """Texts of the wanted runs. (group, id, start, n, body) for suffix arrays; packed single windows for hot anchors."""
+def windows_at(text: np.ndarray, at: np.ndarray, doc: int) -> np.ndarray:
+    """Single windows of a text as runs, with two hashes of their bytes for anchor and run."""
+    out = np.zeros(len(at), RUN)
+    powers, powers2 = (np.multiply.accumulate(np.full(MATCH, ODD[k], np.uint64)) for k in (6, 7))
+    for s in range(0, len(at), 4096):
+        value = BYTE[text[at[s : s + 4096, None] + np.arange(MATCH)]]
+        out["anchor"][s : s + 4096], out["run"][s : s + 4096] = mix((value * powers).sum(axis=1)), mix((value * powers2).sum(axis=1))
+    out["doc"], out["start"], out["n"] = doc, at, 1
+    return out
+
+
+def _spans(windows: np.ndarray) -> pa.Table:
+    """SPANS of single windows; windows next to each other make one."""
+    found = windows[np.lexsort((windows["start"], windows["doc"]))]
+    doc, start = found["doc"].astype(np.int64), found["start"].astype(np.int64)
+    new = np.ones(len(found), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(new)
+    return pa.table({"kind": np.full(len(at), SPANS, np.int32), "id": doc[at], "start": start[at], "n": np.diff(np.append(at, len(found))).astype(np.int64), "anchor": np.zeros(len(at), np.int64)})
+
+
+def fetch(docs: DataFrame, wanted: DataFrame, groups: int, held: int = HELD) -> DataFrame:
+    """Texts of the wanted runs, by group: RUNS are (id, start, n, text), HOT_RUNS packed single windows of hot anchors, SPANS those that a window of the same task covers."""
     asked = wanted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "anchor", "kind"))).alias("asked"))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
+        z, windows = zstandard.ZstdDecompressor(), Fold(held)
+
+        def made(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in rows], pa.int64()) for k in range(5)] + [pa.array([x[5] for x in rows], pa.binary())], names=["group", "kind", "id", "start", "n", "body"])
+
+        def leave() -> Iterator[pa.RecordBatch]:
+            rows = [(s["id"] % groups, SPANS, s["id"], s["start"], s["n"], b"") for s in _spans(windows.settle()).to_pylist()]
+            group = (windows.held["anchor"] % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+                rows.append((group[part[0]], HOT_RUNS, 0, 0, 0, pack(windows.held[part])))
+            windows.held = windows.held[:0]
+            yield from made(rows)
+
         for batch in batches:
             for r in range(batch.num_rows):
                 doc, body, asks = (batch.column(k)[r].as_py() for k in ("id", "body", "asked"))
                 body = z.decompress(body)
-                hot = [(a["start"], a["n"]) for a in asks if a["kind"] == HOT_RUNS]
                 some = [a for a in asks if a["kind"] == RUNS]
-                rows = [(mix(np.array([a["anchor"]], np.int64).view(np.uint64))[0] % np.uint64(groups), RUNS, doc, a["start"], a["n"], body[a["start"] : a["start"] + a["n"] + MATCH - 1]) for a in some]
-                if hot:
-                    at = np.concatenate([np.arange(s, s + n) for s, n in hot])
-                    text = np.frombuffer(body, np.uint8)
-                    windows = np.zeros(len(at), RUN)
-                    rows_of = text[at[:, None] + np.arange(MATCH)]
-                    value = BYTE[rows_of]
-                    powers = np.multiply.accumulate(np.full(MATCH, ODD[6], np.uint64))
-                    powers2 = np.multiply.accumulate(np.full(MATCH, ODD[7], np.uint64))
-                    windows["anchor"], windows["run"] = mix((value * powers).sum(axis=1)), mix((value * powers2).sum(axis=1))
-                    windows["doc"], windows["start"], windows["n"] = doc, at, 1
-                    group = (windows["anchor"] % np.uint64(groups)).astype(np.int64)
-                    for g in np.unique(group).tolist():
-                        rows.append((g, HOT_RUNS, doc, 0, 0, pack(windows[group == g])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in rows], pa.int64()) for k in range(5)] + [pa.array([x[5] for x in rows], pa.binary())], names=["group", "kind", "id", "start", "n", "body"])
-
-    got = zipped(docs).join(asked, "id").mapInArrow(run, "group long, kind long, id long, start long, n long, body binary")
-    return got
-
-
-def _match(t: pa.Table) -> pa.Table:
+                yield from made([(mix(np.array([a["anchor"]], np.int64).view(np.uint64))[0] % np.uint64(groups), RUNS, doc, a["start"], a["n"], body[a["start"] : a["start"] + a["n"] + MATCH - 1]) for a in some])
+                hot = [np.arange(a["start"], a["start"] + a["n"]) for a in asks if a["kind"] == HOT_RUNS]
+                if hot and windows.put(windows_at(np.frombuffer(body, np.uint8), np.concatenate(hot), doc)):
+                    yield from leave()
+        yield from leave()
+
+    return zipped(docs).join(asked, "id").mapInArrow(run, "group long, kind long, id long, start long, n long, body binary")
+
+
+def _match(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
     """Spans of one group of fetched runs and single windows."""
-    kind = t.column("kind").to_numpy()
-    hot = unpack([x for k, x in zip(kind.tolist(), t.column("body").to_pylist(), strict=True) if k == HOT_RUNS])
-    out = [_found(SPANS, fold(hot)[1])]
-    t = t.filter(pa.array(kind == RUNS)).sort_by([("id", "ascending"), ("start", "ascending")])
+    windows, parts = Fold(held), []
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        known = batch.filter(pa.array(kind == SPANS))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column("kind").cast(pa.int32()), known.column("id"), known.column("start"), known.column("n"), pa.array(np.zeros(known.num_rows, np.int64))], names=["kind", "id", "start", "n", "anchor"])
+        for blob in batch.filter(pa.array(kind == HOT_RUNS)).column("body"):
+            if windows.put(unpack([blob.as_py()])):
+                yield from _spans(windows.settle()).to_batches()
+        parts.append(batch.filter(pa.array(kind == RUNS)))
+    yield from _spans(windows.settle()).to_batches()
+    t = pa.Table.from_batches(parts).sort_by([("id", "ascending"), ("start", "ascending")])
     if t.num_rows:
         bodies = t.column("body").to_pylist()
         n, start, ids = (t.column(k).to_numpy() for k in ("n", "start", "id"))
@@ -308,13 +383,7 @@ def _match(t: pa.Table) -> pa.Table:
         hit = lpf >= MATCH
         found = np.zeros(int(hit.sum()), RUN)
         found["doc"], found["start"], found["n"] = np.repeat(ids, n)[hit], (np.repeat(start, n) + inner)[hit], 1
-        # Windows next to each other make one span
-        joined = np.ones(len(found), bool)
-        joined[1:] = (found["doc"][1:] != found["doc"][:-1]) | (found["start"][1:].astype(np.int64) != found["start"][:-1].astype(np.int64) + 1)
-        at = np.flatnonzero(joined)
-        spans = pa.table({"kind": np.full(len(at), SPANS, np.int32), "id": found["doc"][at].astype(np.int64), "start": found["start"][at].astype(np.int64), "n": np.diff(np.append(at, len(found))).astype(np.int64), "anchor": np.zeros(len(at), np.int64)})
-        out.append(spans)
-    return pa.concat_tables(out)
+        yield from _spans(found).to_batches()
 
 
 def _union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -329,13 +398,17 @@ def _union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut_repeats(source: DataFrame) -> DataFrame:
+def cut_repeats(source: DataFrame, hot: int = HOT, held: int = HELD) -> DataFrame:
     """source: id (unique, in the order that decides which copy is first), text. id, n_bytes, n_removed, removed, kept."""
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(8, -(-size // GROUP))
-    found = stage(find_runs(source, groups), "repeat-runs")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _match(batches, held)
+
+    found = stage(find_runs(source, groups, hot, held), "repeat-runs")
     wanted = found.filter(F.col("kind") != SPANS)
-    matched = stage(fetch(source, wanted, groups).groupBy("group").applyInArrow(_match, FOUND), "repeat-matches")
+    matched = stage(fetch(source, wanted, groups, held).groupBy("group").applyInArrow(match, FOUND), "repeat-matches")
     spans = found.filter(F.col("kind") == SPANS).unionByName(matched).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     @released
@@ -360,10 +433,10 @@ def cut_repeats(source: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, removed array<struct<start: bigint, end: bigint>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, removed (maximal removed byte ranges), kept (the remaining bytes, binary)."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, held: int = HELD) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, removed (maximal removed byte ranges), kept (the remaining bytes, binary). hot and held bound memory; results don't depend on them."""
     source, plain = keyed(docs.select(column_or_null(docs, id_col, "long").alias("own"), column_or_null(docs, text_col, "string").alias("text")), "own", "id", nulls_first=True)
-    out = cut_repeats(source.select("id", "text"))
+    out = cut_repeats(source.select("id", "text"), hot, held)
     if plain:
         return out
     return out.join(source.select(F.col("id").alias("key"), "own"), F.col("id") == F.col("key")).select(F.col("own").alias("id"), "n_bytes", "n_removed", "removed", "kept")

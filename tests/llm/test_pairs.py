@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,6 +141,29 @@ def test_remove_repeats(spark, corpus):
     df = spark.createDataFrame([(i, t, "kept") for i, t in corpus], "doc_id long, text string, kept string").repartition(5)
     got = {r.id: (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in R.remove_repeats(df).collect()}
     assert got == removed(corpus)
+    small = R.remove_repeats(df, hot=2, held=50)  # anchors become hot while runs still come
+    assert {r.id: (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in small.collect()} == got
+
+
+@pytest.mark.parametrize(("hot", "held"), [(2000, 1 << 18), (5, 1 << 18), (5, 40), (0, 7)])
+def test_resolve_streams(hot, held):
+    """Every run but the first of its text is covered or let go with its hot anchor, in whatever parts the runs come."""
+    rng = np.random.default_rng(3)
+    runs = np.zeros(3000, R.RUN)
+    runs["anchor"], runs["run"] = np.minimum(rng.geometric(0.05, 3000), 40), rng.integers(0, 30, 3000)
+    runs["doc"], runs["n"] = rng.permutation(3000), 1
+    parts = [pa.RecordBatch.from_pydict({"group": [0], "kind": pa.array([0], pa.int32()), "runs": [R.pack(x)]}) for x in np.array_split(runs, 60)]
+    out = pa.Table.from_batches(list(R._resolve(iter(parts), hot, held))).to_pylist()
+    texts = {(int(a), int(r)) for a, r in zip(runs["anchor"], runs["run"], strict=True)}
+    over = {a for a in {a for a, _ in texts} if sum(x == a for x, _ in texts) > hot}
+    assert {r["anchor"] for r in out if r["kind"] == R.HOT_RUNS} == over
+    first = {}
+    for a, r, d in zip(runs["anchor"].tolist(), runs["run"].tolist(), runs["doc"].tolist(), strict=True):
+        first[a, r] = min(d, first.get((a, r), d))
+    by = {d: (a, r) for a, r, d in zip(runs["anchor"].tolist(), runs["run"].tolist(), runs["doc"].tolist(), strict=True)}
+    assert sorted(r["id"] for r in out if r["kind"] == R.RUNS) == sorted(d for (a, _), d in first.items() if a not in over and sum(x == a for x, _ in texts) > 1)
+    assert all(first[by[r["id"]]] < r["id"] for r in out if r["kind"] == R.SPANS)
+    assert len({r["id"] for r in out}) == len(out) == 3000 - sum(1 for (a, _) in first if a not in over and sum(x == a for x, _ in texts) == 1)
 
 
 def test_runs_cover_every_window(corpus):
