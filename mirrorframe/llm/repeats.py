@@ -178,12 +178,12 @@ def _resolve(batches: Iterator[pa.RecordBatch], hot: int, held: int) -> Iterator
             cold.held = cold.held[~over]
 
     for batch in batches:
-        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("runs"), strict=True):
-            runs = unpack([blob.as_py()])
-            if kind:
-                yield from _found(SPANS, runs).to_batches()
-            elif cold.put(runs):
-                yield from settle()
+        kinds, blobs = batch.column("kind").to_pylist(), batch.column("runs").to_pylist()
+        covered = unpack([b for k, b in zip(kinds, blobs, strict=True) if k])
+        if len(covered):
+            yield from _found(SPANS, covered).to_batches()
+        if cold.put(unpack([b for k, b in zip(kinds, blobs, strict=True) if not k])):
+            yield from settle()
     yield from settle()
     _, n = np.unique(cold.held["anchor"], return_counts=True)
     yield from _found(RUNS, cold.held[np.repeat(n, n) > 1]).to_batches()
@@ -365,9 +365,8 @@ def _match(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBa
         known = batch.filter(pa.array(kind == SPANS))
         if known.num_rows:
             yield pa.RecordBatch.from_arrays([known.column("kind").cast(pa.int32()), known.column("id"), known.column("start"), known.column("n"), pa.array(np.zeros(known.num_rows, np.int64))], names=["kind", "id", "start", "n", "anchor"])
-        for blob in batch.filter(pa.array(kind == HOT_RUNS)).column("body"):
-            if windows.put(unpack([blob.as_py()])):
-                yield from _spans(windows.settle()).to_batches()
+        if windows.put(unpack(batch.filter(pa.array(kind == HOT_RUNS)).column("body").to_pylist())):
+            yield from _spans(windows.settle()).to_batches()
         parts.append(batch.filter(pa.array(kind == RUNS)))
     yield from _spans(windows.settle()).to_batches()
     t = pa.Table.from_batches(parts).sort_by([("id", "ascending"), ("start", "ascending")])
