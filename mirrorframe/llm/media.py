@@ -16,6 +16,7 @@ names clash with the result's are left out, the others are kept.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,21 +34,27 @@ FRAME = 576
 RATE = 8000
 
 
-def _wav(b: bytes, at: int) -> int | None:
-    """Length of a RIFF/WAVE file at `at`: a fmt chunk before a data chunk, all chunks inside the RIFF size."""
-    if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE":
-        return None
-    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    if end > len(b):
-        return None
-    pos, seen = at + 12, set()
-    while pos + 8 <= end:
-        name, n = b[pos : pos + 4], struct.unpack_from("<I", b, pos + 4)[0]
-        if pos + 8 + n > end or name == b"data" and b"fmt " not in seen or name == b"fmt " and n < 16:
+def _riff(form: bytes, needed: tuple[bytes, ...], any_of: tuple[bytes, ...] = ()) -> Callable[[bytes, int], int | None]:
+    """Validator of a RIFF form: all chunks inside the RIFF size, the needed ones in their order, and one of `any_of` where given."""
+
+    def check(b: bytes, at: int) -> int | None:
+        if len(b) - at < 12 or b[at + 8 : at + 12] != form:
             return None
-        seen.add(name)
-        pos += 8 + n + (n & 1)
-    return end - at if {b"fmt ", b"data"} <= seen else None
+        end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+        if end > len(b):
+            return None
+        pos, seen = at + 12, []
+        while pos + 8 <= end:
+            name, n = b[pos : pos + 4], struct.unpack_from("<I", b, pos + 4)[0]
+            if pos + 8 + n > end or name == b"fmt " and n < 16:
+                return None
+            seen.append(name)
+            pos += 8 + n + (n & 1)
+        order = [seen.index(x) for x in needed if x in seen]
+        whole = len(order) == len(needed) and order == sorted(order) and (not any_of or any(x in seen for x in any_of))
+        return end - at if whole else None
+
+    return check
 
 
 def _png(b: bytes, at: int) -> int | None:
@@ -134,48 +141,262 @@ def _gzip(b: bytes, at: int) -> int | None:
     return len(b) - at - len(d.unused_data) if d.eof else None
 
 
+_PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+_PDF_TABLE = re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
 def _pdf(b: bytes, at: int) -> int | None:
-    """Length of a PDF at `at`: version digits, a startxref and the last %%EOF."""
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
+    """Length of a PDF at `at`: version digits, and the last end mark whose startxref points, counted from `at`, to a cross-reference table or stream.
+
+    Where none does (readers rebuild such tables), the last end mark before the next PDF whose offset lies inside the file.
+    """
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    ends = [(m.start(), m.end(), at + int(m[1][:15])) for m in _PDF_END.finditer(b, at)]
+    following = b.find(b"%PDF-", at + 5)
+    last = at
+    for start, end, table in ends:
+        if last <= table < start and _PDF_TABLE.match(b, table):  # an update is appended with a table of its own
+            last = end
+    near = [end for start, end, table in ends if table < start and (following < 0 or end <= following)]
+    return last - at if last > at else near[-1] - at if near else None
+
+
+def _crc_table(poly: int, bits: int) -> list[int]:
+    """What a byte shifted out of the top of a CRC adds to it."""
+    out, top, mask = [], 1 << (bits - 1), (1 << bits) - 1
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly if x & top else x << 1) & mask
+        out.append(x)
+    return out
+
+
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, at: int) -> tuple[int, int, int] | None:
+    """Of a FLAC frame header at `at` with the right CRC: where it ends, the frame's samples and its number."""
+    h = b[at : at + 17].ljust(17, b"\0")
+    size, rate, ones = h[2] >> 4, h[2] & 15, 8 - (~h[4] & 255).bit_length()
+    if h[0] != 0xFF or h[1] & 0xFE != 0xF8 or not size or rate == 15 or h[3] >> 4 > 10 or h[3] & 1 or ones in (1, 8):
+        return None
+    number, pos = h[4] & (255 >> ones), 5
+    for _ in range(ones - 1):
+        if h[pos] & 0xC0 != 0x80:
+            return None
+        number, pos = number << 6 | h[pos] & 0x3F, pos + 1
+    samples = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8) if size > 7 else 0
+    if not samples:
+        samples = int.from_bytes(h[pos : pos + size - 5], "big") + 1
+        pos += size - 5
+    pos += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in h[:pos]:
+        crc = CRC8[crc ^ x]
+    return (at + pos + 1, samples, number) if crc == h[pos] and at + pos < len(b) else None
 
 
 def _flac(b: bytes, at: int) -> int | None:
-    """A FLAC stream at `at` runs to the payload's end: STREAMINFO of 34 bytes first, metadata blocks inside."""
-    pos, first = at + 4, True
-    while pos + 4 <= len(b):
-        kind, n = b[pos], int.from_bytes(b[pos + 1 : pos + 4], "big")
-        if first and (kind & 127 or n != 34) or pos + 4 + n > len(b):
+    """Length of a FLAC stream at `at`: STREAMINFO of 34 bytes first, metadata blocks inside, then frames with ascending numbers up to the
+    number of samples that STREAMINFO names (0: to the last frame). Headers are checked by their CRC, frame bodies are not, but for the last. That one ends where its CRC does: at the payload's end if it fits there, else where it first fits."""
+    pos, first, last = at + 4, True, False
+    while not last:
+        if pos + 4 > len(b):
+            return None
+        n = int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if first and (b[pos] & 127 or n != 34) or pos + 4 + n > len(b):
+            return None
+        last, pos, first = bool(b[pos] & 128), pos + 4 + n, False
+    info = b[at + 8 : at + 42]
+    least, total, done = int.from_bytes(info[4:7], "big"), int.from_bytes(info[10:18], "big") & ((1 << 36) - 1), 0
+    while True:
+        head = _flac_frame(b, pos)
+        if head is None:
+            return None
+        body, samples, number = head
+        done += samples
+        following = -1
+        if not total or done < total:
+            sync, expected = b[pos : pos + 2], number + (samples if b[pos + 1] & 1 else 1)
+            following = b.find(sync, body)
+            while following >= 0 and ((found := _flac_frame(b, following)) is None or found[2] != expected):
+                following = b.find(sync, following + 1)
+        if following < 0:
+            break
+        pos = following
+    if total and done < total:
+        return None
+    crc, ends = 0, 0
+    for i in range(pos, len(b)):
+        crc = (crc << 8 & 0xFFFF) ^ CRC16[crc >> 8 ^ b[i]]
+        if not crc and not ends and i + 1 - pos >= max(least, body + 3 - pos):
+            ends = i + 1
+    ends = ends if crc else len(b)
+    return ends - at if ends >= body + 3 else None
+
+
+#: Boxes that stand at the top level of an ISO media file.
+_BOXES = {b"ftyp", b"styp", b"moov", b"moof", b"mdat", b"free", b"skip", b"wide", b"uuid", b"meta", b"mfra", b"sidx", b"pdin", b"emsg", b"prft"}
+
+
+def _mp4(b: bytes, at: int) -> int | None:
+    """Length of an ISO media file at `at`: known boxes one behind the other, among them a movie or a movie fragment."""
+    pos, seen = at, set()
+    while pos + 8 <= len(b) and b[pos + 4 : pos + 8] in _BOXES:
+        name, n, least = b[pos + 4 : pos + 8], struct.unpack_from(">I", b, pos)[0], 8
+        if n == 1:
+            if pos + 16 > len(b):
+                return None
+            n, least = struct.unpack_from(">Q", b, pos + 8)[0], 16
+        n = n or len(b) - pos
+        if n < least or pos + n > len(b) or name == b"ftyp" and (seen or n < 16):
+            return None
+        seen.add(name)
+        pos += n
+    return pos - at if seen & {b"moov", b"moof"} else None
+
+
+def _ogg(b: bytes, at: int) -> int | None:
+    """Length of an Ogg stream at `at`: pages one behind the other, each logical stream from its first page in sequence to its last."""
+    pos, sequence, open_ = at, {}, set()
+    while pos + 27 <= len(b) and b[pos : pos + 5] == b"OggS\0":
+        flags, (serial, page), segments = b[pos + 5], struct.unpack_from("<II", b, pos + 14), b[pos + 26]
+        end = pos + 27 + segments + sum(b[pos + 27 : pos + 27 + segments])
+        if end > len(b) or bool(flags & 2) == (serial in sequence) or page != sequence.get(serial, page - 1) + 1:
             return None
-        pos, first = pos + 4 + n, False
-        if kind & 128:
-            return len(b) - at if b[pos : pos + 1] == b"\xff" else None
+        sequence[serial] = page
+        open_.add(serial)
+        if flags & 4:
+            open_.remove(serial)
+        pos = end
+        if not open_:
+            return pos - at
     return None
 
 
-#: Magic bytes, media type and validator of each format.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
-    (b"RIFF", "audio/wav", _wav),
-    (b"\x89PNG\r\n\x1a\n", "image/png", _png),
-    (b"GIF87a", "image/gif", _gif),
-    (b"GIF89a", "image/gif", _gif),
-    (b"\xff\xd8\xff", "image/jpeg", _jpeg),
-    (b"BM", "image/bmp", _bmp),
-    (b"PK\x03\x04", "application/zip", _zip),
-    (b"\x1f\x8b\x08", "application/gzip", _gzip),
-    (b"%PDF-", "application/pdf", _pdf),
-    (b"fLaC", "audio/flac", _flac),
+#: Bytes of a TIFF value by its type, from 1.
+_TIFF_SIZES = (1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)
+
+
+def _tiff(b: bytes, at: int) -> int | None:
+    """Length of a TIFF at `at`: the furthest end of its directories, their values, strips and tiles, all inside the payload; each directory names a width."""
+    order = "<" if b[at : at + 1] == b"I" else ">"
+    if len(b) - at < 8:
+        return None
+    seen, end, where = set(), 8, struct.unpack_from(order + "I", b, at + 4)[0]
+    while where:
+        if where in seen or where < 8 or at + where + 6 > len(b):
+            return None
+        seen.add(where)
+        n = struct.unpack_from(order + "H", b, at + where)[0]
+        stop = where + 6 + 12 * n
+        if not n or at + stop > len(b):
+            return None
+        end, lists = max(end, stop), {}
+        for k in range(n):
+            slot = where + 2 + 12 * k
+            tag, kind, count = struct.unpack_from(order + "HHI", b, at + slot)
+            if not 1 <= kind <= 12:
+                return None
+            size = _TIFF_SIZES[kind - 1] * count
+            start = slot + 8 if size <= 4 else struct.unpack_from(order + "I", b, at + slot + 8)[0]
+            if at + start + size > len(b):
+                return None
+            end = max(end, start + size)
+            if tag in (273, 279, 324, 325) and kind in (3, 4):
+                lists[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", b, at + start)
+            elif tag == 256:
+                lists[tag] = ()
+        if 256 not in lists:
+            return None
+        for offsets, sizes in ((273, 279), (324, 325)):
+            for start, size in zip(lists.get(offsets, ()), lists.get(sizes, ()), strict=False):
+                end = max(end, start + size)
+        where = struct.unpack_from(order + "I", b, at + stop - 4)[0]
+    return end if seen and at + end <= len(b) else None
+
+
+#: Kilobits a second of MPEG-1 and MPEG-2 layer III frames by their code from 1, and samples a second of MPEG-1.
+_MP3_BITS = {3: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+_MP3_RATES = (44100, 48000, 32000)
+
+
+def _mp3(b: bytes, at: int) -> int | None:
+    """Length of an MP3 at `at`: an ID3v2 tag of the length it names, then two layer III frames or more, and an ID3v1 tag if there is one."""
+    if len(b) - at < 10 or b[at + 3] not in (2, 3, 4) or any(x & 128 for x in b[at + 6 : at + 10]):
+        return None
+    size = 0
+    for x in b[at + 6 : at + 10]:
+        size = size << 7 | x
+    pos, frames = at + 10 + size + (10 if b[at + 5] & 16 else 0), 0
+    while pos + 4 <= len(b) and b[pos] == 0xFF and b[pos + 1] & 0xE6 == 0xE2:
+        version, code, rate = b[pos + 1] >> 3 & 3, b[pos + 2] >> 4, b[pos + 2] >> 2 & 3
+        if version == 1 or code in (0, 15) or rate == 3:
+            break
+        kbits, hertz = _MP3_BITS[3 if version == 3 else 2][code - 1], _MP3_RATES[rate] >> {3: 0, 2: 1, 0: 2}[version]
+        n = (144 if version == 3 else 72) * 1000 * kbits // hertz + (b[pos + 2] >> 1 & 1)
+        if pos + n > len(b):
+            break
+        pos, frames = pos + n, frames + 1
+    if frames < 2:
+        return None
+    return pos - at + (128 if b[pos : pos + 3] == b"TAG" and pos + 128 <= len(b) else 0)
+
+
+def _ebml(b: bytes, pos: int) -> tuple[int, int] | None:
+    """Length of an EBML size at `pos` and its value; none where it is cut or says unknown."""
+    if pos >= len(b) or not b[pos]:
+        return None
+    n = 9 - b[pos].bit_length()
+    value, unknown = int.from_bytes(b[pos : pos + n], "big") & ((1 << 7 * n) - 1), (1 << 7 * n) - 1
+    return (n, value) if pos + n <= len(b) and value != unknown else None
+
+
+def _matroska(b: bytes, at: int) -> int | None:
+    """Length of a Matroska or WebM file at `at`: an EBML header that names one of them, then a segment of known size."""
+    head = _ebml(b, at + 4)
+    if head is None:
+        return None
+    end = at + 4 + sum(head)
+    if b[end : end + 4] != b"\x18\x53\x80\x67" or not any(x in b[at:end] for x in (b"webm", b"matroska")):
+        return None
+    body = _ebml(b, end + 4)
+    return end + 4 + sum(body) - at if body and end + 4 + sum(body) <= len(b) else None
+
+
+#: Magic bytes, how many bytes of the file lie before them, media type and validator of each format.
+FORMATS: list[tuple[bytes, int, str, Callable[[bytes, int], int | None]]] = [
+    (b"RIFF", 0, "audio/wav", _riff(b"WAVE", (b"fmt ", b"data"))),
+    (b"RIFF", 0, "image/webp", _riff(b"WEBP", (), (b"VP8 ", b"VP8L", b"ANMF"))),
+    (b"RIFF", 0, "video/x-msvideo", _riff(b"AVI ", (b"LIST",))),
+    (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
+    (b"GIF87a", 0, "image/gif", _gif),
+    (b"GIF89a", 0, "image/gif", _gif),
+    (b"\xff\xd8\xff", 0, "image/jpeg", _jpeg),
+    (b"BM", 0, "image/bmp", _bmp),
+    (b"II*\0", 0, "image/tiff", _tiff),
+    (b"MM\0*", 0, "image/tiff", _tiff),
+    (b"PK\x03\x04", 0, "application/zip", _zip),
+    (b"\x1f\x8b\x08", 0, "application/gzip", _gzip),
+    (b"%PDF-", 0, "application/pdf", _pdf),
+    (b"fLaC", 0, "audio/flac", _flac),
+    (b"ID3", 0, "audio/mpeg", _mp3),
+    (b"OggS", 0, "application/ogg", _ogg),
+    (b"ftyp", 4, "video/mp4", _mp4),
+    (b"\x1a\x45\xdf\xa3", 0, "video/x-matroska", _matroska),
 ]
 _MACHINE: ahocorasick.Automaton | None = None
 
 
 def automaton() -> ahocorasick.Automaton:
-    """The automaton over all magic bytes, built once a process. Bytes are held as Latin-1 characters."""
+    """The automaton over all magic bytes, built once a process; a word holds the formats that start so. Bytes are held as Latin-1 characters."""
     global _MACHINE
     if _MACHINE is None:
         made = ahocorasick.Automaton()
-        for i, (magic, _, _) in enumerate(FORMATS):
-            made.add_word(magic.decode("latin-1"), i)
+        for magic in dict.fromkeys(f[0] for f in FORMATS):
+            made.add_word(magic.decode("latin-1"), [f for f in FORMATS if f[0] == magic])
         made.make_automaton()
         _MACHINE = made
     return _MACHINE
@@ -184,20 +405,21 @@ def automaton() -> ahocorasick.Automaton:
 def sniff(payload: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """Detected type, and (offset, length, type) of embedded media in ascending offset; media inside carved media is its own business."""
     found, covered, whole = [], 0, ""
-    for end, i in automaton().iter(payload.decode("latin-1")):
-        magic, kind, check = FORMATS[i]
-        at = end + 1 - len(magic)
-        if at < covered:
-            continue
-        n = check(payload, at)
-        if n is None:
-            continue
-        if at == 0:
-            whole = kind
-            covered = 1  # what lies inside the file or behind it is embedded
-        else:
-            found.append((at, n, kind))
-            covered = at + n
+    for end, formats in automaton().iter(payload.decode("latin-1")):
+        for magic, lead, kind, check in formats:
+            at = end + 1 - len(magic) - lead
+            if at < covered:
+                continue
+            n = check(payload, at)
+            if n is None:
+                continue
+            if at == 0:
+                whole = kind
+                covered = 1  # what lies inside the file or behind it is embedded
+            else:
+                found.append((at, n, kind))
+                covered = at + n
+            break
     if not whole:
         whole = "application/octet-stream"
         if not payload:

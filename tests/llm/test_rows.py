@@ -52,6 +52,77 @@ GIF = b"GIF89a\x01\0\x01\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\x01\0\x01\0\0\x02\
 BMP = b"BM" + struct.pack("<IIIIiiHHI", 58, 0, 54, 40, 1, 1, 1, 24, 0) + b"\0" * 24
 
 
+def pdf(note=b""):
+    body = b"%PDF-1.4\n1 0 obj\n<< >>\nendobj\n" + note + b"\n"
+    return body + b"xref\n0 1\ntrailer\n<< >>\nstartxref\n%d\n%%%%EOF" % len(body)
+
+
+def crc(data, poly, bits):
+    out = 0
+    for x in data:
+        out ^= x << (bits - 8)
+        for _ in range(8):
+            out = (out << 1 ^ (poly if out >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+    return out
+
+
+def flac(frames=200, total=None):
+    """Frames of 192 equal samples, 16 bits, mono."""
+    total = 192 * frames if total is None else total
+    info = struct.pack(">HH", 192, 192) + b"\0" * 6 + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC\0\0\0\x22" + info + b"\x81\0\0\x04note"
+    for i in range(frames):
+        head = b"\xff\xf8\x19\x08" + chr(i).encode()
+        head += bytes([crc(head, 7, 8)])
+        body = head + b"\0" + struct.pack(">h", i)
+        out += body + struct.pack(">H", crc(body, 0x8005, 16))
+    return out
+
+
+def riff(form, *chunks):
+    body = form + b"".join(n + struct.pack("<I", len(d)) + d + b"\0" * (len(d) & 1) for n, d in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def box(name, data=b""):
+    return struct.pack(">I", 8 + len(data)) + name + data
+
+
+def ogg(*flags):
+    return b"".join(b"OggS\0" + bytes([f]) + struct.pack("<QIII", i, 7, i, 0) + b"\x02\x03\x01" + b"abcd" for i, f in enumerate(flags))
+
+
+def tiff(order):
+    entry = lambda tag, kind, n, v: struct.pack(order + "HHII", tag, kind, n, v)
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, 3) + entry(256, 4, 1, 2) + entry(273, 4, 1, 60) + entry(279, 4, 1, 6) + struct.pack(order + "I", 0) + b"\0" * 10 + b"pixels"
+
+
+JPEG = b"\xff\xd8\xff\xe0\0\x10JFIF\0\x01\x01\0\0\x01\0\x01\0\0\xff\xe1\0\x06\xff\xd8\xff\xd9\xff\xda\0\x08\x01\x01\0\0\x3f\0\x12\xff\0\x34\xff\xd9"
+MP3 = b"ID3\x04\0\0\0\0\0\x05notes" + (b"\xff\xfb\x90\0" + b"\0" * 413) * 3
+WEBM = b"\x1a\x45\xdf\xa3\x87\x42\x82\x84webm\x18\x53\x80\x67\x40\x05hello"
+MORE = [
+    ("application/pdf", pdf()), ("audio/flac", flac()), ("audio/flac", flac(3, 0)), ("image/jpeg", JPEG), ("image/webp", riff(b"WEBP", (b"VP8L", b"abc"))), ("video/x-msvideo", riff(b"AVI ", (b"LIST", b"hdrl"))),
+    ("video/mp4", box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", b"x" * 9) + box(b"mdat", b"y" * 5)), ("application/ogg", ogg(2, 0, 4)), ("image/tiff", tiff("<")), ("image/tiff", tiff(">")), ("audio/mpeg", MP3), ("video/x-matroska", WEBM),
+]
+
+
+@pytest.mark.parametrize("kind, data", MORE)
+def test_more_formats_are_found_carved_and_checked(kind, data):
+    assert media.sniff(data) == (kind, [])
+    whole, inside = media.sniff(b"some text " + data + b" more " + data)
+    assert inside == [(10, len(data), kind), (16 + len(data), len(data), kind)]
+    assert media.sniff(data[: len(data) // 2])[0] != kind and not media.sniff(b"some text " + data[: len(data) // 2])[1]
+
+
+def test_lengths_that_disagree_are_no_media():
+    broken = flac(5)
+    assert media.sniff(flac(5, 192 * 6))[0] != "audio/flac" and media.sniff(broken[:63] + b"\0" + broken[64:])[0] != "audio/flac" and media.sniff(broken[:-1] + b"\0")[0] != "audio/flac"
+    assert media.sniff(box(b"ftyp", b"isom\0\0\0\0") + box(b"mdat", b"y"))[0] != "video/mp4" and media.sniff(ogg(2, 0, 0))[0] != "application/ogg"
+    assert media.sniff(MP3[:20])[0] != "audio/mpeg" and media.sniff(tiff("<")[:-1])[0] != "image/tiff" and media.sniff(riff(b"WEBP", (b"ICCP", b"")))[0] != "image/webp"
+    nested = pdf(pdf(b"inner"))
+    assert media.sniff(b"x " + nested)[1] == [(2, len(nested), "application/pdf")]
+
+
 @pytest.mark.parametrize("kind, data", [("image/png", png()), ("image/gif", GIF), ("image/bmp", BMP), ("audio/wav", media.wav_of(b"\x80" * 9)), ("application/zip", zipped()), ("application/gzip", gzip.compress(b"hello" * 50)), ("application/pdf", b"%PDF-1.4 ... startxref\n9\n%%EOF")])
 def test_formats_are_found_carved_and_checked(kind, data):
     assert media.sniff(data) == (kind, [])
@@ -61,7 +132,7 @@ def test_formats_are_found_carved_and_checked(kind, data):
 
 
 def test_chance_hits_are_no_media():
-    assert media.sniff(b"BM GIF89a RIFF PK\x03\x04 %PDF- fLaC") == ("text/plain", [])
+    assert media.sniff(b"BM GIF89a RIFF PK\x03\x04 %PDF- fLaC ID3 OggS ftyp isom MM II*") == ("text/plain", [])
     assert media.sniff(b"\xff\xfe") == ("application/octet-stream", []) and media.sniff(b"") == ("empty", [])
 
 
