@@ -14,7 +14,8 @@ bytes, so the corpus is first cut down to the places that can match.
 4. Covered windows are collected by document and cut from the texts.
 
 Plan: one exchange of packed runs, two of compressed texts (fetch and cut), small ones of spans. A task folds equal runs, and equal windows of
-hot anchors, before they leave it, so groups of copies shrink to one a task.
+hot anchors, before they leave it, so groups of copies shrink to one a task. A group is sent OFTEN different runs of an anchor a slice at most: beyond that
+the slice sends them on as runs of a hot anchor, spread over all groups, and only tells the anchor's own.
 
 Defined results: null and empty texts are kept as empty, with no spans; rows that repeat an id, and rows of null id (the smallest), are documents of
 their own, rows of one id in the order of a hash of id and text; very long texts are worked on in slices; an empty table gives an empty result; other columns are ignored.
@@ -37,6 +38,8 @@ GRAM = 40
 WINDOWS = MATCH - GRAM + 1
 #: Different runs of one anchor beyond which they go by single windows.
 HOT = 2000
+#: Different runs of one anchor in one slice beyond which they go by single windows at once.
+OFTEN = 64
 #: Runs or windows that a task gathers before it folds them.
 HELD = 1 << 18
 #: Bytes of text worked on at once, and aimed at for a group of runs.
@@ -46,7 +49,7 @@ BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 ODD = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 #: A run: its anchor's hash, its text's hash, document, first window, windows.
 RUN = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u1")])
-SPANS, RUNS, HOT_RUNS = 0, 1, 2
+SPANS, RUNS, HOT_RUNS, HOT_ANCHORS = 0, 1, 2, 3
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,17 +126,28 @@ def unpack(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, RUN)
 
 
-def _packed(runs: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """Folded runs by group, and what folding covers as group -1 - (some group)."""
+def _packed(runs: np.ndarray, groups: int, often: int) -> Iterator[pa.RecordBatch]:
+    """Folded runs of a slice by the group of their anchor.
+
+    What no group has to meet goes to any one of them: SPANS that folding covers, and HOT_RUNS, all runs of an anchor that
+    has over `often` here. The anchor's own group is only told of it, by HOT_ANCHORS.
+    """
     first, covered = fold(runs)
-    for some, sign in ((first, 0), (covered, -1)):
+    _, n = np.unique(first["anchor"], return_counts=True)
+    hot = np.repeat(n, n) > often
+    told = np.zeros(int((n > often).sum()), RUN)
+    told["anchor"] = np.unique(first["anchor"][hot])
+    rows: list[tuple[int, int, bytes]] = []
+    for some, kind in ((first[~hot], RUNS), (told, HOT_ANCHORS)):
+        group = (mix(some["anchor"]) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        some, group = some[order], group[order]
+        rows += [(int(group[i]), kind, pack(x)) for i, x in zip(np.flatnonzero(np.diff(group, prepend=-1)), np.split(some, np.flatnonzero(np.diff(group)) + 1), strict=len(some) > 0)]
+    for some, kind in ((covered, SPANS), (first[hot], HOT_RUNS)):
         if len(some):
-            group = (mix(some["anchor"]) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            some, group = some[order], group[order]
-            cuts = np.flatnonzero(np.diff(group)) + 1
-            ids = group[np.concatenate([[0], cuts])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([sign] * len(ids), pa.int32()), pa.array([pack(x) for x in np.split(some, cuts)], pa.binary())], names=["group", "kind", "runs"])
+            at = some["doc"][:1].astype(np.uint64) * ODD[8] + some["start"][:1].astype(np.uint64)
+            rows.append((int(mix(at)[0] % np.uint64(groups)), kind, pack(some)))
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["group", "kind", "runs"])
 
 
 def _found(kind: int, runs: np.ndarray) -> pa.Table:
@@ -162,7 +176,7 @@ class Fold:
 def _resolve(batches: Iterator[pa.RecordBatch], hot: int, held: int) -> Iterator[pa.RecordBatch]:
     """Of one group of runs: SPANS that an earlier equal run covers, and RUNS (or HOT_RUNS) whose anchor has other runs.
 
-    An anchor with over `hot` runs is let go with all of its runs to come: their windows meet later. Only runs of other anchors are held.
+    An anchor with over `hot` runs, or that a slice tells of, is let go with all of its runs to come: their windows meet later. Only runs of other anchors are held.
     """
     cold, let_go = Fold(held), np.zeros(0, np.uint64)
 
@@ -179,10 +193,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], hot: int, held: int) -> Iterator
 
     for batch in batches:
         kinds, blobs = batch.column("kind").to_pylist(), batch.column("runs").to_pylist()
-        covered = unpack([b for k, b in zip(kinds, blobs, strict=True) if k])
-        if len(covered):
-            yield from _found(SPANS, covered).to_batches()
-        if cold.put(unpack([b for k, b in zip(kinds, blobs, strict=True) if not k])):
+        of = {kind: unpack([b for k, b in zip(kinds, blobs, strict=True) if k == kind]) for kind in set(kinds)}
+        for kind in (SPANS, HOT_RUNS):
+            if kind in of:
+                yield from _found(kind, of[kind]).to_batches()
+        if HOT_ANCHORS in of:
+            let_go = np.union1d(let_go, of[HOT_ANCHORS]["anchor"])
+        if RUNS in of and cold.put(of[RUNS]):
             yield from settle()
     yield from settle()
     _, n = np.unique(cold.held["anchor"], return_counts=True)
@@ -204,7 +221,7 @@ def find_runs(docs: DataFrame, groups: int, hot: int = HOT, held: int = HELD) ->
                 ends = np.cumsum([len(x) for x in raw])
                 found = runs_of(np.frombuffer(b"".join(raw), np.uint8), ends, np.array(ids, np.int64), np.array(offsets, np.int64))
                 if len(found):
-                    yield from _packed(found, groups)
+                    yield from _packed(found, groups, min(OFTEN, hot))
 
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):

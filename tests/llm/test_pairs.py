@@ -152,7 +152,7 @@ def test_resolve_streams(hot, held):
     runs = np.zeros(3000, R.RUN)
     runs["anchor"], runs["run"] = np.minimum(rng.geometric(0.05, 3000), 40), rng.integers(0, 30, 3000)
     runs["doc"], runs["n"] = rng.permutation(3000), 1
-    parts = [pa.RecordBatch.from_pydict({"group": [0], "kind": pa.array([0], pa.int32()), "runs": [R.pack(x)]}) for x in np.array_split(runs, 60)]
+    parts = [pa.RecordBatch.from_pydict({"group": [0], "kind": pa.array([R.RUNS], pa.int32()), "runs": [R.pack(x)]}) for x in np.array_split(runs, 60)]
     out = pa.Table.from_batches(list(R._resolve(iter(parts), hot, held))).to_pylist()
     texts = {(int(a), int(r)) for a, r in zip(runs["anchor"], runs["run"], strict=True)}
     over = {a for a in {a for a, _ in texts} if sum(x == a for x, _ in texts) > hot}
@@ -166,6 +166,29 @@ def test_resolve_streams(hot, held):
     assert len({r["id"] for r in out}) == len(out) == 3000 - sum(1 for (a, _) in first if a not in over and sum(x == a for x, _ in texts) == 1)
 
 
+@pytest.mark.parametrize("often", [0, 2, 1000])
+def test_slices_tell_of_frequent_anchors(often):
+    """A slice keeps frequent anchors from their group, which lets go of what other slices send it; each run comes out once or is alone in its anchor."""
+    rng = np.random.default_rng(5)
+    runs = np.zeros(900, R.RUN)
+    runs["anchor"], runs["run"] = np.minimum(rng.geometric(0.02, 900), 80), rng.integers(0, 30, 900)
+    runs["doc"], runs["n"] = rng.permutation(900), 1
+    groups: dict[int, list] = {}
+    told = set()
+    for part in np.array_split(runs, 30):
+        seen = set(zip(part["anchor"].tolist(), part["run"].tolist(), strict=True))
+        told |= {a for a, _ in seen if sum(x == a for x, _ in seen) > often}
+        for batch in R._packed(part, 7, often):
+            for row in batch.to_pylist():
+                groups.setdefault(row["group"], []).append(pa.RecordBatch.from_pydict({"group": [row["group"]], "kind": pa.array([row["kind"]], pa.int32()), "runs": [row["runs"]]}))
+    rows = [dict(zip(("kind", "id", "start", "n", "anchor"), x, strict=True)) for batches in groups.values() for t in R._resolve(iter(batches), 2000, 50) for x in zip(*t.to_pydict().values(), strict=True)]
+    assert {r["anchor"] for r in rows if r["kind"] == R.HOT_RUNS} == told
+    assert not told & {r["anchor"] for r in rows if r["kind"] == R.RUNS}
+    texts = {(a, r) for a, r in zip(runs["anchor"].tolist(), runs["run"].tolist(), strict=True)}
+    alone = {a for a, _ in texts if a not in told and sum(x == a for x, _ in texts) == 1}
+    assert len({r["id"] for r in rows}) == len(rows) == 900 - len(alone)
+
+
 def test_runs_cover_every_window(corpus):
     module = R
     docs = [(i, t or "") for i, t in corpus]
