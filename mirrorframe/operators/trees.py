@@ -34,6 +34,8 @@ FIT_ROWS = 100_000
 MIN_LEAF = 5
 #: New columns between two stage tables while sampling.
 LINEAGE = 6
+#: Levels of a category up to which its codes are part of the expression; more are joined.
+LISTED = 64
 
 
 @dataclass
@@ -96,7 +98,13 @@ class TreeSynthesizer:
             if c.type is ColumnType.TEXT:
                 meta[c.name] = ([], 0.0)
             elif c.type is ColumnType.CATEGORICAL:
-                at = F.array_position(F.array(*[F.lit(x) for x in codes[c.name]]), F.coalesce(v.cast("string"), F.lit(MISSING))) - 1
+                said = F.coalesce(v.cast("string"), F.lit(MISSING))
+                if len(codes[c.name]) > LISTED:
+                    table = df.sparkSession.createDataFrame([(x, float(k)) for k, x in enumerate(codes[c.name])], f"_level_{i} string, _code_{i} double")
+                    df = df.join(table, said == F.col(f"_level_{i}"), "left")
+                    at = F.coalesce(F.col(f"_code_{i}"), F.lit(-1.0))
+                else:
+                    at = F.array_position(F.array(*[F.lit(x) for x in codes[c.name]]), said) - 1
                 parts.append(at.cast("double").alias("x"))
                 names, fill[c.name] = ["x"], float(codes[c.name].index(MISSING))
                 meta[c.name] = (names, fill[c.name])
