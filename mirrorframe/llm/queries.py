@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from mirrorframe.llm.byte_bpe import op2_byte_bpe
 from mirrorframe.llm.fingerprints import op10_fingerprints
+from mirrorframe.llm.infill import ORACLE as INFILL_SQL
+from mirrorframe.llm.infill import op13_infill
 from mirrorframe.llm.languages import op7_language
 from mirrorframe.llm.licenses import ORACLE as LICENSES_SQL
 from mirrorframe.llm.licenses import op9_licenses
@@ -28,5 +30,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
+    "op13_infill": op13_infill,
 }
-ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL}
+ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL, "op13_infill": INFILL_SQL}
