@@ -18,6 +18,8 @@ from mirrorframe.llm.repeats import ORACLE as REPEATS_SQL
 from mirrorframe.llm.repeats import op6_repeats
 from mirrorframe.llm.token_files import op4_token_files
 from mirrorframe.llm.toxicity import op5_toxicity
+from mirrorframe.llm.vector_codes import ORACLE as CODES_SQL
+from mirrorframe.llm.vector_codes import op12_vector_codes
 
 QUERIES = {
     "op1_media": op1_media,
@@ -30,6 +32,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
     "op13_infill": op13_infill,
 }
-ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL, "op13_infill": INFILL_SQL}
+ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL, "op12_vector_codes": CODES_SQL, "op13_infill": INFILL_SQL}

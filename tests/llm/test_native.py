@@ -173,7 +173,8 @@ def test_query_against_sql(spark, name):
     if not Path(SF).exists():
         pytest.skip("no test data")
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     clean = lambda df: sorted(str(tuple(None if v != v else v for v in r)) for r in df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None))
     assert clean(QUERIES[name](spark, SF).toPandas()) == clean(c.sql(ORACLES[name]).df())
 
