@@ -20,7 +20,7 @@ threshold, and a sketch of one bit of each minwise token agrees. Bits agree with
 
 Plan: the text is read once for the sets' summaries and once more, for candidate documents only, for the full sets. Everything
 that moves is keyed by node, by document or by a pair of blocks; the skew of a hot node is left to partial aggregation (its smallest key and size) and
-to skewed-join splitting. Components come from distributed min-label propagation over links, then over links between those components.
+to skewed-join splitting. Components come from contraction of the links (llm/components.py), then of the links between those components.
 
 Defined results: a text with fewer words than a shingle is one shingle of all of them; null and empty texts have the empty set, link with
 nothing and are kept; rows that repeat an id, and rows of null id, are documents of their own, of which those with an id come first
@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import WORD, column_or_null, free_name, keyed, released, stage, table
+from mirrorframe.llm.common import WORD, column_or_null, free_name, keyed, released, ship, stage, table
+from mirrorframe.llm.components import components
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -241,25 +242,6 @@ def _compare(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found[:, 0].copy(), pa.int64()), "b": pa.array(found[:, 1].copy(), pa.int64())})
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """links: a, b. (id, component) for every id in a link: the smallest id reachable.
-
-    Each round gives every id the smallest label among itself and its neighbours and then that label's own label, until none
-    changes; the rounds grow with the logarithm of the longest chain.
-    """
-    pairs = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
-    edges = stage(pairs.select("e.a", "e.b").distinct(), f"{name}-edges")
-    labels = stage(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component"), name)
-    while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("now"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"))
-        hop = labels.select(F.col("id").alias("now"), F.col("component").alias("next"))
-        seen = Observation()
-        new = near.join(hop, "now").select(F.col("a").alias("id"), F.least("now", "next").alias("component"), "was")
-        labels = stage(new.observe(seen, F.count_if(F.col("component") < F.col("was")).alias("changed")).drop("was"), name)
-        if not seen.get["changed"]:
-            return labels
-
-
 def _shared_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes of two documents or more, with their size and smallest id."""
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).filter("members > 1")
@@ -327,6 +309,7 @@ def classes(source: DataFrame, *, trees: int = TREES, start_depth: int = START_D
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept (one row of each component)."""
+    ship(docs.sparkSession)
     source, plain = keyed(docs.select(column_or_null(docs, id_col, "long").alias("own"), column_or_null(docs, text_col, "string").alias("text")), "own", "id")
     found = classes(source.select("id", "text"), **how)
     kept = (F.col("id") == F.col("component")).alias("kept")
@@ -339,6 +322,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
+    ship(docs.sparkSession)
     key = free_name(docs, "_row")
     rows, _ = keyed(docs, id_col, key)
     found = classes(rows.select(F.col(key).alias("id"), column_or_null(docs, text_col, "string").alias("text")), **how)

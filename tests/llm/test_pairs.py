@@ -10,8 +10,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from mirrorframe.llm import components as C
 from mirrorframe.llm import near_dedup as N
 from mirrorframe.llm import repeats as R
+from mirrorframe.llm.common import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -124,11 +126,41 @@ def test_near_duplicates_odd_tables(spark):
     assert N.near_duplicates(spark.createDataFrame([(1,)], "doc_id long")).first().n_shingles == 0
 
 
-def test_components_of_a_long_chain(spark):
-    chain = [(i, i + 1) for i in range(100, 160)] + [(7, 900), (8, 900)]
-    random.Random(1).shuffle(chain)
-    got = {r.id: r.component for r in N.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert all(got[i] == 100 for i in range(100, 161)) and got[900] == got[8] == 7
+def _reachable(links):
+    """Least id reachable, by search."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out = {}
+    for i in sorted(near):
+        todo = [i] if i not in out else []
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = i
+                todo += near[x]
+    return out
+
+
+def _chains():
+    rng = random.Random(1)
+    up = [(i, i + 1) for i in range(100, 300)] + [(7, 900), (8, 900), (5, 5)]
+    order = rng.sample(range(1000), 200)
+    valley = list(range(400, 200, -1)) + list(range(201, 400))
+    star = [(10_000, i) for i in range(200)]
+    return {"up": up, "random": list(zip(order, order[1:], strict=False)), "valley": [(x, y + 1000) for x, y in zip(valley, valley[1:], strict=False)] + [(y + 1000, y) for y in valley], "star": star}
+
+
+@pytest.mark.parametrize("shape", ["up", "random", "valley", "star"])
+def test_components_of_chains(spark, shape, monkeypatch):
+    """Chains of 200 links in every order take a number of tables that grows with the logarithm."""
+    links, tables = _chains()[shape], []
+    random.Random(1).shuffle(links)
+    monkeypatch.setattr(C, "stage", lambda df, name: tables.append(name) or stage(df, name))
+    got = {r.id: r.component for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == _reachable(links) and len(tables) <= 12
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
