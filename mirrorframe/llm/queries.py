@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from mirrorframe.llm.byte_bpe import op2_byte_bpe
 from mirrorframe.llm.fingerprints import op10_fingerprints
+from mirrorframe.llm.gram_join import ORACLE as JOIN_SQL
+from mirrorframe.llm.gram_join import op11_gram_join
 from mirrorframe.llm.infill import ORACLE as INFILL_SQL
 from mirrorframe.llm.infill import op13_infill
 from mirrorframe.llm.languages import op7_language
@@ -32,7 +34,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
+    "op11_gram_join": op11_gram_join,
     "op12_vector_codes": op12_vector_codes,
     "op13_infill": op13_infill,
 }
-ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL, "op12_vector_codes": CODES_SQL, "op13_infill": INFILL_SQL}
+ORACLES: dict[str, str] = {"op3_mix": MIX_SQL, "op6_repeats": REPEATS_SQL, "op8_near_dedup": NEAR_SQL, "op9_licenses": LICENSES_SQL, "op11_gram_join": JOIN_SQL, "op12_vector_codes": CODES_SQL, "op13_infill": INFILL_SQL}
