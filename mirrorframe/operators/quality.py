@@ -12,13 +12,13 @@ from pyspark.sql import Window as W
 
 from mirrorframe.functions.features import calendar, finite, to_epoch
 from mirrorframe.functions.rng import exact_sample, row_identity
+from mirrorframe.operators.nearest import nearest
 from mirrorframe.plans.infer import is_count_name
 from mirrorframe.plans.model import Column, ColumnType, calendar_of, is_integral
 from mirrorframe.plans.stages import staged
 
-#: Rows of each side that distance to closest record compares by default: the metric's own sample size. Also about the rows of a block that is broadcast.
+#: Rows of each side that distance to closest record compares by default: the metric's own sample size.
 DCR_ROWS = 50_000
-DCR_BLOCK = 512
 
 
 def _sides(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColumn]]) -> DataFrame:
@@ -194,23 +194,20 @@ def _features(real: DataFrame, columns: list[Column]) -> list[tuple[Column, Spar
 
 
 def distances(real: DataFrame, synth: DataFrame, columns: list[Column], *, rows: int = DCR_ROWS, seed: int = 0, real_key: SparkColumn | None = None, synth_key: SparkColumn | None = None) -> DataFrame:
-    """(distance) of each sampled synthetic row to its closest sampled real row; with rows=0 of all synthetic rows to all real ones.
+    """(distance, cells) of each sampled synthetic row to its closest sampled real row; with rows=0 of all synthetic rows to all real ones. cells: how many cells of real rows it was compared with.
 
     Numbers are scaled by the real bounds and cut to 0 to 1, nulls take the real median; a different category adds 2 to the squared
-    distance, as one-hot columns do. Distinct real rows are dealt into blocks of about DCR_ROWS, broadcast one at a time; synthetic rows keep the least distance so far.
+    distance, as one-hot columns do. Equal rows of a side are compared once.
     """
-    import numpy as np
-    import pyarrow as pa
-
     own = [(c, x) for c, x in _features(real, columns) if c.name in synth.columns]
     numbers, categories = [(c, x) for c, x in own if c.type is not ColumnType.CATEGORICAL], [(c, x) for c, x in own if c.type is ColumnType.CATEGORICAL]
     if rows:
         real = exact_sample(real, rows, seed, real_key if real_key is not None else row_identity(real))
         synth = exact_sample(synth, rows, seed + 1, synth_key if synth_key is not None else row_identity(synth))
-    real, synth = staged(real, "dcr-real"), staged(synth, "dcr-synth")
+    real = staged(real, "dcr-real")
     low_high = real.agg(*[f(F.when(finite(x), x)).alias(f"{k}{i}") for i, (_, x) in enumerate(numbers) for k, f in (("l", F.min), ("h", F.max), ("m", F.median))], F.count(F.lit(1)).alias("n")).first()
     if not low_high["n"] or not own:
-        return synth.sparkSession.createDataFrame([], "distance double")
+        return synth.sparkSession.createDataFrame([], "distance double, cells long")
 
     def encode(df: DataFrame) -> DataFrame:
         out = []
@@ -222,47 +219,10 @@ def distances(real: DataFrame, synth: DataFrame, columns: list[Column], *, rows:
         hashed = [F.xxhash64(F.coalesce(x, F.lit("\0"))) for _, x in categories]
         return df.select(F.array(*out).cast("array<double>").alias("x"), F.array(*hashed).cast("array<bigint>").alias("c"))
 
-    def matrix(values: pa.Array, width: int, kind: type) -> np.ndarray:
-        return np.asarray(values.flatten(), kind).reshape(-1, width) if width else np.zeros((len(values), 0), kind)
-
-    n_x, n_c = len(numbers), len(categories)
-    every = staged(encode(real).distinct(), "dcr-known")
-    blocks = -(-every.count() // DCR_ROWS)
-    best = encode(synth).withColumn("distance", F.lit(math.inf))
-    for block in range(blocks):
-        known = every.filter(F.pmod(F.xxhash64("x", "c"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        if not known.num_rows:
-            continue
-        shared = real.sparkSession.sparkContext.broadcast((matrix(known.column("x").combine_chunks(), n_x, float), matrix(known.column("c").combine_chunks(), n_c, np.int64)))
-        best = best.mapInArrow(_closest(shared, matrix, n_x, n_c), "x array<double>, c array<bigint>, distance double")
-        if block + 1 < blocks:
-            best = staged(best, "dcr-best")
-            shared.unpersist()
-    return best.select("distance")
-
-
-def _closest(shared, matrix, n_x: int, n_c: int):
-    """Batches of x, c and distance, with the distance to the closest of the shared rows where that is less."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        x, c = shared.value
-        square = (x * x).sum(axis=1)
-        for batch in batches:
-            for s in range(0, batch.num_rows, DCR_BLOCK):
-                part = batch.slice(s, DCR_BLOCK)
-                y, d = matrix(part.column("x"), n_x, float), matrix(part.column("c"), n_c, np.int64)
-                gap = np.maximum((y * y).sum(axis=1)[:, None] + square[None, :] - 2 * y @ x.T, 0)
-                for i in range(n_c):
-                    gap += 2 * (d[:, i][:, None] != c[:, i][None, :])
-                near = gap.argmin(axis=1)
-                # the expanded square loses digits near 0: take the winner's again
-                best = np.sqrt(((y - x[near]) ** 2).sum(axis=1) + 2 * (d != c[near]).sum(axis=1))
-                least = np.minimum(best, part.column("distance").to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("c"), pa.array(least)], names=["x", "c", "distance"])
-
-    return run
+    # Numbered once and written, so that the numbers stay
+    asked = staged(encode(synth).groupBy("x", "c").agg(F.count(F.lit(1)).alias("times")).withColumn("id", F.monotonically_increasing_id()), "dcr-synth")
+    found = nearest(staged(encode(real).distinct(), "dcr-known"), asked, len(numbers), len(categories))
+    return asked.select("id", "times").join(found, "id").select("distance", "cells", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("distance", "cells")
 
 
 def dcr_summary(found: DataFrame) -> DataFrame:

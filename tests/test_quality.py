@@ -2,9 +2,11 @@ import json
 import math
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorframe.operators import nearest as N
 from mirrorframe.operators import quality as Q
 from mirrorframe.operators.report import Gates, breaches, to_html, to_json, to_text, verdict
 from mirrorframe.plans.model import Column, ColumnType
@@ -53,16 +55,29 @@ def test_dcr(spark):
     assert math.isnan(Q.dcr_summary(Q.distances(real.filter("x < 0"), real, columns)).first().dcr_p50)
 
 
-def test_dcr_of_all_rows_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(Q, "DCR_ROWS", 7)
-    real = spark.range(60).select((F.col("id") * F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("c"))
-    synth = spark.range(45).select((F.col("id") * 2.3).alias("x"), (F.col("id") % 2).cast("string").alias("c"))
-    got = sorted(r.distance for r in Q.distances(real, synth, [Column("x", NUM), Column("c", CAT)], rows=0).collect())
-    a, b = real.collect(), synth.collect()
-    low, high = min(r.x for r in a), max(r.x for r in a)
-    scaled = lambda x: min(1.0, max(0.0, (x - low) / (high - low)))
-    want = sorted(min(math.sqrt((scaled(s.x) - scaled(r.x)) ** 2 + 2 * (s.c != r.c)) for r in a) for s in b)
-    assert got == pytest.approx(want)
+@pytest.mark.parametrize(("n_x", "n_c"), [(2, 1), (0, 2), (3, 0), (1, 3)])
+def test_nearest_rows_by_cells(spark, monkeypatch, n_x, n_c):
+    """Every query against brute force, over many cells, with crowded queries, ties, values beyond all known ones and unknown categories."""
+    for name, x in (("CELL_ROWS", 20), ("PART_ROWS", 30), ("TREE_ROWS", 300), ("STEP", 16)):
+        monkeypatch.setattr(N, name, x)
+    rng = np.random.default_rng(n_x)
+    x, c = np.round(rng.random((900, n_x)) ** 2, 2), rng.choice([-(2**63), -7, 5, 2**63 - 1], (900, n_c))
+    y, d = np.concatenate([np.round(rng.random((200, n_x)) * 1.2, 2), np.zeros((300, n_x))]), np.concatenate([rng.choice([-(2**63), 5, 6], (200, n_c)), np.full((300, n_c), 5)])
+    rows = lambda a, b: [(k, p, q) for k, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True))]
+    frame = lambda a, b: spark.createDataFrame(rows(a, b), "id long, x array<double>, c array<bigint>")
+    got = N.nearest(frame(x, c).drop("id"), frame(y, d), n_x, n_c).orderBy("id").collect()
+    want = np.sqrt(((y[:, None] - x[None]) ** 2).sum(axis=2) + 2 * (d[:, None] != c[None]).sum(axis=2)).min(axis=1)
+    assert [r.id for r in got] == list(range(500)) and [r.distance for r in got] == pytest.approx(want)
+    if n_x:
+        assert sum(r.cells for r in got) < 500 * 45 / 3
+
+
+def test_nearest_of_equal_rows(spark):
+    """One known row, copies of queries: one cell, a distance for each copy."""
+    real = spark.createDataFrame([(1.0, "a")] * 5, "x double, c string")
+    synth = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (9.0, None), (None, "a")], "x double, c string")
+    got = Q.distances(real, synth, [Column("x", NUM), Column("c", CAT)], rows=0).collect()
+    assert sorted(r.distance for r in got) == pytest.approx([0, 0, 0, math.sqrt(2)]) and {r.cells for r in got} == {1}
 
 
 def test_dcr_query_takes_all_rows(spark, monkeypatch):
