@@ -5,7 +5,7 @@ single lines. Their terms are weighted by TF-IDF, and the cosine with each templ
 kind counts, and in it the best score: a complete BSD-3-Clause file is compared as a whole, third clause included. Templates are complete short licences, the notices that
 long ones recommend for headers, their titles, and common one-line forms.
 
-Licence files speak for their directory: those that the caller names, or else those whose whole text states a licence. A directory's licence is that of its first licence file (by id)
+Licence files speak for their directory: those that the caller names, or else those whose whole text states a licence or that start with the title of one. A directory's licence is that of its first licence file (by id)
 that states one. A file without a licence of its own inherits from the nearest ancestor directory that has one; headers of other files aren't inherited.
 
 Document frequencies of the templates' terms are counted over all texts; a term that no template has weighs like one that no text has. Most candidates can be
@@ -48,6 +48,9 @@ BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its co
 BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
 APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
@@ -55,6 +58,8 @@ GPL_TERMS = "This program is free software: you can redistribute it and/or modif
 GPL_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
 #: Complete short licences, notices as their licences recommend them, titles, and common short forms.
 TEMPLATES = [
+    ("AGPL-3.0", GPL_TERMS.format(3).replace("General", "Affero General")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("Apache-2.0", APACHE_HEADER),
@@ -64,11 +69,16 @@ TEMPLATES = [
     ("BSD-3-Clause", BSD_GRANT + BSD_THIRD + BSD_REST),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-3-Clause", BSD_THIRD),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", GPL_TERMS.format(2)),
     ("GPL-2.0", GPL_TERMS.format(2) + GPL_REST),
@@ -78,6 +88,7 @@ TEMPLATES = [
     ("GPL-3.0", GPL_TERMS.format(3) + GPL_REST),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", ISC),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License"),
@@ -85,7 +96,25 @@ TEMPLATES = [
     ("MIT", MIT_GRANT + MIT_REST),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", UNLICENSE),
+    ("Zlib", ZLIB),
 ]
+#: Templates that stand at the start of a complete licence.
+TITLES = {
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "Boost Software License - Version 1.0 - August 17th, 2003",
+    "Creative Commons Legal Code CC0 1.0 Universal",
+    "Eclipse Public License - v 2.0",
+    "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "Mozilla Public License Version 2.0",
+    "This is free and unencumbered software released into the public domain.",
+}
 
 
 def terms_of(text: str) -> dict[str, int]:
@@ -139,32 +168,32 @@ class Weights:
 
 
 def own_licences(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """files: row (unique), text. (row, licence, score, kind) of the files with a candidate that states a licence."""
+    """files: row (unique), text. (row, licence, score, kind, titled) of the files with a candidate that states a licence; titled: the first block is a licence's title."""
     spark, text = files.sparkSession, F.lower("text")
-    of = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("words")))
-    every = F.concat(of(FILE, F.array(text)), of(BLOCK, F.split(text, BLANK)), of(LINE, F.split(text, "\n")))
+    of = lambda kind, parts: F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), ((i == 0) & F.lit(kind == BLOCK)).alias("head"), x.alias("words")))
+    every = F.concat(of(FILE, F.array(text)), of(BLOCK, F.split(F.regexp_replace(text, r"^\s+", ""), BLANK)), of(LINE, F.split(text, "\n")))
     found = files.filter("text is not null").select("row", F.posexplode(F.filter(every, lambda x: x["words"].rlike(weights.needed))).alias("unit", "c"))
-    terms = found.select("row", "unit", F.col("c.kind").alias("kind"), F.explode(F.split("c.words", TERM)).alias("term")).filter("term <> ''").groupBy("row", "unit", "kind", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = found.select("row", "unit", F.col("c.kind").alias("kind"), F.col("c.head").alias("head"), F.explode(F.split("c.words", TERM)).alias("term")).filter("term <> ''").groupBy("row", "unit", "kind", "head", "term").agg(F.count(F.lit(1)).alias("tf"))
     known = _rows(spark, [{"term": t, "idf": x} for t, x in weights.idf.items()], "term: string, idf: double")
-    sides = _rows(spark, [{"term": t, "template": k, "licence": TEMPLATES[k][0], "unit_w": x / weights.norms[k]} for k, v in enumerate(weights.vectors) for t, x in v.items()], "term: string, template: int, licence: string, unit_w: double")
+    sides = _rows(spark, [{"term": t, "template": k, "licence": TEMPLATES[k][0], "title": TEMPLATES[k][1] in TITLES, "unit_w": x / weights.norms[k]} for k, v in enumerate(weights.vectors) for t, x in v.items()], "term: string, template: int, licence: string, title: boolean, unit_w: double")
     weighted = stage(terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.unknown))), "licence-terms")
     norm = weighted.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = weighted.join(F.broadcast(sides), "term").groupBy("row", "unit", "kind", "template", "licence").agg(F.sum(F.col("w") * F.col("unit_w")).alias("dot"))
+    dot = weighted.join(F.broadcast(sides), "term").groupBy("row", "unit", "kind", "head", "template", "licence", "title").agg(F.sum(F.col("w") * F.col("unit_w")).alias("dot"))
     scored = dot.join(norm, ["row", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
-    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("kind")).alias("kind"), (-F.col("score")).alias("score"), "licence")).alias("b"))
-    return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.score")).alias("score"), (-F.col("b.kind")).alias("kind"))
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("kind")).alias("kind"), (-F.col("score")).alias("score"), "licence")).alias("b"), F.bool_or(F.col("head") & F.col("title")).alias("titled"))
+    return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.score")).alias("score"), (-F.col("b.kind")).alias("kind"), "titled")
 
 
 def ancestors(directory: Column) -> Column:
-    """A directory and all above it, from the top."""
+    """A directory and all above it, from the top, which is ''."""
     parts = F.split(directory, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
 
 
 def scan_licences(files: DataFrame, *, id_col: str, directory: Column, text_col: str = "text", licence_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of files: id, directory, own_licence, own_score, licence and from_directory (the directory it is inherited from, null for its own).
 
-    licence_file: which files speak for their directory, by their names for instance; by default those whose whole text states a licence.
+    licence_file: which files speak for their directory, by their names for instance; by default those whose whole text states a licence or that start with the title of one.
     """
     files = files.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(directory, F.lit("")).alias("directory"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(licence_file, F.lit(False)).alias("speaks") if licence_file is not None else F.lit(None).cast("boolean").alias("speaks"))
     weights = Weights(files.select("text"), threshold)
@@ -172,7 +201,7 @@ def scan_licences(files: DataFrame, *, id_col: str, directory: Column, text_col:
     base = stage(files.select(F.monotonically_increasing_id().alias("row"), "id", "directory", "speaks", F.when(F.lower("text").rlike(weights.needed), F.col("text")).alias("text")), "licence-files")
     own = stage(own_licences(base.select("row", "text"), weights, threshold), "licences")
     named = base.select("row", "id", "directory", "speaks").join(own, "row", "left")
-    of_directory = named.filter(F.col("licence").isNotNull() & F.coalesce("speaks", F.col("kind") == FILE)).groupBy("directory").agg(F.min(F.struct(F.col("id").isNull(), "id", "licence")).alias("first")).select("directory", F.col("first.licence").alias("given"))
+    of_directory = named.filter(F.col("licence").isNotNull() & F.coalesce("speaks", (F.col("kind") == FILE) | F.col("titled"))).groupBy("directory").agg(F.min(F.struct(F.col("id").isNull(), "id", "licence")).alias("first")).select("directory", F.col("first.licence").alias("given"))
     near = named.select("directory").distinct().select(F.col("directory").alias("below"), F.explode(ancestors(F.col("directory"))).alias("directory")).join(of_directory, "directory")
     near = near.groupBy(F.col("below").alias("directory")).agg(F.max_by(F.struct(F.col("directory").alias("from_directory"), "given"), F.length("directory")).alias("near"))
     out = named.join(near, "directory", "left")
@@ -216,6 +245,6 @@ scored AS (SELECT doc_id, kind, licence, round(dot / (norms.norm * lnorm.norm),
 own AS (SELECT doc_id, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind DESC, score DESC, licence) AS r FROM scored WHERE score >= {THRESHOLD}) WHERE r = 1),
 named AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN coalesce(source, '') WHEN doc_id % 10 = 0 THEN concat_ws('/', coalesce(source, ''), doc_id // 10000) ELSE concat_ws('/', coalesce(source, ''), doc_id // 10000, doc_id // 100) END AS directory, licence, score FROM documents LEFT JOIN own USING (doc_id)),
 given AS (SELECT directory AS above, arg_min(licence, doc_id) AS given FROM named WHERE licence IS NOT NULL AND doc_id % 10 = 0 GROUP BY directory),
-near AS (SELECT directory, arg_max(above, length(above)) AS above, arg_max(given, length(above)) AS given FROM (SELECT DISTINCT directory FROM named) d JOIN given ON directory = above OR starts_with(directory, above || '/') GROUP BY directory)
+near AS (SELECT directory, arg_max(above, length(above)) AS above, arg_max(given, length(above)) AS given FROM (SELECT DISTINCT directory FROM named) d JOIN given ON directory = above OR above = '' OR starts_with(directory, above || '/') GROUP BY directory)
 SELECT doc_id, directory, licence AS own_licence, score AS own_score, coalesce(licence, given) AS licence, CASE WHEN licence IS NULL THEN above END AS from_directory FROM named LEFT JOIN near USING (directory)
 """

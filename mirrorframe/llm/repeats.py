@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, free_name, keyed, released, stage, table
+from mirrorframe.llm.common import column_or_null, free_name, keyed, released, ship, stage, table
 
 MATCH = 100
 GRAM = 40
@@ -397,8 +397,24 @@ def _union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut_repeats(source: DataFrame, hot: int = HOT, held: int = HELD) -> DataFrame:
-    """source: id (unique, in the order that decides which copy is first), text. id, n_bytes, n_removed, removed, kept."""
+def whole_characters(piece: bytes, first: bool, last: bool) -> bytes:
+    """A piece of a text between two cuts, without the bytes of characters that a cut goes through; its start is the text's own if first, its end if last."""
+    start, end = 0, len(piece)
+    while not first and start < min(3, end) and piece[start] & 0xC0 == 0x80:
+        start += 1
+    for back in range(1, 1 + min(3, end - start) if not last else 1):
+        lead = piece[end - back]
+        if lead >= 0xC0:
+            if back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+                end -= back
+            break
+        if lead < 0x80:
+            break
+    return piece[start:end]
+
+
+def cut_repeats(source: DataFrame, hot: int = HOT, held: int = HELD, whole: bool = False) -> DataFrame:
+    """source: id (unique, in the order that decides which copy is first), text. id, n_bytes, n_removed, removed, kept. whole: kept has no parts of characters that are cut."""
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(8, -(-size // GROUP))
 
@@ -422,10 +438,11 @@ def cut_repeats(source: DataFrame, hot: int = HOT, held: int = HELD) -> DataFram
                     body = z.decompress(body)
                     out = _union_of([(x["start"], x["n"]) for x in own or []])
                     edges = [0, *(e for pair in out for e in pair), len(body)]
-                    kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                    pieces = [(body[a:b], a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                    kept.append(b"".join(whole_characters(x, a == 0, b == len(body)) if whole else x for x, a, b in pieces))
                     sizes.append(len(body))
                     removed.append([{"start": a, "end": b} for a, b in out])
-                n = [a - len(b) for a, b in zip(sizes, kept, strict=True)]
+                n = [sum(x["end"] - x["start"] for x in out) for out in removed]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "removed", "kept"])
 
     joined = zipped(source).join(spans, "id", "left").select("id", "body", "spans")
@@ -434,6 +451,7 @@ def cut_repeats(source: DataFrame, hot: int = HOT, held: int = HELD) -> DataFram
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, held: int = HELD) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, removed (maximal removed byte ranges), kept (the remaining bytes, binary). hot and held bound memory; results don't depend on them."""
+    ship(docs.sparkSession)
     source, plain = keyed(docs.select(column_or_null(docs, id_col, "long").alias("own"), column_or_null(docs, text_col, "string").alias("text")), "own", "id", nulls_first=True)
     out = cut_repeats(source.select("id", "text"), hot, held)
     if plain:
@@ -444,13 +462,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with their texts cut (and their lengths set anew, where there is such a column); documents that lose everything go.
 
-    A cut inside a character drops its other bytes. Texts move once, as what is left of them.
+    A cut inside a character drops its other bytes and nothing else: replacement characters of a text stay. Texts move once, as what is left of them.
     """
+    ship(docs.sparkSession)
     key, cut, null = (free_name(docs, x) for x in ("_row", "_cut", "_null"))
     rows, _ = keyed(docs, id_col, key, nulls_first=True)
-    kept = F.make_valid_utf8("kept")
-    left = F.when(F.col("n_removed") == 0, kept).otherwise(F.regexp_replace(kept, "\ufffd", ""))
-    pieces = cut_repeats(rows.select(F.col(key).alias("id"), column_or_null(docs, text_col, "string").alias("text"))).select(F.col("id").alias(key), F.struct("n_removed", left.alias("text")).alias(cut))
+    pieces = cut_repeats(rows.select(F.col(key).alias("id"), column_or_null(docs, text_col, "string").alias("text")), whole=True).select(F.col("id").alias(key), F.struct("n_removed", F.make_valid_utf8("kept").alias("text")).alias(cut))
     others = rows.withColumn(null, F.col(f"`{text_col}`").isNull()).drop(text_col)
     joined = others.join(pieces, key).filter((F.col(cut)["n_removed"] == 0) | (F.length(F.col(cut)["text"]) > 0))
     joined = joined.withColumn(text_col, F.when(~F.col(null), F.col(cut)["text"]))

@@ -168,6 +168,38 @@ def test_license_inheritance(spark):
     assert licenses.scan_licences(df.limit(0), id_col="id", directory=folder).count() == 0
 
 
+def test_license_inheritance_from_the_top(spark):
+    """Relative paths inherit from '', and complete long licences speak by their title."""
+    from pyspark.sql import functions as F
+
+    L = licenses
+    body = "\n\n".join(f"{k}. Some section of terms that says much about rights and duties of number {k}." for k in range(30))
+    title = lambda name, at=-1: "\n".join([t for n, t in L.TEMPLATES if n == name and t in L.TITLES][at].replace(" Version", "\n Version").split("\n"))
+    files = [
+        (1, "LICENSE", L.MIT_GRANT + L.MIT_REST),
+        (2, "src/x.py", "x = 1"),
+        (3, "g/COPYING", "\n\n      " + title("GPL-3.0") + "\n\n" + body),
+        (4, "g/src/y.c", "int y;"),
+        (5, "a/LICENSE", title("Apache-2.0") + "\n\n" + body),
+        (6, "a/z.go", "package z"),
+        (7, "m/readme", body + "\n\n" + title("LGPL-2.1")),
+        (8, "m/k.c", "int k;"),
+        (9, "t/one", L.ISC),
+        (9, "t/two", L.MIT_GRANT + L.MIT_REST),
+        (10, "t/deep/q", "ties by id go to the first licence"),
+        (11, "u/LICENSE", title("Unlicense") + "\n\n" + body),
+        (12, "u/v", "v"),
+    ]
+    df = spark.createDataFrame(files, "id long, path string, text string")
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    got = {(r.id, r.directory): (r.own_licence, r.licence, r.from_directory) for r in L.scan_licences(df, id_col="id", directory=folder).collect()}
+    assert got[1, ""] == ("MIT", "MIT", None) and got[2, "src"] == (None, "MIT", "")
+    assert got[3, "g"] == ("GPL-3.0", "GPL-3.0", None) and got[4, "g/src"] == (None, "GPL-3.0", "g")
+    assert got[6, "a"] == (None, "Apache-2.0", "a") and got[12, "u"] == (None, "Unlicense", "u")
+    assert got[8, "m"] == (None, "MIT", "")  # a title further down doesn't speak
+    assert got[10, "t/deep"] == (None, "ISC", "t")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     if not Path(SF).exists():

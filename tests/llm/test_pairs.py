@@ -232,3 +232,42 @@ def test_longest_previous_factor(text):
         return best
 
     assert got == [longest(i) for i in positions]
+
+
+def test_cuts_keep_replacement_characters(spark):
+    """Texts that hold U+FFFD and cuts that go through characters, against plain Python."""
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcé😀\ufffd ") for _ in range(n))
+    passage = say(90)
+    texts = [passage + say(20), "x\ufffdy " + passage + " kept\ufffd", "é" * 120, "\u1ea9" + "é" * 120, "aé" * 60 + "\ufffd", "\u00a9" + passage[1:] + "😀", None, "\ufffd", passage]
+    texts += ["\u4e2d" * 40, "\u4e2d" * 35 + "\u4e2e", "\u4e3d" * 40 + "\u4e2d" * 34]
+    got = {r.doc_id: r.text for r in R.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = set()
+        for o in range(len(b) - R.MATCH + 1):
+            if b[o : o + R.MATCH] in seen:
+                gone |= set(range(o, o + R.MATCH))
+            seen.add(b[o : o + R.MATCH])
+        at, left = 0, ""
+        for c in t or "":
+            width = len(c.encode())
+            left += "" if gone & set(range(at, at + width)) else c
+            at += width
+        if left or not gone:
+            want[i] = t if t is None else left
+    assert got == want and "\ufffd" in got[1] and len(got) < len(texts)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aé\u4e2d😀\ufffd", min_size=1, max_size=8), st.data())
+def test_whole_characters(text, data):
+    b = text.encode()
+    start = data.draw(st.integers(0, len(b)))
+    end = data.draw(st.integers(start, len(b)))
+    inside, at = "", 0
+    for c in text:
+        inside += c if start <= at and at + len(c.encode()) <= end else ""
+        at += len(c.encode())
+    assert R.whole_characters(b[start:end], start == 0, end == len(b)) == inside.encode()
