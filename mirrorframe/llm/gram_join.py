@@ -280,6 +280,22 @@ def _decoded(t: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")]
 
 
+def _stars(names: np.ndarray, found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Links from the least name of each component of the found pairs of places to its other ones."""
+    top: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for x, y in found:
+        a, b = sorted((of(int(names[x])), of(int(names[y]))))
+        top[b] = a
+    pairs = sorted({(of(x), x) for x in top} - {(x, x) for x in top})
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
 def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Of one group of blocks: links of each block."""
 
@@ -290,9 +306,9 @@ def _within(percent: int) -> Callable[[pa.Table], pa.Table]:
         cuts = [0, *(1 + np.flatnonzero((names[1:] != names[:-1]).any(axis=1))).tolist(), len(ids)]
         a, b = [], []
         for s, e in zip(cuts, cuts[1:], strict=False):
-            for x, y in links_of(sets[s:e], sizes[s:e], None, sizes[s:e], np.arange(e - s), np.arange(e - s), percent):
-                a.append(ids[s + x])
-                b.append(ids[s + y])
+            least, others = _stars(ids[s:e], links_of(sets[s:e], sizes[s:e], None, sizes[s:e], np.arange(e - s), np.arange(e - s), percent))
+            a += least
+            b += others
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -306,7 +322,8 @@ def _across(percent: int) -> Callable[[pa.Table], pa.Table]:
         comps, sizes, sets = t.column("c").to_numpy(), t.column("n").to_numpy(), _decoded(t)
         x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
         found = links_of([sets[k] for k in x], sizes[x], [sets[k] for k in y], sizes[y], comps[x], comps[y], percent) if len(x) and len(y) else []
-        return pa.table({"a": pa.array([comps[x[i]] for i, _ in found], pa.int64()), "b": pa.array([comps[y[j]] for _, j in found], pa.int64())})
+        least, others = _stars(comps, [(x[i], y[j]) for i, j in found])
+        return pa.table({"a": pa.array(least, pa.int64()), "b": pa.array(others, pa.int64())})
 
     return run
 
