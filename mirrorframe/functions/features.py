@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
+
+from mirrorframe.functions.ranges import positions
 
 #: Stands for a missing category.
 MISSING = "__mf_missing__"
@@ -50,9 +51,9 @@ def fill_missing(df: DataFrame, column: str) -> DataFrame:
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the rank of each distinct value in ascending order, from 0. The window runs over distinct values only."""
+    """(value, code): the rank of each distinct value in ascending order, from 0."""
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(W.orderBy("value")) - 1).cast("long"))
+    return positions(values, ["value"]).withColumnRenamed("pos", "code")
 
 
 def encode_labels(df: DataFrame, column: str, table: DataFrame, out: str) -> DataFrame:

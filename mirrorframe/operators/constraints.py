@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrorframe.functions.expressions import compile_boolean, derive, referenced
-from mirrorframe.operators.resample import positions
+from mirrorframe.functions.ranges import positions
 from mirrorframe.plans.stages import staged
 
 _OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}

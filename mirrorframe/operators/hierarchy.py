@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorframe.functions.expressions import compile_boolean
+from mirrorframe.functions.ranges import positions
 from mirrorframe.operators.constraints import DEFAULT_MAX_FACTOR, ExhaustedError, factors
 from mirrorframe.operators.relations import child_counts, draw_counts, expand, prune
-from mirrorframe.operators.resample import positions
 from mirrorframe.operators.trees import FIT_ROWS, TreeSynthesizer
 from mirrorframe.plans.model import Column, ColumnType, Dataset, Table
 from mirrorframe.plans.stages import staged

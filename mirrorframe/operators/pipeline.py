@@ -56,7 +56,7 @@ def generate(
         model = TreeSynthesizer(seed).fit(fit_table, fit_rows=cap)
     if constraints:
         rows, report = reject_resample(lambda first, size: model.sample(spark, size, first_id=first), n, constraints, most=max_oversample)
-        from mirrorframe.operators.resample import positions
+        from mirrorframe.functions.ranges import positions
         from mirrorframe.operators.trees import key_values
 
         rows = positions(rows, ["row_id"]).drop("row_id").withColumnRenamed("pos", "row_id")

@@ -4,26 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from mirrorframe.functions.ranges import positions, running_total
 from mirrorframe.functions.rng import below
-from mirrorframe.plans.stages import staged
 
 
 def value_pool(df: DataFrame, column: str) -> DataFrame:
-    """(value, first, last): the values of a column in ascending order with the places each takes among all rows. The window runs over distinct values."""
+    """(value, first, last): the values of a column in ascending order with the places each takes among all rows."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return counts.select("value", (upto - F.col("_n")).alias("first"), (upto - 1).alias("last"))
-
-
-def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds pos: the place from 0 of each row in the order given. Ranges are numbered side by side, each from where the one before ended."""
-    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "positions")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.join(before, "_part").withColumn("pos", (own + F.col("_before")).cast("long")).drop("_part", "_before")
+    upto = running_total(counts, ["value"], F.col("_n"), "_upto")
+    return upto.select("value", (F.col("_upto") - F.col("_n")).alias("first"), (F.col("_upto") - 1).alias("last"))
 
 
 def resample(pool: DataFrame, order: list[str], columns: list[str], ids: DataFrame, seed: int, stream: str) -> DataFrame:

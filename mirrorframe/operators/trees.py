@@ -4,9 +4,14 @@ Columns are fitted in input order, each on the columns before it; a new value is
 generated row falls into. Fits are independent (their predictors are real columns) and run side by side; sampling is a chain of
 narrow transformations over spark.range(n). Draws are functions of (seed, column, row_id).
 
-A pool entry carries the value together with its encoding, so generated values never have to be encoded again. A fit frame is capped (`fit_rows`),
-lies in one partition in a fixed order, which makes MLlib's splits reproducible, and bounds the pools that are broadcast. With fit_rows=0 all rows are
-fitted, and pools are joined instead.
+A pool entry carries the value together with its encoding, so generated values never have to be encoded again. A pool's entries are numbered in the order of (leaf, hash of
+the row), range by range. MLlib numbers leaves from left to right, so that the entries of a leaf, and of every node above it, are a span of places: a draw is a
+place within a leaf's span, or, where a leaf has no entry, within that of the nearest node above it that has some. Entries are joined by their place, which no two share: a leaf of nearly all
+rows spreads over tasks like any other.
+
+A fit frame is capped (`fit_rows`) and then lies in one partition in a fixed order, which makes MLlib's splits reproducible. With fit_rows=0 all rows are fitted.
+
+A category of over `CLASSES` levels is fitted as a number, by the code of its level; its dictionary is a table that is joined.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,11 +29,12 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from mirrorframe.functions.features import MISSING, SentinelError, calendar, finite, to_epoch
+from mirrorframe.functions.ranges import positions
 from mirrorframe.functions.rng import below, exact_sample, row_identity, uniform, uuid4_hex
 from mirrorframe.operators import repair as repairs
+from mirrorframe.plans.infer import level_table
 from mirrorframe.plans.model import Column, ColumnType, Table, calendar_of, is_integral
 from mirrorframe.plans.stages import staged
 
@@ -36,6 +44,8 @@ MIN_LEAF = 5
 LINEAGE = 6
 #: Levels of a category up to which its codes are part of the expression; more are joined.
 LISTED = 64
+#: Levels of a category up to which it is fitted by classification.
+CLASSES = 1000
 
 
 @dataclass
@@ -51,6 +61,7 @@ class FittedColumn:
     null_model: object = None
     value_model: object = None
     pool: DataFrame | None = None
+    spans: DataFrame | None = None
     constant: object = None
     predictors: list[str] = field(default_factory=list)
 
@@ -84,9 +95,16 @@ class TreeSynthesizer:
         fill = {name: fills[f"m{i}"] for i, name in enumerate(as_number)}
         self.rows = fills["n"]
         out, meta = [], {}
-        codes = {}
+        codes, tables = {}, {}
         for c in columns:
-            if c.type is ColumnType.CATEGORICAL:
+            wide = c.levels if c.categories is None else None
+            if c.type is ColumnType.CATEGORICAL and wide is None and c.categories is None and not isinstance(kinds[c.name], T.BooleanType):
+                wide = level_table(df, c.name)
+            if c.type is ColumnType.CATEGORICAL and wide is not None:
+                if wide.filter(F.col("value") == MISSING).limit(1).count():
+                    raise SentinelError(f"{c.name} holds {MISSING!r}")
+                tables[c.name], self.levels[c.name] = wide, wide.count() + 1
+            elif c.type is ColumnType.CATEGORICAL:
                 values = sorted({str(v) if not isinstance(v, bool) else str(v).lower() for v in (c.categories or ())})
                 if MISSING in values:
                     raise SentinelError(f"{c.name} holds {MISSING!r}")
@@ -99,14 +117,17 @@ class TreeSynthesizer:
                 meta[c.name] = ([], 0.0)
             elif c.type is ColumnType.CATEGORICAL:
                 said = F.coalesce(v.cast("string"), F.lit(MISSING))
-                if len(codes[c.name]) > LISTED:
+                if c.name in tables:
+                    df = df.join(tables[c.name].select(F.col("value").alias(f"_level_{i}"), F.col("code").cast("double").alias(f"_code_{i}")), said == F.col(f"_level_{i}"), "left")
+                    at = F.coalesce(F.col(f"_code_{i}"), F.when(v.isNull(), F.lit(self.levels[c.name] - 1.0)).otherwise(F.lit(-1.0)))
+                elif len(codes[c.name]) > LISTED:
                     table = df.sparkSession.createDataFrame([(x, float(k)) for k, x in enumerate(codes[c.name])], f"_level_{i} string, _code_{i} double")
                     df = df.join(table, said == F.col(f"_level_{i}"), "left")
                     at = F.coalesce(F.col(f"_code_{i}"), F.lit(-1.0))
                 else:
                     at = F.array_position(F.array(*[F.lit(x) for x in codes[c.name]]), said) - 1
                 parts.append(at.cast("double").alias("x"))
-                names, fill[c.name] = ["x"], float(codes[c.name].index(MISSING))
+                names, fill[c.name] = ["x"], self.levels[c.name] - 1.0 if c.name in tables else float(codes[c.name].index(MISSING))
                 meta[c.name] = (names, fill[c.name])
             else:
                 x = as_number[c.name]
@@ -153,13 +174,7 @@ class TreeSynthesizer:
         if alone:
             if row.a == row.b and n - nulls > 1:
                 out.strategy = "constant"
-            numbered = F.row_number().over(W.orderBy(order)) - 1 if self.capped else None
-            if numbered is None:
-                from mirrorframe.operators.resample import positions
-
-                out.pool = staged(positions(values.select(order, e.alias("e")), [order]).select("pos", "e"), "pool")
-            else:
-                out.pool = staged(values.select(order, e.alias("e")).withColumn("pos", numbered.cast("long")).select("pos", "e"), "pool")
+            out.pool = numbered_pool(values.select(order, e.alias("e")), [order])
             if predictors and 0 < nulls < n and c.type is not ColumnType.TEXT:
                 out.null_model = self._null_model(frame, null, predictors)
             return out
@@ -167,18 +182,15 @@ class TreeSynthesizer:
         if nulls:
             out.null_model = self._null_model(frame, null, predictors)
         label = values.withColumn("_label", e["x"])
-        if c.type is ColumnType.CATEGORICAL:  # without the number of classes MLlib takes 100 at most
+        classes = c.type is ColumnType.CATEGORICAL and self.levels[c.name] <= CLASSES + 1
+        if classes:  # without the number of classes MLlib takes 100 at most
             label = label.withMetadata("_label", {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": self.levels[c.name]}})
         assembled = self._assemble(label, predictors)
-        maker = DecisionTreeClassifier if c.type is ColumnType.CATEGORICAL else DecisionTreeRegressor
+        maker = DecisionTreeClassifier if classes else DecisionTreeRegressor
         tree = maker(featuresCol="_features", labelCol="_label", leafCol="_leaf", maxDepth=self.max_depth, maxBins=self.max_bins, minInstancesPerNode=MIN_LEAF, seed=self.seed, maxMemoryInMB=512)
         out.value_model = tree.fit(assembled)
-        leaves = out.value_model.transform(assembled).select("_leaf", order, F.col(f"e_{i}").alias("e"))
-        if self.capped:
-            out.pool = staged(leaves.groupBy("_leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "e"))), lambda s: s["e"]).alias("pool")), "pool")
-        else:
-            place = F.row_number().over(W.partitionBy("_leaf").orderBy(order)) - 1
-            out.pool = staged(leaves.withColumn("_pos", place.cast("long")).withColumn("_size", F.count(F.lit(1)).over(W.partitionBy("_leaf"))).select("_leaf", "_pos", "_size", "e"), "pool")
+        leaves = out.value_model.transform(assembled).select(F.col("_leaf").cast("long").alias("_leaf"), order, F.col(f"e_{i}").alias("e"))
+        out.pool, out.spans = leaf_pool(out.value_model, leaves, order)
         return out
 
     def _assemble(self, df: DataFrame, predictors: list[str]) -> DataFrame:
@@ -214,20 +226,12 @@ class TreeSynthesizer:
                 out = out.withColumn("_p", F.lit(f.null_rate))
             is_null = uniform(self.seed, f"{name}/null", F.col("row_id")) < F.col("_p")
             if f.value_model is not None:
-                leaf = f.value_model.transform(self._assemble(out, f.predictors)).select(*have, "_p", "_leaf")
-                if self.capped:
-                    joined = leaf.join(f.pool, "_leaf")  # a small pool is broadcast by Spark's own check of its size
-                    entry = F.element_at("pool", (F.floor(u * F.size("pool")) + 1).cast("int"))
-                else:
-                    sizes = f.pool.filter("_pos = 0").select("_leaf", "_size")
-                    joined = leaf.join(sizes, "_leaf").withColumn("_pos", F.floor(u * F.col("_size"))).join(f.pool.drop("_size"), ["_leaf", "_pos"])
-                    entry = F.col("e")
+                leaf = f.value_model.transform(self._assemble(out, f.predictors)).select(*have, "_p", F.col("_leaf").cast("long").alias("_leaf"))
+                placed = leaf.join(f.spans, "_leaf").withColumn("pos", F.col("_first") + F.floor(u * F.col("_size"))).drop("_leaf", "_first", "_size")
             else:
                 size = f.pool.count()
-                if not size:
-                    joined, entry = out, self._null_entry(f)
-                else:
-                    joined, entry = out.withColumn("pos", below(self.seed, f"{name}/value", F.col("row_id"), size)).join(f.pool, "pos"), F.col("e")
+                placed = out.withColumn("pos", below(self.seed, f"{name}/value", F.col("row_id"), size) if size else F.lit(None).cast("long"))
+            joined, entry = placed.join(f.pool, "pos", "left"), F.coalesce("e", self._null_entry(f))
             out = joined.withColumn(f"e_{i}", F.when(is_null, self._null_entry(f)).otherwise(entry)).select(*have, f"e_{i}")
             if (i + 1) % LINEAGE == 0 and i + 1 < len(self.fitted):
                 out = staged(out, "sampled")
@@ -243,6 +247,46 @@ class TreeSynthesizer:
         return [(f.column.name, f.strategy, f.null_rate) for f in self.fitted] + [(c.name, "key", 0.0) for c, _ in self.keys]
 
 
+def numbered_pool(entries: DataFrame, order: list[str]) -> DataFrame:
+    """(pos, e) as a written table: entries by their place in the order given."""
+    return staged(positions(entries, order).select("pos", "e"), "pool")
+
+
+def leaf_pool(model, leaves: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """leaves: _leaf, order, e. Their entries by place, and the span of places (_leaf, _first, _size) that each leaf of the model draws from."""
+    leaves = staged(leaves, "leaves")
+    depths = leaf_depths(model.toDebugString)
+    counts = np.zeros(len(depths), np.int64)
+    for r in leaves.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a leaf of a model that the driver holds
+        counts[r._leaf] = r.n
+    first, size = leaf_spans(depths, counts)
+    spans = pa.table({"_leaf": np.arange(len(depths)), "_first": first, "_size": size})
+    return numbered_pool(leaves.select("_leaf", order, "e"), ["_leaf", order]), staged(leaves.sparkSession.createDataFrame(spans), "spans")
+
+
+def leaf_depths(text: str) -> np.ndarray:
+    """Depths of a tree's leaves from left to right, by the indents of its text."""
+    return np.array([len(line) - len(line.lstrip()) - 2 for line in text.splitlines() if line.lstrip().startswith("Predict")], np.int64)
+
+
+def leaf_spans(depths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and size of the span that each leaf draws from, where entries go by leaf: its own, or of the nearest node above that has entries (nothing if none has).
+
+    The depths of the leaves from left to right give the tree: a leaf of depth d takes 2**-d of a line, and the node at depth k above it the whole 2**-k part that it lies in.
+    """
+    deepest = int(depths.max(initial=0))
+    width = 1 << (deepest - depths)
+    starts = np.cumsum(width) - width
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    first, size = upto[:-1].copy(), counts.copy()
+    for k in range(deepest - 1, -1, -1):
+        empty = np.flatnonzero((size == 0) & (depths > k))
+        part = starts[empty] >> (deepest - k) << (deepest - k)
+        low, high = np.searchsorted(starts, part), np.searchsorted(starts, part + (1 << (deepest - k)))
+        first[empty], size[empty] = upto[low], upto[high] - upto[low]
+    return first, size
+
+
 def key_values(name: str, kind: T.DataType, row_id: SparkColumn, seed: int) -> SparkColumn:
     """1, 2, ... in an integer source's type; UUIDs for string columns named uuid or *_uuid; else name_1, name_2, ..."""
     number = row_id + 1

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorframe.functions.features import codes
 from mirrorframe.plans.model import Column, ColumnType, Table, is_datetime, is_integral, is_numeric
+from mirrorframe.plans.stages import staged
 
 #: A string column is text above this share of distinct values, and a category with at most so many distinct values or so low a share.
 TEXT_RATIO = 0.5
 MAX_CATEGORIES = 50
 CATEGORY_RATIO = 0.05
+#: Levels of a category up to which they are listed with the column; more stay in a table.
+MOST_LISTED = 1000
 
 
 def is_key_name(name: str) -> bool:
@@ -69,14 +73,22 @@ def classify(name: str, kind: T.DataType, s: dict) -> ColumnType:
 
 
 def infer_table(name: str, df: DataFrame) -> Table:
-    """A Table with inferred columns; the first key in input order is the primary key. Categories are fetched for categories only."""
+    """A Table with inferred columns; the first key in input order is the primary key. The driver gets the levels of a category up to MOST_LISTED; the dictionary of one with more is written as a table."""
     stats = stats_of(df)
     kinds = {f.name: classify(f.name, f.dataType, stats[f.name]) for f in df.schema.fields}
-    listed = [f for f in df.schema.fields if kinds[f.name] is ColumnType.CATEGORICAL and not isinstance(f.dataType, T.BooleanType)]
+    levelled = [f for f in df.schema.fields if kinds[f.name] is ColumnType.CATEGORICAL and not isinstance(f.dataType, T.BooleanType)]
+    listed = [f for f in levelled if (stats[f.name]["distinct"] or 0) <= MOST_LISTED]
     found = df.agg(*[F.sort_array(F.collect_set(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(listed)]).first() if listed else None
     categories = {f.name: tuple(found[f"c{i}"]) for i, f in enumerate(listed)}
+    wide = {f.name: level_table(df, f.name) for f in levelled if f not in listed}
     columns = []
     for f in df.schema.fields:
         c = (False, True) if isinstance(f.dataType, T.BooleanType) else categories.get(f.name)
-        columns.append(Column(f.name, kinds[f.name], nullable=stats[f.name]["nonnull"] < stats[f.name]["rows"], categories=c))
+        columns.append(Column(f.name, kinds[f.name], nullable=stats[f.name]["nonnull"] < stats[f.name]["rows"], categories=c, levels=wide.get(f.name)))
     return Table(name, columns, next((c.name for c in columns if c.type is ColumnType.KEY), None), df)
+
+
+def level_table(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) of the levels of a column as a written table; nulls have none. Codes go by range, without one task for all levels."""
+    c = F.col(f"`{column}`")
+    return staged(codes(df.filter(c.isNotNull()).select(c.alias("c")), "c"), "levels")

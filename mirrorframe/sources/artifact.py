@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.ml.regression import DecisionTreeRegressionModel
@@ -16,7 +16,7 @@ from mirrorframe.operators.trees import FittedColumn, TreeSynthesizer
 from mirrorframe.plans.model import Column, ColumnType
 from mirrorframe.plans.stages import staged
 
-FORMAT = 1
+FORMAT = 2
 MANIFEST_LIMIT = 1 << 20
 
 
@@ -49,7 +49,7 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 def _column(c: Column) -> dict:
-    return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(c).items()}
+    return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(replace(c, levels=None)).items() if k != "levels"}
 
 
 def _column_of(d: dict) -> Column:
@@ -65,8 +65,10 @@ def save(spark: SparkSession, model: TreeSynthesizer, path: str, schema_toml: st
             f.null_model.write().overwrite().save(f"{path}/null-{i}")
         if f.value_model is not None:
             f.value_model.write().overwrite().save(f"{path}/value-{i}")
-        f.pool.write.mode("overwrite").parquet(f"{path}/pool-{i}")
-        fitted.append({"column": _column(f.column), "kind": f.kind.json(), "strategy": f.strategy, "null_rate": f.null_rate, "features": f.features, "fill": f.fill, "null_model": f.null_model is not None, "value_model": type(f.value_model).__name__ if f.value_model is not None else None, "predictors": f.predictors})
+        for name, table in (("pool", f.pool), ("spans", f.spans), ("levels", f.column.levels)):
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{name}-{i}")
+        fitted.append({"column": _column(f.column), "kind": f.kind.json(), "strategy": f.strategy, "null_rate": f.null_rate, "features": f.features, "fill": f.fill, "null_model": f.null_model is not None, "value_model": type(f.value_model).__name__ if f.value_model is not None else None, "predictors": f.predictors, "levels": f.column.levels is not None})
     state = {"fitted": fitted, "keys": [[_column(c), k.json()] for c, k in model.keys], "rules": asdict(model.rules), "names": model.names, "capped": model.capped, "max_bins": model.max_bins, "max_depth": model.max_depth, "schema_toml": schema_toml}
     _write_text(spark, f"{path}/schema", json.dumps(state))
     _write_text(spark, f"{path}/manifest", json.dumps(asdict(Manifest(FORMAT, __version__, type(model).__name__, model.seed, model.rows, model.names))))
@@ -98,6 +100,8 @@ def load(spark: SparkSession, path: str) -> tuple[TreeSynthesizer, Manifest, str
     for i, f in enumerate(state["fitted"]):
         null_model = DecisionTreeClassificationModel.load(f"{path}/null-{i}") if f["null_model"] else None
         value_model = models[f["value_model"]].load(f"{path}/value-{i}") if f["value_model"] else None
-        pool = staged(spark.read.parquet(f"{path}/pool-{i}"), "pool")
-        model.fitted.append(FittedColumn(_column_of(f["column"]), kind(f["kind"]), f["strategy"], f["null_rate"], f["features"], f["fill"], null_model, value_model, pool, None, f["predictors"]))
+        table = lambda name, there: staged(spark.read.parquet(f"{path}/{name}-{i}"), name) if there else None  # noqa: B023, E731
+        column = replace(_column_of(f["column"]), levels=table("levels", f["levels"]))
+        pool, spans = table("pool", True), table("spans", value_model is not None)
+        model.fitted.append(FittedColumn(column, kind(f["kind"]), f["strategy"], f["null_rate"], f["features"], f["fill"], null_model, value_model, pool, spans, None, f["predictors"]))
     return model, manifest, state["schema_toml"]

@@ -3,14 +3,22 @@ from pathlib import Path
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from mirrorframe.functions.ranges import positions
+from mirrorframe.operators import trees
 from mirrorframe.operators.constraints import Derived, Range
 from mirrorframe.operators.hierarchy import HierarchySynthesizer
 from mirrorframe.operators.pipeline import generate
 from mirrorframe.operators.quality import average_marginal, marginals
 from mirrorframe.operators.trees import TreeSynthesizer, fit_row_cap
+from mirrorframe.plans import infer
 from mirrorframe.plans.infer import infer_table
 from mirrorframe.plans.model import Dataset, Reference
 from mirrorframe.queries import QUERIES
@@ -109,3 +117,71 @@ def test_wide_category(spark, levels):
     assert len(found["c"].categories) == levels
     made = TreeSynthesizer(3).fit(found, fit_rows=0).sample(spark, 300)
     assert made.count() == 300 and made.join(df, "c", "left_anti").count() == 0
+
+
+@given(st.recursive(st.just(()), lambda t: st.tuples(t, t), max_leaves=12), st.lists(st.integers(0, 3), min_size=12, max_size=12))
+def test_leaf_spans(tree, counts):
+    """Every leaf draws from its own entries or those of the nearest node above that has some."""
+    depths, paths = [], []
+
+    def walk(node, path):
+        if not node:
+            depths.append(len(path))
+            paths.append(path)
+        for side, child in enumerate(node):
+            walk(child, (*path, side))
+
+    walk(tree, ())
+    counts = np.array(counts[: len(depths)])
+    first, size = trees.leaf_spans(np.array(depths), counts)
+    entries = [leaf for leaf, n in enumerate(counts) for _ in range(n)]
+    for leaf, path in enumerate(paths):
+        for k in range(len(path), -1, -1):
+            want = [x for x in entries if paths[x][:k] == path[:k]]
+            if want:
+                break
+        assert entries[first[leaf] : first[leaf] + size[leaf]] == want
+
+
+def test_a_leaf_of_most_rows(spark):
+    """A leaf of 90% of the rows: its entries spread over tasks, draws stay within leaves, and rows of an emptied leaf stay."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(100).cast("double").alias("x"), F.col("id").cast("double").alias("y")).withColumn("y", F.when(F.col("x") == 100, F.lit(5.0)).otherwise(F.col("x") * 1000))
+    frame = df.withColumn("_order", F.md5(F.monotonically_increasing_id().cast("string")))
+    assembled = VectorAssembler(inputCols=["x"], outputCol="f").transform(frame)
+    model = DecisionTreeRegressor(featuresCol="f", labelCol="y", leafCol="_leaf", maxDepth=4).fit(assembled)
+    leaves = model.transform(assembled).select(F.col("_leaf").cast("long").alias("_leaf"), "_order", F.struct(F.col("y").alias("v"), F.col("x").alias("of")).alias("e"))
+    hot = leaves.groupBy("_leaf").count().orderBy(F.desc("count")).first()
+    assert hot["count"] == 18_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = positions(leaves, ["_leaf", "_order"]).filter(F.col("_leaf") == hot._leaf).groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) >= 3 and max(r["count"] for r in dealt) < 9_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pool, spans = trees.leaf_pool(model, leaves, "_order")
+    drawn = spans.withColumn("pos", F.explode(F.sequence("_first", F.col("_first") + F.col("_size") - 1))).join(pool, "pos").select("_leaf", "e.of")
+    real = leaves.select("_leaf", "e.of").distinct()
+    assert sorted(drawn.distinct().collect()) == sorted(real.collect()) and drawn.count() == 20_000
+    _, fewer = trees.leaf_pool(model, leaves.filter(F.col("_leaf") != hot._leaf), "_order")
+    assert fewer.count() == spans.count() and fewer.filter("_size = 0").count() == 0
+
+
+def test_levels_as_a_table(spark, tmp_path, monkeypatch):
+    """A category whose levels aren't listed is inferred, fitted, saved and sampled; the driver gets none of them."""
+    monkeypatch.setattr(infer, "MOST_LISTED", 50)
+    monkeypatch.setattr(trees, "CLASSES", 50)
+    df = spark.range(6000).select((F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 40 > 0, F.concat(F.lit("c"), (F.col("id") % 280).cast("string"))).alias("c"), (F.col("id") % 280).cast("double").alias("y"))
+    found = infer_table("wide", df)
+    assert found["c"].type == "categorical" and found["c"].categories is None
+    names = sorted(r.c for r in df.select("c").distinct().collect() if r.c)
+    assert [(r.value, r.code) for r in found["c"].levels.orderBy("code").collect()] == [(c, k) for k, c in enumerate(names)]
+    model = TreeSynthesizer(3).fit(found, fit_rows=0)
+    made = model.sample(spark, 2000)
+    assert made.count() == 2000 and made.filter("c is not null").join(df, "c", "left_anti").count() == 0
+    assert 10 < made.filter("c is null").count() < 120
+    near = made.join(df.groupBy("c").agg(F.min("x").alias("of_x")), "c").agg(F.avg((F.col("x") == F.col("of_x")).cast("int"))).first()[0]
+    assert near > 0.5  # x decides c modulo 7; drawn alone it would be right in a seventh
+    artifact.save(spark, model, f"file://{tmp_path}/m")
+    again, _, _ = artifact.load(spark, f"file://{tmp_path}/m")
+    assert again.fitted[1].column.levels.count() == len(names)
+    assert sorted(map(str, again.sample(spark, 50).collect())) == sorted(map(str, model.sample(spark, 50).collect()))
