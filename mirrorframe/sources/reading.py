@@ -5,38 +5,40 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mirrorframe.plans.stages import ship
 from mirrorframe.sources.arrow_files import ArrowSource
 from mirrorframe.sources.duckdb_tables import DuckDbSource
 from mirrorframe.sources.normalize import normalise
+from mirrorframe.sources.splits import read_csv, read_json
 from mirrorframe.sources.uri import DatabaseUri, FilePath, ProbeError, SourceError, base_query, count_sql, enforce_limit, redact, sample_sql, suffix
 
-#: Lines of a JSON file in which its first object is looked for.
-HEAD = 1000
+#: Characters of an object in which the names of its columns are looked for.
+HEAD = 1 << 16
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder by its suffix. Text formats are cleaned and typed; Parquet and Arrow are taken as they are."""
+    """A file or folder by its suffix. Text formats are cleaned and typed; Parquet and Arrow are taken as they are. CSV and JSON files split, whatever their records hold."""
     kind = suffix(path)
     if kind in (".csv", ".tsv"):
-        return normalise(spark.read.csv(path, header=True, sep="\t" if kind == ".tsv" else ",", inferSchema=False, multiLine=True, escape='"'))
+        return normalise(read_csv(spark, path, "\t" if kind == ".tsv" else ","))
     if kind == ".parquet":
         return spark.read.parquet(path)
     if kind == ".json":
-        return normalise(_in_file_order(spark, path, spark.read.option("multiLine", True).json(path)))
+        return normalise(_in_file_order(*read_json(spark, path)))
     if kind in (".ndjson", ".jsonl"):
-        return normalise(_in_file_order(spark, path, spark.read.json(path)))
+        return normalise(_in_file_order(spark.read.json(path), spark.read.text(path)))
     ship(spark)
     spark.dataSource.register(ArrowSource)
     return spark.read.format("arrow_file").load(path)
 
 
-def _in_file_order(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    """Columns in the order of the first object, where Spark sorts them; columns of later objects follow. An object of over HEAD lines keeps Spark's order."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(HEAD).collect())
+def _in_file_order(df: DataFrame, lines: DataFrame) -> DataFrame:
+    """Columns in the order of the first object of the lines, where Spark sorts them; columns of later objects follow. An object of over HEAD characters keeps Spark's order."""
+    head = lines.select(F.substring("value", 1, HEAD).alias("head")).filter(F.col("head").contains("{")).first()
     try:
-        names = list(json.JSONDecoder().raw_decode(head, head.index("{"))[0])
+        names = list(json.JSONDecoder().raw_decode(head[0], head[0].index("{"))[0]) if head else []
     except ValueError:
         names = []
     return df.select(*[c for c in names if c in df.columns], *[c for c in df.columns if c not in names])
