@@ -16,12 +16,12 @@ from mirrorframe import __version__
 from mirrorframe.functions import pii
 from mirrorframe.functions.rng import row_identity
 from mirrorframe.functions.text import TextPolicy, apply_policy
-from mirrorframe.operators.constraints import parse_constraint, precheck, thin_support_warning, where_table
+from mirrorframe.operators.constraints import ConstraintReport, parse_constraint, precheck, thin_support_warning, where_table
 from mirrorframe.operators.hierarchy import HierarchySynthesizer
 from mirrorframe.operators.pipeline import generate
 from mirrorframe.operators.quality import compare
 from mirrorframe.operators.report import Gates, breaches, summary_line, to_html, to_json, to_text
-from mirrorframe.operators.trees import TreeSynthesizer
+from mirrorframe.operators.trees import FIT_ROWS, TreeSynthesizer
 from mirrorframe.plans import schema_toml as S
 from mirrorframe.plans.infer import infer_table
 from mirrorframe.plans.model import Table
@@ -70,13 +70,24 @@ def rows_by_table(items: list[str], roots: list[str]) -> dict[str, int]:
     return out
 
 
+def _explain(model: TreeSynthesizer, prefix: str = "") -> None:
+    for name, strategy, rate in model.explain():
+        print(f"{prefix + name:<28} {strategy:<20} nulls {rate:.3f}")
+
+
+def report_lines(report: ConstraintReport) -> list[str]:
+    """What constraints cost, in words: attempts, and violations of each, most first."""
+    out = [f"kept {report.accepted} of {report.requested} rows asked for in {report.attempts} attempt{'s' if report.attempts != 1 else ''}"]
+    return out + [f"  {n} rows broke {label}" for label, n in sorted(report.violations.items(), key=lambda x: (-x[1], x[0])) if n]
+
+
 def gen(a: argparse.Namespace) -> int:
     spark = _session()
     if a.schema and S.is_multi(tomllib.loads(Path(a.schema).read_text(encoding="utf-8"))):
         schema = S.load_multi(a.schema)
         data = S.to_dataset(spark, schema, str(Path(a.schema).parent))
         rows = rows_by_table(a.rows, [name for name, t in data.tables.items() if not t.references])
-        model = HierarchySynthesizer(a.seed).fit(data)
+        model = HierarchySynthesizer(a.seed).fit(data, fit_rows=FIT_ROWS if a.fit_rows is None else a.fit_rows)
         if a.where:
             made = model.sample_where(spark, rows, where_table(a.where, {n: t.data.columns for n, t in data.tables.items()}), a.where, most=a.max_oversample)
         else:
@@ -84,6 +95,9 @@ def gen(a: argparse.Namespace) -> int:
         made = {n: apply_policy(d, data.tables[n].columns, a.text_policy, seed=a.seed, salt=a.salt, key=row_identity(d), source=data.tables[n].data) for n, d in made.items()}
         suffixes = {n: Path(s["value"]).suffix or ".csv" for n, s in schema.sources.items()}
         write_dataset(made, a.out, suffixes, one_file=a.one_file)
+        if a.explain:
+            for name, part in model.models.items():
+                _explain(part, f"{name}.")
         print(json.dumps({n: d.count() for n, d in made.items()}))
         return 0
     table, constraints = _table(spark, a)
@@ -92,9 +106,11 @@ def gen(a: argparse.Namespace) -> int:
     n = rows_by_table(a.rows, ["table"])["table"]
     made = generate(table, n, seed=a.seed, constraints=constraints, where=a.where, fit_rows=a.fit_rows, text_policy=a.text_policy, salt=a.salt, max_oversample=a.max_oversample, strip_pii=not a.keep_pii)
     write(made.data.drop("row_id"), parse_sink(a.out, table=a.out_table), one_file=a.one_file)
+    if made.report:
+        for line in report_lines(made.report):
+            print(line)
     if a.explain:
-        for name, strategy, rate in made.synthesizer.explain():
-            print(f"{name:<28} {strategy:<20} nulls {rate:.3f}")
+        _explain(made.synthesizer)
     if not a.no_quality:
         print(summary_line(compare(table.data, made.data.drop("row_id"), table.columns, dcr_rows=SUMMARY_ROWS, seed=a.seed)))
     return 0

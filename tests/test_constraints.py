@@ -74,3 +74,11 @@ def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(1000)
     a, b = (sorted(r.id for r in exact_sample(df.repartition(n), 20, 5, "id").collect()) for n in (1, 7))
     assert a == b and len(a) == 20
+
+
+def test_report_in_words():
+    from mirrorframe.cli import report_lines
+    from mirrorframe.operators.constraints import ConstraintReport
+
+    assert report_lines(ConstraintReport(10, 10, 1, {})) == ["kept 10 of 10 rows asked for in 1 attempt"]
+    assert report_lines(ConstraintReport(10, 8, 3, {"range(a)": 2, "where(b)": 5, "c": 0}))[1:] == ["  5 rows broke where(b)", "  2 rows broke range(a)"]

@@ -67,6 +67,10 @@ def test_uris(monkeypatch):
     monkeypatch.undo()
     assert "secret" not in repr(U.parse_source("postgres://u:secret@h/db", table="t"))
     assert U.with_password("postgres://u@h:5/db", "printf 'a b'") == "postgres://u:a%20b@h:5/db"
+    assert U.with_password("postgres://u:old@[::1]:5/Db?x=a@b", "printf p@q") == "postgres://u:p%40q@[::1]:5/Db?x=a@b" and U.with_password("postgres://Me@HOST", "echo x") == "postgres://Me:x@HOST"
+    for bad in ("postgres://h/db", "postgres://@h/db", "postgres://h/db?user=a@b"):
+        with pytest.raises(U.SourceError):
+            U.with_password(bad, "echo x")
     for bad in ({"table": "t", "query": "q"}, {}):
         with pytest.raises(U.SourceError):
             U.parse_source("postgres://h/db", **bad)
