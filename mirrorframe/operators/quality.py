@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from mirrorframe.functions.features import calendar, finite, to_epoch
 from mirrorframe.functions.rng import exact_sample, row_identity
+from mirrorframe.operators.gram import correlations
 from mirrorframe.operators.nearest import nearest
 from mirrorframe.plans.infer import is_count_name
 from mirrorframe.plans.model import Column, ColumnType, calendar_of, is_integral
@@ -19,6 +20,8 @@ from mirrorframe.plans.stages import staged
 
 #: Rows of each side that distance to closest record compares by default: the metric's own sample size.
 DCR_ROWS = 50_000
+#: Numeric columns beyond which correlations go by matrices instead of expressions, four a pair.
+WIDE = 12
 
 
 def _sides(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColumn]]) -> DataFrame:
@@ -176,7 +179,8 @@ def associations(df: DataFrame, columns: list[Column]) -> DataFrame:
     names = [c.name for c in own]
     every = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     mixed = [(a, b) if not number[a] else (b, a) for a, b in every if number[a] != number[b]]
-    out = pearson(df, [(a, b) for a, b in every if number[a] and number[b]])
+    numbers = [c for c in names if number[c]]
+    out = correlations(df, numbers) if len(numbers) > WIDE else pearson(df, [(a, b) for a, b in every if number[a] and number[b]])
     out = out.unionByName(cramers_v(df, [(a, b) for a, b in every if not number[a] and not number[b]]))
     return out.unionByName(correlation_ratio(df, mixed))
 

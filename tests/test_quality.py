@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorframe.operators import gram as G
 from mirrorframe.operators import nearest as N
 from mirrorframe.operators import quality as Q
 from mirrorframe.operators.report import Gates, breaches, to_html, to_json, to_text, verdict
@@ -108,3 +109,27 @@ def test_invariant_drift(spark):
     real = spark.createDataFrame([(1, 2), (2, 3)], "num_a long, num_b long")
     synth = spark.createDataFrame([(5, 2), (2, 3)], "num_a long, num_b long")
     assert [tuple(r) for r in Q.invariant_drift(real, synth, [Column("num_a", NUM), Column("num_b", NUM)]).collect()] == [("num_a", "num_b", 1)]
+
+
+def test_correlations_of_wide_tables(spark, monkeypatch):
+    """All pairs by blocks equal pair by pair: nulls, NaN, constants, columns without values, large offsets."""
+    monkeypatch.setattr(G, "BLOCK", 4)
+    monkeypatch.setattr(G, "STEP", 50)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 14)) @ rng.normal(size=(14, 14))
+    x[:, 3] = 0.1
+    x[:, 5] += 1e9
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 8] = np.nan
+    x[1:, 9] = np.nan
+    x[5, 2] = np.inf
+    names = [f"n {k}" for k in range(14)]
+    rows = [tuple(None if k % 3 == 0 and np.isnan(v) else float(v) for k, v in enumerate(r)) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(7)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    want = {(r.a, r.b): r.score * ("n 3" not in r) for r in Q.pearson(df, pairs).collect()}
+    got = {(r.a, r.b): r.score for r in G.correlations(df, names).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+    columns = [Column(n, NUM) for n in names]
+    assert {(r.a, r.b): r.score for r in Q.associations(df, columns).collect()} == got
+    assert {r.score for r in G.correlations(df.limit(0), names).collect()} == {0.0} and G.correlations(df.limit(0), names).count() == len(pairs) and G.correlations(df, names[:1]).count() == 0
