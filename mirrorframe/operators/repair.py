@@ -8,10 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirrorframe.operators.orders import orders
 from mirrorframe.plans.infer import is_count_name
 from mirrorframe.plans.model import Column, ColumnType, is_integral, is_numeric
 
 PASSES = 3
+#: Pairs beyond which orders are found by a matrix.
+WIDE = 60
 
 
 @dataclass
@@ -24,9 +27,14 @@ class Rules:
 
 
 def always(df: DataFrame, pairs: list[tuple[str, str]]) -> list[bool]:
-    """For each pair whether low <= high in every row where both are there, and there is such a row. One pass."""
+    """For each pair whether low <= high in every row where both are there, and there is such a row. One pass; many pairs of one type go by a matrix, not by an expression each."""
     if not pairs:
         return []
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    if len(pairs) > WIDE and len({df.schema[c].dataType for c in names}) == 1:
+        broken, met = orders(df, names)
+        at = {c: k for k, c in enumerate(names)}
+        return [bool(met[at[a], at[b]] and not broken[at[a], at[b]]) for a, b in pairs]
     a, b = (lambda p: F.col(f"`{p[0]}`")), (lambda p: F.col(f"`{p[1]}`"))
     row = df.agg(*[F.coalesce(F.bool_and(a(p) <= b(p)), F.lit(False)).alias(f"v{i}") for i, p in enumerate(pairs)]).first()
     return [row[f"v{i}"] for i in range(len(pairs))]

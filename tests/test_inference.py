@@ -2,6 +2,9 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from mirrorframe.plans import infer
 from mirrorframe.plans.infer import infer_table, is_count_name, is_key_name
 from mirrorframe.plans.model import ColumnType, Dataset, Reference, Table
 from mirrorframe.sources.normalize import normalise, promotions, trim
@@ -56,3 +59,20 @@ def test_topological_order():
             data(**above).topological_order()
     with pytest.raises(ValueError, match="unknown"):
         data(a="z").topological_order()
+
+
+def test_sketched_counts_give_the_same_types(spark, monkeypatch):
+    """Columns on every side of every rule: types as with exact counts, which only open columns get."""
+    n = 4000
+    levels = {"few": 3, "fifty": 50, "fifty_one": 51, "share": int(n * infer.CATEGORY_RATIO), "share_over": int(n * infer.CATEGORY_RATIO) + 1, "half": n // 2, "over_half": n // 2 + 1, "most": n - 1, "every": n}
+    text = [F.concat(F.lit("v"), (F.col("id") % k).cast("string")).alias(name) for name, k in levels.items()]
+    keys = [F.concat(F.lit("v"), (F.col("id") % k).cast("string")).alias(f"{name}_id") for name, k in levels.items()] + [(F.col("id") % k).alias(f"{name}_key") for name, k in levels.items()]
+    df = spark.range(n).select(*text, *keys, F.when(F.col("id") > 0, F.col("id")).alias("null_id"), F.when(F.col("id") > 1, F.col("id")).alias("nulls_id"), F.when(F.col("id") > 0, F.lit("x").substr(1, 1)).alias("one"), F.lit(None).cast("string").alias("none"))
+    stats = infer.stats_of(df)
+    exact = {f.name: infer.classify(f.name, f.dataType, stats[f.name]) for f in df.schema.fields}
+    found = infer.infer_table("t", df)
+    assert {c.name: c.type for c in found.columns} == exact
+    asked = []
+    monkeypatch.setattr(infer, "_short", lambda f: asked.append(f.name) or F.col(f"`{f.name}`"))
+    infer.verified_stats(df)
+    assert "few" not in asked and "every" not in asked and "over_half_key" not in asked and {"every_id", "every_key", "most_key", "share", "share_over", "null_id"} <= set(asked)
