@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, released, stage, table
+from mirrorframe.llm.common import column_or_null, released, ship, stage, table
 
 NGRAMS = (3, 4, 5)
 BITS = 18
@@ -33,15 +33,22 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 
 def feature_ids(text: str | None, mark: np.ndarray) -> np.ndarray:
-    """Places of the text's distinct n-grams, ascending. mark: False throughout, of the size of the feature space; left so."""
+    """Places of the text's distinct n-grams, ascending. mark: False throughout, of the size of the feature space; left so. Short texts sort their places instead."""
     x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) if text else np.zeros(0, np.uint64)
     bits = np.uint64(64 - (len(mark).bit_length() - 1))
+    short, places = len(x) * 8 < len(mark), []
     for n in NGRAMS:
         if len(x) >= n:
             h = x[: len(x) - n + 1] * MULTIPLIERS[0]
             for i in range(1, n):
                 h = (h ^ (h >> np.uint64(29))) * MULTIPLIERS[i] + x[i : len(x) - n + 1 + i]
-            mark[((h ^ (h >> np.uint64(32))) * MULTIPLIERS[0]) >> bits] = True
+            h = ((h ^ (h >> np.uint64(32))) * MULTIPLIERS[0]) >> bits
+            if short:
+                places.append(h.astype(np.int64))
+            else:
+                mark[h] = True
+    if short:
+        return np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
     found = np.flatnonzero(mark)
     mark[found] = False
     return found
@@ -103,8 +110,36 @@ def first_by_hash(rows: DataFrame, label: int, n: int, most: int) -> DataFrame:
     return own.orderBy(order, "id").limit(most)
 
 
+def adam(ids: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Factors, intercept and the places that have factors, by gradient steps on the logistic loss with both classes of one weight.
+
+    The factor of a place without a ratio has no gradient and stays 0, so only places with one take part.
+    """
+    used = np.flatnonzero(ratios)
+    place = np.full(len(ratios), -1, np.int64)
+    place[used] = np.arange(len(used))
+    r = ratios[used]
+    held = [place[x][place[x] >= 0] for x in ids]
+    flat, row = np.concatenate(held), np.repeat(np.arange(len(ids)), np.fromiter(map(len, held), np.int64, len(ids)))
+    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    # They start at 0, so a feature that doesn't help stays out
+    factor, bias = np.zeros(len(used), np.float32), 0.0
+    m, v, mb, vb = np.zeros_like(factor), np.zeros_like(factor), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        z = np.bincount(row, (factor * r)[flat], len(ids)) + bias
+        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * each
+        g = np.bincount(flat, d[row], len(used)).astype(np.float32) * r + l2 * factor
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        mb, vb = 0.9 * mb + 0.1 * d.sum(), 0.99 * vb + 0.01 * d.sum() ** 2
+        rate = 0.03
+        factor -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    return factor, bias, used
+
+
 def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: float = 2e-4, rounds: int = 200) -> Model:
     """rows: id, text, label (0 or 1). See the module for what is counted and what is sampled."""
+    ship(rows.sparkSession)
     rows = rows.filter("label in (0, 1)")
     ratios, n = log_count_ratios(rows.select("text", "label"), bits)
     if not len(ratios):
@@ -122,23 +157,10 @@ def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: floa
                 labels.append(label)
         if not ids:
             return
-        r, y = shared.value, np.array(labels, np.float32)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, row = np.concatenate(ids), np.repeat(np.arange(len(ids)), n)
-        each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        # Adam on the factors; they start at 0, so a feature that doesn't help stays out
-        factor, bias = np.zeros(1 << bits, np.float32), 0.0
-        m, v, mb, vb = np.zeros_like(factor), np.zeros_like(factor), 0.0, 0.0
-        for t in range(1, rounds + 1):
-            z = np.bincount(row, (factor * r)[flat], len(ids)) + bias
-            d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * each
-            g = np.bincount(flat, d[row], 1 << bits).astype(np.float32) * r + l2 * factor
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            mb, vb = 0.9 * mb + 0.1 * d.sum(), 0.99 * vb + 0.01 * d.sum() ** 2
-            rate = 0.03
-            factor -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-            bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-        yield pa.RecordBatch.from_arrays([pa.array([(factor * r).astype("<f4").tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
+        factor, bias, used = adam(ids, np.array(labels, np.float32), shared.value, l2, rounds)
+        weights = np.zeros(1 << bits, "<f4")
+        weights[used] = factor * shared.value[used]
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
 
     made = picked.select("text", "label").coalesce(1).mapInArrow(train, "weights binary, bias double").first()
     return Model(np.frombuffer(bytes(made.weights), "<f4").astype(np.float64), made.bias)
@@ -146,6 +168,7 @@ def fit(rows: DataFrame, *, bits: int = BITS, max_fit_rows: int = 2500, l2: floa
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @released
