@@ -19,7 +19,10 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import ahocorasick
 import numpy as np
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, released, table
+from mirrorframe.llm.common import column_or_null, released, ship, table
 
 #: Samples are stored in frames of this many bytes.
 FRAME = 576
 RATE = 8000
+#: Bytes of a name or comment in a gzip header.
+GZIP_NAME = 4096
 
 
 def _riff(form: bytes, needed: tuple[bytes, ...], any_of: tuple[bytes, ...] = ()) -> Callable[[bytes, int], int | None]:
@@ -130,21 +135,42 @@ def _zip(b: bytes, at: int) -> int | None:
 
 
 def _gzip(b: bytes, at: int) -> int | None:
-    """Length of a gzip member at `at`: it must inflate, with the right CRC."""
+    """Length of a gzip member at `at`: it must inflate, with the right CRC. Input goes in parts, so that a false start costs what it inflates; name and comment have GZIP_NAME bytes at most."""
+    flags, pos = b[at + 3 : at + 4] or b"\xff", at + 10
+    if flags[0] & 0xE0:
+        return None
+    if flags[0] & 4:
+        pos += 2 + int.from_bytes(b[pos : pos + 2], "little")
+    for bit in (8, 16):
+        if flags[0] & bit:
+            pos = b.find(b"\0", pos, pos + GZIP_NAME) + 1
+            if not pos:
+                return None
+    part, view, pos = 1 << 16, memoryview(b), at
     try:
         d = zlib.decompressobj(31)
-        rest = d.decompress(b[at:], 1 << 16)
-        while not d.eof and (d.unconsumed_tail or rest):
-            rest = d.decompress(d.unconsumed_tail, 1 << 16)
+        while not d.eof and pos < len(b):
+            rest = d.decompress(view[pos : pos + part], part)
+            pos = min(pos + part, len(b))
+            while not d.eof and (d.unconsumed_tail or len(rest) == part):
+                rest = d.decompress(d.unconsumed_tail, part)
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+    return pos - len(d.unused_data) - at if d.eof else None
 
 
 _PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
 _PDF_TABLE = re.compile(rb"xref|\d+\s+\d+\s+obj")
 
 
+@lru_cache(maxsize=1)
+def _pdf_ends(b: bytes) -> tuple[list[int], list[tuple[int, int, int]], list[int]]:
+    """Of a payload, once: starts of end marks, (start, end, offset) of each, and from each on the furthest that a PDF can begin for one of the offsets to lie before its mark."""
+    ends = [(m.start(), m.end(), int(m[1][:15])) for m in _PDF_END.finditer(b)]
+    reach = list(accumulate((start - offset for start, _, offset in reversed(ends)), max))[::-1]
+    return [e[0] for e in ends], ends, reach
+
+
 def _pdf(b: bytes, at: int) -> int | None:
     """Length of a PDF at `at`: version digits, and the last end mark whose startxref points, counted from `at`, to a cross-reference table or stream.
 
@@ -152,7 +178,11 @@ def _pdf(b: bytes, at: int) -> int | None:
     """
     if not b[at + 5 : at + 6].isdigit():
         return None
-    ends = [(m.start(), m.end(), at + int(m[1][:15])) for m in _PDF_END.finditer(b, at)]
+    starts, marks, reach = _pdf_ends(b)
+    k = bisect_left(starts, at)
+    if k == len(marks) or reach[k] <= at:  # no offset lies before its mark
+        return None
+    ends = [(start, end, at + offset) for start, end, offset in islice(marks, k, None)]
     following = b.find(b"%PDF-", at + 5)
     last = at
     for start, end, table in ends:
@@ -450,6 +480,8 @@ def samples_of(wav: bytes) -> bytes:
 
 
 def _per_row(df: DataFrame, out: str, work: Callable[[dict[str, list]], dict[str, list]], types: dict[str, pa.DataType], keep: list[str]) -> DataFrame:
+    ship(df.sparkSession)
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

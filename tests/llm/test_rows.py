@@ -301,3 +301,69 @@ def test_toxicity_ratios(spark):
             whole = df.filter(f"label = {label}").orderBy(F.xxhash64("id"), "id").limit(most)
             assert sorted(r.id for r in some.collect()) == sorted(r.id for r in whole.collect())
     assert toxicity.fit(df, bits=12).weights.any()
+
+
+def test_pdf_and_gzip_by_brute_force():
+    """Lengths against a search of all end marks and a whole inflation; false starts don't cost the rest of the payload each."""
+    import re
+    import time
+    import zlib
+
+    def pdf(b, at):
+        if not b[at + 5 : at + 6].isdigit():
+            return None
+        ends = [(m.start(), m.end(), at + int(m[1][:15])) for m in re.finditer(rb"startxref\s+(\d+)\s+%%EOF", b) if m.start() >= at]
+        following, last = b.find(b"%PDF-", at + 5), at
+        for start, end, table in ends:
+            if last <= table < start and re.compile(rb"xref|\d+\s+\d+\s+obj").match(b, table):
+                last = end
+        near = [end for start, end, table in ends if table < start and (following < 0 or end <= following)]
+        return last - at if last > at else near[-1] - at if near else None
+
+    rng = random.Random(9)
+    for _ in range(300):
+        b = b"".join(rng.choice([b"%PDF-1.4\n", b"%PDF-", b"xref\n", b"1 0 obj\n", b"filler", f"startxref\n{rng.randint(0, 120)}\n%%EOF".encode(), b"startxref 999999 %%EOF"]) for _ in range(rng.randint(1, 14)))
+        for at in [m.start() for m in re.finditer(b"%PDF-", b)]:
+            assert media._pdf(b, at) == pdf(b, at)
+    body = bytes(rng.randrange(256) for _ in range(200_000))
+    packed = zlib.compressobj(wbits=31)
+    packed = packed.compress(body) + packed.flush()
+    empty = zlib.compressobj(wbits=31).flush()
+    assert media._gzip(b"xx" + packed + b"behind", 2) == len(packed) and media._gzip(packed[:-1], 0) is None and media._gzip(packed[:-5] + b"\0" + packed[-4:], 0) is None
+    assert media._gzip(empty, 0) == len(empty) and media._gzip(b"\x1f\x8b\x08", 0) is None
+    zeros = zlib.compressobj(9, wbits=31)
+    zeros = zeros.compress(bytes(1 << 20)) + zeros.flush()
+    assert media._gzip(zeros + b"\0" * 5, 0) == len(zeros)
+    start = time.perf_counter()
+    for b in (b"%PDF-" * 100_000, b"%PDF-1" * 100_000, b"%PDF-1" * 10_000 + b"startxref 99999999 %%EOF" * 10_000, b"\x1f\x8b\x08" * 100_000):
+        assert media.sniff(b)[1] == []
+    assert time.perf_counter() - start < 30
+
+
+def test_toxicity_weights_by_brute_force():
+    """Factors of the places with a ratio equal those of a fit over every place."""
+    rng = np.random.default_rng(3)
+    size, ids = 64, [np.flatnonzero(rng.random(64) < 0.3) for _ in range(80)]
+    y = (rng.random(80) < 0.4).astype(np.float32)
+    ratios = np.where(rng.random(size) < 0.5, rng.normal(size=size), 0).astype(np.float32)
+    x = np.zeros((80, size))
+    for k, own in enumerate(ids):
+        x[k, own] = 1
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    f, b = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    for t in range(1, 61):
+        d = (1 / (1 + np.exp(-(x @ (f * ratios) + b))) - y) * each
+        g = (x.T @ d) * ratios + 1e-3 * f
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * d.sum(), 0.99 * vb + 0.01 * d.sum() ** 2
+        f -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        b -= 0.03 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    factor, bias, used = toxicity.adam(ids, y, ratios, 1e-3, 60)
+    dense = np.zeros(size)
+    dense[used] = factor
+    assert np.abs(dense - f).max() < 1e-3 and abs(bias - b) < 1e-3 and np.abs(f).max() > 0.1
+    mark = np.zeros(1 << 14, bool)
+    text = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5000))
+    assert (toxicity.feature_ids(text[:900], mark) == toxicity.feature_ids(text[:900], np.zeros(1 << 14, bool))).all() and not mark.any()
+    both = [np.concatenate([toxicity.feature_ids(text, np.zeros(1 << bits, bool))]) for bits in (14, 17)]
+    assert (np.unique(both[1] >> 3) == both[0]).all()  # sorted places and marks give one set
