@@ -25,6 +25,7 @@ from mirrorframe.operators.trees import FIT_ROWS, TreeSynthesizer
 from mirrorframe.plans import schema_toml as S
 from mirrorframe.plans.infer import infer_table
 from mirrorframe.plans.model import Table
+from mirrorframe.plans.stages import drop_stages
 from mirrorframe.sources import artifact
 from mirrorframe.sources.reading import read
 from mirrorframe.sources.uri import FilePath, parse_sink, parse_source
@@ -263,12 +264,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    a, own = parser().parse_args(argv), SparkSession.getActiveSession() is None
     try:
         return a.run(a)
     except (ValueError, NotImplementedError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    finally:
+        if own and (spark := SparkSession.getActiveSession()):
+            drop_stages(spark)
 
 
 if __name__ == "__main__":

@@ -71,13 +71,29 @@ def cart_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("o_orderstatus").distinct().select("o_orderstatus", one(F.count(F.lit(1))).alias("rows"), *of_keys, unseen("o_totalprice").alias("unseen_prices"), unseen("o_orderdate").alias("unseen_dates"))
 
 
+_BAND = "least(floor(o_totalprice / 100000), 4)"
+
+
+@query(f"SELECT n AS rows, band, true AS related, true AS share_near FROM (SELECT DISTINCT {_BAND}::BIGINT::VARCHAR AS band FROM orders), (SELECT count(*) AS n FROM orders)")
+def conditional_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of as many synthetic rows as orders, with a price and its band: bands, whether 90% of a band's prices lie in it (drawn alone a fifth would; MLlib's 128 bins mix at most two of a band's 25), and whether its share is within 0.03 of the real one."""
+    data = table(spark, sf_dir, "orders").select("o_totalprice", F.expr(_BAND).cast("bigint").cast("string").alias("band"))
+    source = infer_table("prices", data)
+    model = TreeSynthesizer(5).fit(source, fit_rows=0)
+    made = staged(model.sample(spark, data.count()), "made")
+    share = lambda df, name: df.groupBy("band").agg((F.count(F.lit(1)) / df.agg(F.count(F.lit(1))).scalar()).alias(name))
+    right = made.groupBy("band").agg((F.avg((F.expr(_BAND).cast("bigint").cast("string") == F.col("band")).cast("double")) >= 0.9).alias("related"))
+    both = right.join(share(made, "made_share"), "band").join(share(data, "real_share"), "band")
+    return both.select(made.agg(F.count(F.lit(1))).scalar().alias("rows"), "band", "related", (F.abs(F.col("made_share") - F.col("real_share")) <= 0.03).alias("share_near"))
+
+
 @query("SELECT count(*) > 0 AS near, 5::BIGINT AS columns FROM events")
 def fidelity_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether synthetic events stay within the gate of 0.2 on the mean marginal, and the number of columns compared."""
+    """Whether synthetic events stay within 0.05 on the mean marginal, and the number of columns compared."""
     source = infer_table("events", table(spark, sf_dir, "events"))
     made = generate(source, source.data.count(), seed=42, fit_rows=0, strip_pii=False)
     found = marginals(source.data, made.data, source.columns)
-    return average_marginal(found).select((F.col("avg_marginal") <= 0.2).alias("near"), found.agg(F.count(F.lit(1))).scalar().alias("columns"))
+    return average_marginal(found).select((F.col("avg_marginal") <= 0.05).alias("near"), found.agg(F.count(F.lit(1))).scalar().alias("columns"))
 
 
 @query("SELECT greatest(count(*) FILTER (WHERE o_totalprice <= 200000 AND o_orderstatus = 'F') // 4, 1)::BIGINT AS rows, 0::BIGINT AS violations, greatest(count(*) FILTER (WHERE o_totalprice <= 200000 AND o_orderstatus = 'F') // 4, 1)::BIGINT AS keys FROM orders")
