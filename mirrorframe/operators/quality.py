@@ -35,7 +35,28 @@ def _sides(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColum
     return long(real, 0).unionByName(long(synth, 1))
 
 
-def ks(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColumn]]) -> DataFrame:
+@dataclass(frozen=True)
+class Counted:
+    """What the marginals need of a real table, as written tables: (column, value, n) of its numbers and categories, its distinct texts by column, and (column, rate) of its nulls."""
+
+    numbers: DataFrame
+    categories: DataFrame
+    texts: dict[str, DataFrame]
+    rates: DataFrame
+
+
+def _long(df: DataFrame, parts: list[tuple[str, SparkColumn]]) -> DataFrame:
+    return df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("column"), c.alias("value")) for name, c in parts])))
+
+
+def _with_known(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(column, value, r, s) from counts of the real side and rows of the other."""
+    own = fresh.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    both = known.select("column", "value", F.col("n").alias("r"), F.lit(0).cast("long").alias("s")).unionByName(own.select("column", "value", F.lit(0).cast("long").alias("r"), F.col("n").alias("s")))
+    return both.groupBy("column", "value").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+
+
+def ks(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColumn]], known: DataFrame | None = None) -> DataFrame:
     """(column, score): the largest difference of the two distribution functions, for all columns at once; NaN if a side is empty.
 
     Values are counted first. The running shares then go by value ranges of each column: ranges are cut by a hash-free rule (a column's quantile grid),
@@ -45,6 +66,8 @@ def ks(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColumn]])
     if not names:
         return real.sparkSession.createDataFrame([], "column string, score double")
     counts = _sides(real, synth, values).groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("s"))
+    if known is not None:
+        counts = _with_known(known, _long(synth, [(n, c.try_cast("double")) for n, c in values]).filter(finite(F.col("value"))))
     counts = staged(counts, "ks-counts")
     grid = counts.groupBy("column").agg(F.percentile_approx("value", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("grid"), F.sum("r").alias("n_r"), F.sum("s").alias("n_s"))
     cut = counts.join(F.broadcast(grid), "column")  # one row a column
@@ -61,7 +84,7 @@ def ks(real: DataFrame, synth: DataFrame, values: list[tuple[str, SparkColumn]])
     return every.join(found, "column", "left").select("column", F.when(empty, F.lit(float("nan"))).otherwise(F.col("score")).alias("score"))
 
 
-def tvd(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
+def tvd(real: DataFrame, synth: DataFrame, columns: list[str], known: DataFrame | None = None) -> DataFrame:
     """(column, score): half the summed differences of category shares, for all columns at once; NaN if a side has no values."""
     if not columns:
         return real.sparkSession.createDataFrame([], "column string, score double")
@@ -71,7 +94,10 @@ def tvd(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
         return df.select(F.inline(F.array(*parts))).filter("value is not null").withColumn("side", F.lit(side))
 
     both = long(real, 0).unionByName(long(synth, 1))
-    counts = staged(both.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("s")), "tvd-counts")
+    counts = both.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("s"))
+    if known is not None:
+        counts = _with_known(known, long(synth, 1))
+    counts = staged(counts, "tvd-counts")
     totals = counts.groupBy("column").agg(F.sum("r").alias("n_r"), F.sum("s").alias("n_s"))
     gap = F.abs(F.try_divide(F.col("r").cast("double"), F.col("n_r")) - F.try_divide(F.col("s").cast("double"), F.col("n_s")))
     found = counts.join(F.broadcast(totals), "column").groupBy("column").agg((F.sum(gap) * 0.5).alias("score"), F.min("n_r").alias("n_r"), F.min("n_s").alias("n_s"))
@@ -94,18 +120,38 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("rate")) for i, c in enumerate(columns)])))
 
 
-def marginals(real: DataFrame, synth: DataFrame, columns: list[Column]) -> DataFrame:
-    """(column, metric, score, real_null_rate, synth_null_rate) of every column but keys: KS for numbers and datetimes, TVD for categories, verbatim rate for texts."""
+def _numbers(columns: list[Column]) -> list[tuple[str, SparkColumn]]:
+    return [(c.name, F.col(f"`{c.name}`") if c.type is ColumnType.NUMERIC else to_epoch(F.col(f"`{c.name}`"))) for c in columns if c.type in (ColumnType.NUMERIC, ColumnType.DATETIME)]
+
+
+def counted(real: DataFrame, columns: list[Column]) -> Counted:
+    """The real side of marginals, counted once for many comparisons."""
+    own = [c for c in columns if c.type is not ColumnType.KEY]
+    count = lambda df: staged(df.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "known-counts")
+    none = real.sparkSession.createDataFrame([], "column string, value double"), real.sparkSession.createDataFrame([], "column string, value string")
+    numbers, categories = _numbers(own), [(c.name, F.col(f"`{c.name}`").cast("string")) for c in own if c.type is ColumnType.CATEGORICAL]
+    return Counted(
+        count(_long(real, [(n, c.try_cast("double")) for n, c in numbers]).filter(finite(F.col("value"))) if numbers else none[0]),
+        count(_long(real, categories).filter("value is not null") if categories else none[1]),
+        {c.name: staged(real.select(F.col(f"`{c.name}`")).distinct(), "known-texts") for c in own if c.type is ColumnType.TEXT},
+        staged(null_rates(real, [c.name for c in own]), "known-rates") if own else none[0].select("column", F.col("value").alias("rate")),
+    )
+
+
+def marginals(real: DataFrame, synth: DataFrame, columns: list[Column], known: Counted | None = None) -> DataFrame:
+    """(column, metric, score, real_null_rate, synth_null_rate) of every column but keys: KS for numbers and datetimes, TVD for categories, verbatim rate for texts. known: of real and at least these columns, which is then not read."""
     own = [c for c in columns if c.type is not ColumnType.KEY and c.name in synth.columns]
-    values = [(c.name, F.col(f"`{c.name}`") if c.type is ColumnType.NUMERIC else to_epoch(F.col(f"`{c.name}`"))) for c in own if c.type in (ColumnType.NUMERIC, ColumnType.DATETIME)]
-    out = ks(real, synth, values).withColumn("metric", F.lit("ks")).unionByName(tvd(real, synth, [c.name for c in own if c.type is ColumnType.CATEGORICAL]).withColumn("metric", F.lit("tvd")))
+    of = lambda table, kinds: table.filter(F.col("column").isin([c.name for c in own if c.type in kinds])) if known else None
+    numbers, categories = of(known and known.numbers, (ColumnType.NUMERIC, ColumnType.DATETIME)), of(known and known.categories, (ColumnType.CATEGORICAL,))
+    out = ks(real, synth, _numbers(own), numbers).withColumn("metric", F.lit("ks")).unionByName(tvd(real, synth, [c.name for c in own if c.type is ColumnType.CATEGORICAL], categories).withColumn("metric", F.lit("tvd")))
     for c in own:
         if c.type is ColumnType.TEXT:
-            out = out.unionByName(verbatim_rate(real, synth, c.name).select("column", F.col("rate").alias("score"), F.lit("verbatim").alias("metric")))
+            out = out.unionByName(verbatim_rate(known.texts[c.name] if known else real, synth, c.name).select("column", F.col("rate").alias("score"), F.lit("verbatim").alias("metric")))
     names = [c.name for c in own]
     if not names:
         return out.select("column", "metric", "score", F.lit(None).cast("double").alias("real_null_rate"), F.lit(None).cast("double").alias("synth_null_rate"))
-    rates = null_rates(real, names).withColumnRenamed("rate", "real_null_rate").join(null_rates(synth, names).withColumnRenamed("rate", "synth_null_rate"), "column")
+    of_real = known.rates if known else null_rates(real, names)
+    rates = of_real.withColumnRenamed("rate", "real_null_rate").join(null_rates(synth, names).withColumnRenamed("rate", "synth_null_rate"), "column")
     return out.join(F.broadcast(rates), "column").select("column", "metric", "score", "real_null_rate", "synth_null_rate")
 
 

@@ -133,3 +133,14 @@ def test_correlations_of_wide_tables(spark, monkeypatch):
     columns = [Column(n, NUM) for n in names]
     assert {(r.a, r.b): r.score for r in Q.associations(df, columns).collect()} == got
     assert {r.score for r in G.correlations(df.limit(0), names).collect()} == {0.0} and G.correlations(df.limit(0), names).count() == len(pairs) and G.correlations(df, names[:1]).count() == 0
+
+
+def test_marginals_of_a_counted_table(spark):
+    """Marginals from counts of the real side equal those from its rows."""
+    rows = [(i, i % 7 / 2 if i % 5 else None, ["a", "b", None][i % 3], f"t{i % 40}", i) for i in range(300)]
+    real = spark.createDataFrame(rows, "k long, x double, c string, t string, y long")
+    synth = real.filter("k > 100").withColumn("c", F.when(F.col("k") % 2 == 0, "z").otherwise(F.col("c"))).withColumn("x", F.col("x") + 0.3).drop("y")
+    columns = [Column("k", ColumnType.KEY), Column("x", NUM), Column("c", CAT), Column("t", TEXT), Column("y", NUM)]
+    read = lambda df: sorted(map(repr, df.collect()))
+    assert read(Q.marginals(real.filter("false"), synth, columns, Q.counted(real, columns))) == read(Q.marginals(real, synth, columns))
+    assert Q.marginals(real, synth, columns[:1], Q.counted(real, columns[:1])).count() == 0
