@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import Window as W
 
 from mirrorframe.plans.stages import new_path, ship, staged
 
+#: Bytes of a CSV file up to which one task reads it whole: smaller files are one block anyway.
+WHOLE_BYTES = 128 << 20
 #: Blocks whose states the driver holds; files of more are read a file a task.
 MOST_BLOCKS = 200_000
 #: A state: inside quotes, and the depth of brackets (0 in CSV).
@@ -70,15 +73,17 @@ def _blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return spark.read.option("lineSep", separator).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
     """(file, start) and pieces, as they come; a block may come in several runs."""
     for batch in batches:
-        file, start, values = (batch.column(k).to_pylist() for k in ("file", "start", "value"))
-        cut = 0
-        for k in range(1, len(values) + 1):
-            if k == len(values) or (file[k], start[k]) != (file[cut], start[cut]):
-                yield (file[cut], start[cut]), values[cut:k]
-                cut = k
+        if not batch.num_rows:
+            continue
+        files, starts = batch.column("file").dictionary_encode(), batch.column("start").to_numpy()
+        codes = files.indices.to_numpy()
+        cuts = [0, *(1 + np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1]))).tolist(), batch.num_rows]
+        values = batch.column("value").to_pylist()
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            yield (files.dictionary[int(codes[s])].as_py(), int(starts[s])), values[s:e]
 
 
 def _steps(blocks: DataFrame, after: Callable[[str, State], State]) -> list:
@@ -173,10 +178,12 @@ def _records(blocks: DataFrame, entries: dict[tuple[str, int], State], base: dic
 
 
 def read_csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """The rows of CSV files with a header each, as strings. Files whose records are all on one line go to Spark's reader, which splits them. Lines end with LF or CR LF, which both become LF inside values; text is UTF-8."""
+    """The rows of CSV files with a header each, as strings. Files of WHOLE_BYTES at most are read by a task each. Larger ones whose records are all on one line go to Spark's reader, which splits them. Lines end with LF or CR LF, which both become LF inside values; text is UTF-8."""
     ship(spark)
     options = {"header": True, "sep": sep, "escape": '"', "inferSchema": False}
     whole = spark.read.options(**options, multiLine=True).csv(path)  # looks at the first record only
+    if spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] <= WHOLE_BYTES:  # the sizes alone are read
+        return whole
     blocks, after = _blocks(spark, path, "\n"), lambda line, state: after_line(line, state, sep)
     steps = _steps(blocks, after)
     if len(steps) > MOST_BLOCKS:
