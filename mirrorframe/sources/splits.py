@@ -20,8 +20,8 @@ from pyspark.sql import Window as W
 
 from mirrorframe.plans.stages import new_path, ship, staged
 
-#: Bytes of a CSV file up to which one task reads it whole: smaller files are one block anyway.
-WHOLE_BYTES = 128 << 20
+#: Bytes of a CSV file up to which one task reads it whole: putting records together takes more work than reading them, and pays with tens of tasks.
+WHOLE_BYTES = 1 << 30
 #: Blocks whose states the driver holds; files of more are read a file a task.
 MOST_BLOCKS = 200_000
 #: A state: inside quotes, and the depth of brackets (0 in CSV).
