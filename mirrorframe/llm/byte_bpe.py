@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, released, table
+from mirrorframe.llm.common import column_or_null, released, remembered, table
 
 NONE = np.int64(1 << 40)
 #: Pieces of up to this many bytes are encoded together.
@@ -217,16 +217,14 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[tuple[str, str], Bpe] = {}
-
-
 def load(name: str, pattern: str) -> Bpe:
     """The tokenizer of a ranks file that SparkContext.addFile has sent to every node, built once a process."""
-    if (name, pattern) not in _LOADED:
+    loaded = remembered(__name__)
+    if (name, pattern) not in loaded:
         with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _LOADED[name, pattern] = Bpe(ranks, pattern)
-    return _LOADED[name, pattern]
+        loaded[name, pattern] = Bpe(ranks, pattern)
+    return loaded[name, pattern]
 
 
 def _send(spark: SparkSession, path: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorframe.llm.common import column_or_null, free_name, released, table
+from mirrorframe.llm.common import column_or_null, free_name, released, remembered, table
 
 #: Production parameters: length of the vectors, letters in an n-gram, documents and characters in a block.
 SIZE = 1024
@@ -106,12 +106,12 @@ class Space:
         return sum(counts[:, s : s + 8192] @ self.of(codes[s : s + 8192]) for s in range(0, len(codes), 8192))
 
 
-_SPACES: dict[int, Space] = {}
-
-
 def space(size: int) -> Space:
     """One space a process."""
-    return _SPACES.setdefault(size, Space(size))
+    spaces = remembered(__name__)
+    if size not in spaces:
+        spaces[size] = Space(size)
+    return spaces[size]
 
 
 def learn(rows: DataFrame, *, size: int = SIZE) -> dict[str, np.ndarray]:

@@ -39,8 +39,8 @@ WINDOWS = MATCH - GRAM + 1
 HOT = 2000
 #: Runs or windows that a task gathers before it folds them.
 HELD = 1 << 18
-#: Bytes of text worked on at once, and aimed at for a group of runs.
-SLICE, GROUP = 1 << 20, 8 << 20
+#: Bytes of text whose runs leave a task together, that are hashed at once, aimed at for a group of runs, and for a group of their texts.
+SLICE, PIECE, GROUP, TEXTS = 1 << 20, 1 << 18, 8 << 20, 2 << 20
 _rng = np.random.Generator(np.random.PCG64(77003))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 ODD = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -136,6 +136,43 @@ def _packed(runs: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([sign] * len(ids), pa.int32()), pa.array([pack(x) for x in np.split(some, cuts)], pa.binary())], names=["group", "kind", "runs"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Runs of texts by group, folded and packed over SLICE bytes of text; their hashes take memory for PIECE bytes."""
+    raw, ids, offsets, found = [], [], [], []
+    size = done = 0
+
+    def hashed() -> None:
+        nonlocal raw, ids, offsets, size, done
+        if raw:
+            ends = np.cumsum([len(x) for x in raw])
+            found.append(runs_of(np.frombuffer(b"".join(raw), np.uint8), ends, np.array(ids, np.int64), np.array(offsets, np.int64)))
+        raw, ids, offsets, size, done = [], [], [], 0, done + size
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal found, done
+        some = np.concatenate([np.zeros(0, RUN), *found])
+        found, done = [], 0
+        if len(some):
+            yield from _packed(some, groups)
+
+    for batch in batches:
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            whole = text.as_py()
+            whole = whole.encode() if whole else b""
+            for s in range(0, max(1, len(whole) - MATCH + 1), PIECE):
+                part = whole[s : s + PIECE + MATCH - 1]
+                raw.append(part)
+                ids.append(i)
+                offsets.append(s)
+                size += len(part)
+                if size >= PIECE:
+                    hashed()
+                if done >= SLICE:
+                    yield from flush()
+    hashed()
+    yield from flush()
+
+
 def _found(kind: int, runs: np.ndarray) -> pa.Table:
     return pa.table({"kind": np.full(len(runs), kind, np.int32), "id": runs["doc"].astype(np.int64), "start": runs["start"].astype(np.int64), "n": runs["n"].astype(np.int64), "anchor": runs["anchor"].view(np.int64) if runs["anchor"].flags.c_contiguous else runs["anchor"].copy().view(np.int64)})
 
@@ -197,30 +234,9 @@ def find_runs(docs: DataFrame, groups: int, hot: int = HOT, held: int = HELD) ->
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, ids, offsets, size = [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if raw:
-                ends = np.cumsum([len(x) for x in raw])
-                found = runs_of(np.frombuffer(b"".join(raw), np.uint8), ends, np.array(ids, np.int64), np.array(offsets, np.int64))
-                if len(found):
-                    yield from _packed(found, groups)
-
-        for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                whole = text.as_py()
-                whole = whole.encode() if whole else b""
-                for s in range(0, max(1, len(whole) - MATCH + 1), SLICE):
-                    part = whole[s : s + SLICE + MATCH - 1]
-                    raw.append(part)
-                    ids.append(i)
-                    offsets.append(s)
-                    size += len(part)
-                    if size >= SLICE:
-                        yield from flush()
-                        raw, ids, offsets, size = [], [], [], 0
-        yield from flush()
+        yield from _dealt(batches, groups)
 
+    @released
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _resolve(batches, hot, held)
 
@@ -416,14 +432,15 @@ def whole_characters(piece: bytes, first: bool, last: bool) -> bytes:
 def cut_repeats(source: DataFrame, hot: int = HOT, held: int = HELD, whole: bool = False) -> DataFrame:
     """source: id (unique, in the order that decides which copy is first), text. id, n_bytes, n_removed, removed, kept. whole: kept has no parts of characters that are cut."""
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(8, -(-size // GROUP))
+    groups, texts = (max(8, -(-size // x)) for x in (GROUP, TEXTS))
 
+    @released
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _match(batches, held)
 
     found = stage(find_runs(source, groups, hot, held), "repeat-runs")
     wanted = found.filter(F.col("kind") != SPANS)
-    matched = stage(fetch(source, wanted, groups, held).groupBy("group").applyInArrow(match, FOUND), "repeat-matches")
+    matched = stage(fetch(source, wanted, texts, held).groupBy("group").applyInArrow(match, FOUND), "repeat-matches")
     spans = found.filter(F.col("kind") == SPANS).unionByName(matched).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     @released

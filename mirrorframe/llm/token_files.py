@@ -32,14 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mirrorframe.llm.common import column_or_null, new_path, released, stage, table
+from mirrorframe.llm.common import column_or_null, new_path, released, remembered, stage, table
 
 #: Bytes of frames after which a shard is closed.
 SHARD_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
 #: Chunks whose ids a worker process remembers at most.
 REMEMBERED = 1_200_000
-_LOADED: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -130,9 +129,10 @@ def slices(column: pa.Array, rows: int, chars: int) -> Iterator[slice]:
 
 def loaded(name: str) -> ChunkEncoder:
     """The tokenizer file that SparkContext.addFile has sent to every node, built once a process."""
-    if name not in _LOADED:
-        _LOADED[name] = ChunkEncoder(SparkFiles.get(name))
-    return _LOADED[name]
+    encoders = remembered(__name__)
+    if name not in encoders:
+        encoders[name] = ChunkEncoder(SparkFiles.get(name))
+    return encoders[name]
 
 
 def _fits(path: str) -> bool:

@@ -1,8 +1,10 @@
 """Near-dedup and suffix-array dedup against brute force."""
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mirrorframe.llm import components as C
+from mirrorframe.llm import languages
 from mirrorframe.llm import near_dedup as N
 from mirrorframe.llm import repeats as R
-from mirrorframe.llm.common import stage
+from mirrorframe.llm.common import released, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -207,6 +210,35 @@ def test_runs_cover_every_window(corpus):
     assert len(first) + len(more) == len(runs) and (module.unpack([module.pack(runs)]) == runs).all()
 
 
+def test_workers_remember_one_operator(spark):
+    """Workers live on between stages: the tasks of one operator drop what those of another remember, and keep their own."""
+    docs = spark.createDataFrame([(i, f"some words number {i}", "en") for i in range(400)], "doc_id long, text string, lang string").repartition(8)
+
+    def spaces(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(type(x) is languages.Space for x in gc.get_objects())]})
+
+    languages.identify(docs, languages.learn(docs)).count()
+    assert sum(r.n for r in docs.mapInArrow(spaces, "n long").collect()) > 0
+    assert sum(r.n for r in docs.mapInArrow(released(spaces), "n long").collect()) == 0
+
+
+def test_runs_take_little_memory():
+    """Hashes of a slice of text are made in pieces, and its runs still leave together, those of long texts too."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (3 * R.SLICE // 2, *[4000] * 400, 50)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    rows = [r for b in R._dealt(iter([batch]), 4) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert len(rows) <= 4 * (1 + sum(map(len, texts)) // R.SLICE)
+    windows = np.concatenate([np.arange(r["start"], r["start"] + int(r["n"])) + (int(r["doc"]) << 32) for r in R.unpack([x["runs"] for x in rows])])
+    assert np.array_equal(np.sort(windows), np.concatenate([np.arange(max(0, len(t) - R.MATCH + 1)) + (i << 32) for i, t in enumerate(texts)]))
+
+
 def test_remove_repeats_odd_tables(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(2, "y" * 150), (None, "y" * 150), (2, "y" * 150), (3, None), (3, None)]
