@@ -227,9 +227,9 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
 
 
 def _with_starts(shards: DataFrame) -> DataFrame:
-    """shards with start, the number of ids in all shards before; the window runs over one small row a shard."""
+    """shards with start, the number of ids in all shards before; the window runs over one small row a shard, and those rows go to the shards, whose frames stay where they are."""
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return shards.drop("n_tokens").join(shards.select("part", "number", "n_tokens").select("part", "number", before.alias("start")), ["part", "number"])
+    return shards.drop("n_tokens").join(F.broadcast(shards.select("part", "number", "n_tokens").select("part", "number", before.alias("start"))), ["part", "number"])
 
 
 def _unpacked(shards: DataFrame, path: str, wide: bool, wanted: list[int | None] | None = None) -> DataFrame:

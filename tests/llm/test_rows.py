@@ -201,6 +201,21 @@ def test_token_files_trained_dictionary_and_damage(spark, tmp_path):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_token_files_read_back_in_place(spark, docs, tmp_path):
+    """Frames aren't shuffled to meet their starts, also where shards look too large to broadcast."""
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_tokens(docs, path, tokenizer_path=WORDS, end_id=1)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = token_files.read_tokens(spark, path)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert out.count() == len(TEXTS)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_token_files_look_up(spark, tmp_path, monkeypatch):
     """A look-up decompresses the frames of the wanted documents and no others."""
     rows = [(i, f"text number {i} " * 3) for i in range(50)] + [(None, "none"), (7, "seven again"), (8, None)]
