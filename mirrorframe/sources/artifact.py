@@ -16,7 +16,9 @@ from mirrorframe.operators.trees import FittedColumn, TreeSynthesizer
 from mirrorframe.plans.model import Column, ColumnType
 from mirrorframe.plans.stages import staged
 
-FORMAT = 2
+FORMAT = 3
+#: Formats that can be read; 2 has no trees over all rows.
+READABLE = (2, 3)
 MANIFEST_LIMIT = 1 << 20
 
 
@@ -65,10 +67,10 @@ def save(spark: SparkSession, model: TreeSynthesizer, path: str, schema_toml: st
             f.null_model.write().overwrite().save(f"{path}/null-{i}")
         if f.value_model is not None:
             f.value_model.write().overwrite().save(f"{path}/value-{i}")
-        for name, table in (("pool", f.pool), ("spans", f.spans), ("levels", f.column.levels)):
+        for name, table in (("pool", f.pool), ("spans", f.spans), ("tree", f.tree), ("levels", f.column.levels)):
             if table is not None:
                 table.write.mode("overwrite").parquet(f"{path}/{name}-{i}")
-        fitted.append({"column": _column(f.column), "kind": f.kind.json(), "strategy": f.strategy, "null_rate": f.null_rate, "features": f.features, "fill": f.fill, "null_model": f.null_model is not None, "value_model": type(f.value_model).__name__ if f.value_model is not None else None, "predictors": f.predictors, "levels": f.column.levels is not None})
+        fitted.append({"column": _column(f.column), "kind": f.kind.json(), "strategy": f.strategy, "null_rate": f.null_rate, "features": f.features, "fill": f.fill, "null_model": f.null_model is not None, "value_model": type(f.value_model).__name__ if f.value_model is not None else None, "predictors": f.predictors, "tree": f.tree is not None, "levels": f.column.levels is not None})
     state = {"fitted": fitted, "keys": [[_column(c), k.json()] for c, k in model.keys], "rules": asdict(model.rules), "names": model.names, "capped": model.capped, "max_bins": model.max_bins, "max_depth": model.max_depth, "schema_toml": schema_toml}
     _write_text(spark, f"{path}/schema", json.dumps(state))
     _write_text(spark, f"{path}/manifest", json.dumps(asdict(Manifest(FORMAT, __version__, type(model).__name__, model.seed, model.rows, model.names))))
@@ -80,7 +82,7 @@ def info(spark: SparkSession, path: str) -> Manifest:
         found = Manifest(**json.loads(_read_text(spark, f"{path}/manifest")))
     except (TypeError, json.JSONDecodeError) as e:
         raise ArtifactError(f"{path} has no valid manifest") from e
-    if found.format != FORMAT:
+    if found.format not in READABLE:
         raise ArtifactError(f"{path} has format {found.format}; this is {FORMAT}")
     if found.kind != TreeSynthesizer.__name__:
         raise ArtifactError(f"{path} holds a {found.kind}")
@@ -103,5 +105,5 @@ def load(spark: SparkSession, path: str) -> tuple[TreeSynthesizer, Manifest, str
         table = lambda name, there: staged(spark.read.parquet(f"{path}/{name}-{i}"), name) if there else None  # noqa: B023, E731
         column = replace(_column_of(f["column"]), levels=table("levels", f["levels"]))
         pool, spans = table("pool", True), table("spans", value_model is not None)
-        model.fitted.append(FittedColumn(column, kind(f["kind"]), f["strategy"], f["null_rate"], f["features"], f["fill"], null_model, value_model, pool, spans, None, f["predictors"]))
+        model.fitted.append(FittedColumn(column, kind(f["kind"]), f["strategy"], f["null_rate"], f["features"], f["fill"], null_model, value_model, pool, spans, None, f["predictors"], table("tree", f.get("tree", False))))
     return model, manifest, state["schema_toml"]
