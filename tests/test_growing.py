@@ -67,6 +67,14 @@ def test_both_searches_find_the_same_cuts(classes):
     assert np.allclose(gain, gain2) and (at == at2).all()
 
 
+def test_pools_are_never_broadcast(spark):
+    """Many rows of few values are a small file: they were broadcast for its size, and the driver built all of them."""
+    df = spark.range(4000).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("c"))
+    made = TreeSynthesizer(3).fit(infer_table("small", df), fit_rows=0).sample(spark, 500)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 500 and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_all_rows_are_not_fitted_by_mllib(spark, monkeypatch):
     """MLlib's records of nodes and classes filled the driver; a tree over all rows comes as arrays."""
     made = []
