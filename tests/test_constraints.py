@@ -82,3 +82,16 @@ def test_report_in_words():
 
     assert report_lines(ConstraintReport(10, 10, 1, {})) == ["kept 10 of 10 rows asked for in 1 attempt"]
     assert report_lines(ConstraintReport(10, 8, 3, {"range(a)": 2, "where(b)": 5, "c": 0}))[1:] == ["  5 rows broke where(b)", "  2 rows broke range(a)"]
+
+
+def test_attempts_that_cannot_suffice_are_left_out(spark):
+    """An eighth of the rows is kept: by 1.5, 2.25, ... times what is missing it took five attempts, each a join with every pool."""
+    asked = []
+
+    def make(first, size):
+        asked.append(size)
+        return spark.range(first, first + size).select(F.col("id").alias("row_id"), (F.col("id") % 8).alias("x"))
+
+    rows, report = reject_resample(make, 800, [Range("x", 0, 0)], most=60.0)
+    assert sorted(r.row_id for r in rows.collect()) == [8 * k for k in range(800)]
+    assert report.attempts == len(asked) == 2 and asked[0] == 1200
