@@ -52,11 +52,11 @@ def expand(parents: DataFrame, n: str) -> DataFrame:
 
 
 def draw_counts(parents: DataFrame, counts: DataFrame, seed: int, stream: str, key: str) -> DataFrame:
-    """Adds n: the child count at a drawn place among all observed ones in ascending order. Places are numbered and joined by equality."""
+    """Adds n: the child count at a drawn place among all observed ones in ascending order. Places are numbered and joined by equality; never broadcast, as counts are small files of any number of rows."""
     from mirrorframe.functions.ranges import positions
 
     numbered = positions(counts.select("n"), ["n"]).select(F.col("pos").alias("_at"), "n")
-    return parents.withColumn("_at", below(seed, stream, F.col(key), counts.count())).join(numbered, "_at").drop("_at")
+    return parents.withColumn("_at", below(seed, stream, F.col(key), counts.count())).join(numbered.hint("merge"), "_at").drop("_at")
 
 
 def prune(dataset: Dataset, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
